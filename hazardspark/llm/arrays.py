@@ -139,3 +139,9 @@ def ragged_arange(counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts, counts)
+
+
+def numbered(batch: pa.RecordBatch) -> tuple[pa.Array, pa.RecordBatch]:
+    """The doc_id column, and the batch with row numbers in its place (ids may be null)."""
+    at = batch.schema.get_field_index("doc_id")
+    return batch.column(at), batch.set_column(at, "doc_id", pa.array(np.arange(batch.num_rows)))

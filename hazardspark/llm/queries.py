@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from .ann import op3_nearest_neighbours
+from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .mixing import OP4_SQL, op4_mixing
+from .ngram_join import op7_ngram_jaccard_join
+from .packing import op8_best_fit_packing
+from .quality import op5_quality_classifier
+from .sharding import OP2_SQL, op2_sharding
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op9_suffix_array_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_mixing": op4_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op4_mixing": OP4_SQL}

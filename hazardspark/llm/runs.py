@@ -385,7 +385,7 @@ def repeated_windows(docs: DataFrame, how: Windows, finish: Callable, schema: st
     for the tokens of the chunk, which are covered by a repeated window.
     """
     spark = docs.sparkSession
-    n = 4 * n_parts(spark)
+    n = 2 * n_parts(spark)
     settled = docs.mapInArrow(emit(how, n, n), PACKED).groupBy("part").applyInArrow(settle(how, n, n), PACKED)
     flags = stored(settled, "runs")
     parted = docs.select("doc_id", "text", dealt(F.col("doc_id"), n).alias("part"))
