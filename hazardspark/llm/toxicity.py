@@ -60,7 +60,7 @@ class Model:
         rng = np.random.default_rng(seed)
         self.table = np.zeros((1 << BITS, DIM), np.float32)
         self.filters = [rng.normal(0, 0.5, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-        self.shift = np.zeros(len(WIDTHS) * FILTERS, np.float32)
+        self.shift = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32)
         self.out = np.full(len(WIDTHS) * FILTERS, 0.3, np.float32)
         self.bias = np.float32(-1.0)
         self.a, self.b = 1.0, 0.0
