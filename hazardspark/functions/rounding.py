@@ -1,4 +1,7 @@
-"""Rounding to significant figures, half to even, in Spark and in numpy."""
+"""Rounding to significant figures, half to even, in Spark and in numpy.
+
+Only whole powers of ten are used, which are exact, so both agree to the bit.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 def round_figures(x: Column, figures: Column | int) -> Column:
     """x to so many figures; null figures leave it as it is."""
     figures = F.lit(figures) if not isinstance(figures, Column) else figures
-    factor = F.pow(F.lit(10.0), figures - 1 - F.floor(F.log10(F.abs(x))))
-    rounded = F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * factor) / factor)
+    shift = figures - 1 - F.floor(F.log10(F.abs(x)))
+    up, down = F.pow(F.lit(10.0), shift), F.pow(F.lit(10.0), -shift)
+    rounded = F.when(x == 0, F.lit(0.0)).when(shift >= 0, F.rint(x * up) / up).otherwise(F.rint(x / down) * down)
     return F.when(figures.isNull(), x).otherwise(rounded)
 
 
@@ -22,6 +26,7 @@ def round_figures_np(x, figures: int | None = 2) -> np.ndarray:
     out = np.zeros_like(x)
     some = x != 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        factor = 10.0 ** (figures - 1 - np.floor(np.log10(np.abs(x[some]))))
-        out[some] = np.rint(x[some] * factor) / factor
+        shift = figures - 1 - np.floor(np.log10(np.abs(x[some])))
+        power = 10.0 ** np.abs(shift)
+        out[some] = np.where(shift >= 0, np.rint(x[some] * power) / power, np.rint(x[some] / power) * power)
     return out

@@ -50,8 +50,10 @@ def fig(x: Column, figures: int = FIGURES) -> Column:
 
 def sig(x: str, figures: int = FIGURES) -> str:
     """The same in SQL."""
-    power = f"pow(10.0::DOUBLE, {figures - 1} - floor(log10(abs(({x})::DOUBLE))))"
-    return f"CASE WHEN ({x}) = 0 THEN 0.0::DOUBLE ELSE round_even(({x})::DOUBLE * {power}, 0) / {power} END"
+    value = f"({x})::DOUBLE"
+    shift = f"({figures - 1} - floor(log10(abs({value}))))"
+    up, down = f"pow(10.0::DOUBLE, {shift})", f"pow(10.0::DOUBLE, -{shift})"
+    return f"CASE WHEN {value} = 0 THEN 0.0::DOUBLE WHEN {shift} >= 0 THEN round_even({value} * {up}, 0) / {up} ELSE round_even({value} / {down}, 0) * {down} END"
 
 
 SHIP, LAG = f"WITH {SHIPMENTS_SQL}", f"WITH RECURSIVE {LAGS_SQL}"
