@@ -15,7 +15,11 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Chunk, chunks, numbered, ragged_arange, word_hashes, words
+from .arrays import _LOWER, Chunk, Words, chunks, numbered, ragged_arange, word_hashes, words
 from .shared import stored
 
 CAPACITY = 2048
 OPEN_BINS = 65_536
 TASK_PIECES = 100_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 END_ID = 0
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(97, 123)]] = True
 
 
 def tokenizer_path() -> str:
@@ -40,52 +48,118 @@ def tokenizer_path() -> str:
 
 
 class WordIds:
-    """Token ids of words, remembered up to a bound."""
+    """Token ids of words, remembered up to a bound.
+
+    The tokenizer lower-cases and takes runs of letters apart from runs of
+    punctuation, so ASCII case and punctuation at a word's end are taken off
+    before looking it up. Words of letters alone are encoded many at a time: each ends
+    with the only one of its tokens that ends a word.
+    """
 
     def __init__(self, path: str, bound: int = CACHE_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        # the same merges without normalising: for words that it would leave as they are
+        parts = json.loads(self.tokenizer.to_str())
+        by_space = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": by_space, "added_tokens": []}))
         self.bound = bound
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted 64-bit hashes of known words
+        self.slot = np.zeros(0, np.int64)  # where ``start`` and ``length`` have them
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.encode.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        n, more = len(self.index), int(lengths.sum())
-        while n + len(new) > len(self.start):
-            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
-        while self.used + more > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(new)] = lengths
-        self.ids[self.used : self.used + more] = np.fromiter((i for f in found for i in f), np.uint32, more)
-        self.used += more
-        self.index.update(zip(new, range(n, n + len(new))))
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids one after another, and how many each word has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = " ".join(words)
+        known = text == text.lower() and unicodedata.is_normalized("NFC", text)
+        ids = np.array((self.bare if known else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or len(ids) != ends[-1]:
+            return self._alone(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
+        """Encode words and remember them under their (sorted) hashes."""
+        texts = [w.decode("utf-8") for w in new]
+        kinds: dict = {}
+        for i, t in enumerate(texts):
+            kinds.setdefault(("plain" if t.isascii() else "letters") if t.isalpha() else "other", []).append(i)
+        slots, n = np.empty(len(new), np.int64), len(self.keys)
+        for kind, own in kinds.items():
+            encode = self._alone if kind == "other" else self._together
+            for lo in range(0, len(own), 256):
+                part = own[lo : lo + 256]
+                ids, lengths = encode([texts[i] for i in part])
+                while n + len(part) > len(self.start):
+                    self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+                while self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, self.ids])
+                self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
+                self.length[n : n + len(part)] = lengths
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+                slots[part] = np.arange(n, n + len(part))
+                n += len(part)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
+
+    @staticmethod
+    def _units(chunk: Chunk) -> tuple[Chunk, Words]:
+        """The chunk with ASCII letters lower-cased, and its words with punctuation at the end as words of their own.
+
+        Words that hold ``<`` may hold a special token and stay as they are.
+        """
+        w = words(chunk)
+        marked = np.append(0, np.cumsum(chunk.data == ord("<")))
+        marked = marked[w.end] > marked[w.start]
+        low = _LOWER[chunk.data]
+        if marked.any():
+            for a, b in zip(w.start[marked].tolist(), w.end[marked].tolist()):
+                low[a:b] = chunk.data[a:b]
+        end = w.end.copy()
+        for _ in range(4):
+            end -= (end - w.start > 1) & _PUNCTUATION[low[end - 1]] & ~marked
+        # before the punctuation stands an ASCII letter or digit, or one of the letters U+00C0 to U+017F
+        before, lead = low[end - 1], low[np.maximum(end - 2, 0)]
+        latin = (end - w.start > 1) & ((lead == 0xC3) & (before != 0x97) & (before != 0xB7) | (lead == 0xC4) | (lead == 0xC5))
+        split = (end < w.end) & (_PLAIN[before] | latin)
+        n = 1 + split
+        at = np.cumsum(n) - n
+        start, stop = np.repeat(w.start, n), np.repeat(w.end, n)
+        stop[at[split]] = end[split]
+        start[at[split] + 1] = end[split]
+        return Chunk(chunk.doc, low, chunk.off), Words(start, stop, np.append(at, len(start))[w.first])
 
     def of_chunk(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, one after another with END_ID behind each, and where each begins."""
-        w = words(chunk)
-        _, pick, which = np.unique(word_hashes(chunk, w), return_index=True, return_inverse=True)
-        raw = chunk.data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(w.start[pick].tolist(), w.end[pick].tolist())]
-        if len(self.index) > self.bound:
+        chunk, w = self._units(chunk)
+        keys, pick, which = np.unique(word_hashes(chunk, w), return_index=True, return_inverse=True)
+        if len(self.keys) > self.bound:
             self.clear()
-        new = [x for x in distinct if x not in self.index]
-        if new:
-            self._learn(new)
-        spot = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[which]
+        near = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[near] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            raw = chunk.data.tobytes()
+            self._learn(keys[new], [raw[a:b] for a, b in zip(w.start[pick[new]].tolist(), w.end[pick[new]].tolist())])
+        spot = self.slot[np.searchsorted(self.keys, keys)][which]
         length = self.length[spot]
         ids = self.ids[np.repeat(self.start[spot], length) + ragged_arange(length)]
-        at = np.append(0, np.cumsum(length))[w.first]
-        first = at + np.arange(len(at))
+        first = np.append(0, np.cumsum(length))[w.first] + np.arange(len(w.first))
         out = np.full(len(ids) + len(chunk.doc), END_ID, np.uint32)
         inside = np.ones(len(out), bool)
         inside[first[1:] - 1] = False
@@ -93,16 +167,26 @@ class WordIds:
         return out, first
 
 
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that later tasks find the words of earlier ones."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for): one row per piece."""
     path = path or tokenizer_path()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        known = WordIds(path)
+        known = word_ids(path)
         for b in batches:
             doc_id, b = numbered(b)
-            for chunk in chunks(b):
+            for chunk in chunks(b, size=512 << 10):
                 ids, first = known.of_chunk(chunk)
                 sizes = np.diff(first)
                 n = -(-sizes // capacity)
