@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10  # arrays of eight bytes per byte of text then stay in the cache
 
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15 | 1)
@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(r: np.uint64, n: int, cache: dict) -> np.ndarray:
     have = cache.get(int(r))
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), r, np.uint64)
+        have = np.full(max(n, 1 << 18), r, np.uint64)
         have[0] = 1
         cache[int(r)] = have = np.multiply.accumulate(have)
     return have[:n]

@@ -32,7 +32,8 @@ from .arrays import _BYTE, Chunk, chunks, prefix_sums, ragged_arange, sliding_mi
 from .shared import dealt, dealt_np, n_parts, stored
 
 REMOVE, BRANCH = 1, 2
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 6 << 20
+SUB_BUCKETS = 8
 _SEGMENT = 1 << 22
 PACKED = "part int, payload binary"
 
@@ -260,8 +261,9 @@ def open_branches(how: Windows, n_buckets: int) -> Callable:
                 rows += [(p, pack(short(a, 5), short(c, 6), d, o)) for p, (a, c, d, o) in by_part(each[0], each[1:])]
             else:
                 length = (n + how.width - 1).astype(np.int32)
-                for p, (s, m, d, o) in by_part(bucket, [start, length, chunk.doc[row], place]):
-                    rows.append((p, pack(d, o, m) + chunk.data[np.repeat(s, m) + ragged_arange(m)].tobytes()))
+                sub = ((owner >> np.uint64(32)) % np.uint64(SUB_BUCKETS)).astype(np.uint8)
+                for p, (s, m, d, o, b) in by_part(bucket, [start, length, chunk.doc[row], place, sub]):
+                    rows.append((p, pack(d, o, m, b) + chunk.data[np.repeat(s, m) + ragged_arange(m)].tobytes()))
         return table(rows)
 
     return run
@@ -334,16 +336,7 @@ def window_classes(data: np.ndarray, starts: np.ndarray, width: int, q: int = 8)
 def settle_bytes(how: Windows, n_docs: int) -> Callable:
     """For one bucket of owners: single windows whose bytes also start in a document of smaller doc_id."""
 
-    def run(key, t):
-        docs, places, lengths, texts = [], [], [], []
-        for p in t.column("payload"):
-            raw = p.as_py()
-            d, o, m = unpack(raw, np.int64, np.int32, np.int32)
-            docs.append(d), places.append(o), lengths.append(m)
-            texts.append(np.frombuffer(raw, np.uint8, -1, 8 + len(d) * 16))
-        if not docs:
-            return table([])
-        doc, place, length, data = (np.concatenate(x) for x in (docs, places, lengths, texts))
+    def repeated(doc, place, length, data):
         n = length - how.width + 1
         begin = np.cumsum(length) - length
         starts = np.repeat(begin, n) + ragged_arange(n)
@@ -357,7 +350,23 @@ def settle_bytes(how: Windows, n_docs: int) -> Callable:
         new[1:] = kind[1:] != kind[:-1]
         first = np.maximum.accumulate(np.where(new, np.arange(len(kind)), 0)) if len(kind) else np.zeros(0, np.int64)
         later = doc != doc[first]
-        return _spans(doc[later], place[later], n_docs)
+        return doc[later], place[later]
+
+    def run(key, t):
+        held: dict[int, list] = {}
+        for p in t.column("payload"):
+            raw = p.as_py()
+            d, o, m, b = unpack(raw, np.int64, np.int32, np.int32, np.uint8)
+            text = np.frombuffer(raw, np.uint8, -1, 8 + len(d) * 17)
+            at = np.cumsum(m) - m
+            for sub in np.unique(b).tolist():
+                own = b == sub
+                held.setdefault(sub, []).append((d[own], o[own], m[own], text[np.repeat(at[own], m[own]) + ragged_arange(m[own])]))
+        found = [repeated(*(np.concatenate(x) for x in zip(*held.pop(sub)))) for sub in sorted(held)]
+        if not found:
+            return table([])
+        doc, place = (np.concatenate(x) for x in zip(*found))
+        return _spans(doc, place, n_docs)
 
     return run
 
