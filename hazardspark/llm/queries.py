@@ -8,7 +8,7 @@ from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .quality import op5_quality_classifier
-from .reference_sql import OP6_SQL, OP7_SQL, OP9_SQL
+from .reference_sql import OP6_SQL, OP7_SQL
 from .sharding import OP2_SQL, op2_sharding
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op9_suffix_array_dedup
@@ -33,5 +33,4 @@ SQL = {
     "op4_mixing": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
-    "op9_suffix_array_dedup": OP9_SQL,
 }

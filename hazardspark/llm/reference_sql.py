@@ -1,4 +1,4 @@
-"""The dedup operators in DuckDB's SQL, over whole tables and texts."""
+"""The word-based dedup operators in DuckDB's SQL, over whole tables and texts."""
 
 from __future__ import annotations
 
@@ -27,19 +27,3 @@ r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(seen) AS least FROM r GROUP BY node) m USING (doc_id)
 """
-
-OP9_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS k FROM d, range(0, greatest(0, len(h) // 2 - 49)) t(s)),
-f AS (SELECT doc_id, s, doc_id > min(doc_id) OVER (PARTITION BY k) AS again FROM p),
-runs AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM f WHERE again),
-named AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM runs),
-gone AS (SELECT doc_id, run, min(s) AS a, max(s) + 50 AS b FROM named GROUP BY doc_id, run),
-parts AS (
-  SELECT g.doc_id, a AS at, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS piece FROM gone g JOIN d USING (doc_id) WINDOW w AS (PARTITION BY g.doc_id ORDER BY a)
-  UNION ALL SELECT doc_id, max(b), substr(any_value(h), 2 * max(b) + 1) FROM gone JOIN d USING (doc_id) GROUP BY doc_id),
-kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY at) AS h FROM parts GROUP BY doc_id)
-SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
-FROM d LEFT JOIN (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)
-"""
