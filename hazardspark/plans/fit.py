@@ -287,8 +287,9 @@ def cox_fit(
         late = f"Newton-Raphson did not converge in {path.rounds} rounds; errors and tests may be unreliable" + (f"; cause: {path.cause}" if path.cause else "")
     ratio = 2 * (path.loglik - path.null)
     hazard, curves = survival_curves(freq, path.s0, grid, path.beta, centre, scale, terms, request.expanded_profiles, limits.curve_figures)
-    for cached in (rows, effective, ready.rows, ready.merged):
-        cached.unpersist()
+    rows.unpersist()
+    effective.unpersist()
+    ready.release()
     return {
         "model": out["model"],
         "overall_p_value": out["overall_p_value"],

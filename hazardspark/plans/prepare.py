@@ -13,8 +13,7 @@ from ..errors import AlgorithmError, PrivacyViolation, UserInputError
 from ..functions.keys import Key
 from ..operators import guards
 from ..operators.encode import coerce_numbers, drop_incomplete, encode, group_masks, q, recode_outcome, select_rows
-from ..operators.times import clamp_tail, event_counts, merge_small, move_events, settings_frame, tail_cuts
-from ..operators.times import bin_times
+from ..operators.times import bin_times, clamp_tail, event_counts, merge_small, move_events, settings_frame, tail_cuts
 from ..request import FitRequest
 
 
@@ -68,6 +67,12 @@ class Prepared:
     settings: dict[int, Settings]
     knobs: DataFrame
     merged: DataFrame
+    held: tuple = ()
+
+    def release(self) -> None:
+        """Give up what is cached."""
+        for df in self.held:
+            df.unpersist()
 
     @property
     def moved(self) -> DataFrame:
@@ -113,12 +118,14 @@ def prepare(
     guards.check_values(found, request.time, request.outcome)
     guards.check_sizes(found, sites, request.covariates, by)
     knobs = settings_frame(df.sparkSession, by)
+    held = [ready]
     rows = plain_rows(ready, request)
     if any(s.bin_width for s in by.values()):
         width = rows.join(F.broadcast(knobs.select("site", "bin_width")), "site")
         rows = width.withColumn("time", bin_times(F.col("time"), F.col("bin_width"))).drop("bin_width")
     if any(s.risk_change > 1 for s in by.values()):
         cuts = tail_cuts(rows, knobs).persist()
+        held.append(cuts)
         if not cuts.filter("cut is null").isEmpty():
             raise PrivacyViolation("a site has fewer rows than the least risk-set change")
         rows = clamp_tail(rows, cuts)
@@ -130,4 +137,4 @@ def prepare(
         raise UserInputError(f"the event-time grid is over the cap of {grid_cap} points; use wider time bins")
     asked = counts.join(F.broadcast(knobs.select("site", "time_events")), "site")
     merged = merge_small(asked, F.col("time_events")).persist()
-    return Prepared(rows, len(request.covariates.terms), len(group_masks(request.covariates)), sites, by, knobs, merged)
+    return Prepared(rows, len(request.covariates.terms), len(group_masks(request.covariates)), sites, by, knobs, merged, (*held, rows, merged))
