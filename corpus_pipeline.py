@@ -8,7 +8,6 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hazardspark.llm.exact_dedup import keep_first
 from hazardspark.llm.mixing import mix_documents

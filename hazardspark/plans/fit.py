@@ -1,8 +1,9 @@
 """Cox regression with Breslow ties over sites: Newton-Raphson on guarded risk-set sums.
 
-Each evaluation is one Spark job: sums per (site, slot), accumulated, held,
-rounded and pooled; the driver sees one row per grid point. Everything that does
-not depend on the coefficients (slots, held slots) is set once per fit.
+Each evaluation is one Spark aggregation to sums per (site, slot), at most sites
+x grid points rows, which the driver accumulates, holds back, rounds and pools.
+Everything that does not depend on the coefficients (slots, held slots) is set
+once per fit.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import HELD_WARNING, MAX_ROUNDS, STABLE_STEP_TOLERANCE, STEP_TOLERANCE, Limits, Settings, load_limits, load_settings
+from ..config import HELD_WARNING, MAX_ROUNDS, STABLE_STEP_TOLERANCE, STEP_TOLERANCE, WIRE_FIGURES, Limits, Settings, load_limits, load_settings
 from ..errors import AlgorithmError, UserInputError
 from ..functions.keys import Key
 from ..functions.rounding import round_figures_np
@@ -99,7 +100,13 @@ def model_results(beta, hessian, scale, terms: list[str], loglik: float) -> dict
 
 @dataclass
 class Evaluator:
-    """Pooled risk-set sums at given coefficients, from rows that carry their slot."""
+    """Pooled risk-set sums at given coefficients, from rows that carry their slot.
+
+    A call is one aggregation to a row per (site, slot); what sites make of
+    their own sums (accumulation, holds, rounding) and the pooling of these at
+    most sites x grid points rows is done here. ``release`` is the same as a
+    DataFrame.
+    """
 
     rows: DataFrame
     grid: list[float]
@@ -108,30 +115,57 @@ class Evaluator:
     centre: np.ndarray
     scale: np.ndarray
 
-    def release(self, beta) -> DataFrame:
-        """Per (site, slot) what the site releases."""
-        p = self.prepared.n_terms
-        xs = [(F.col(f"x{i}") - float(self.centre[i])) / float(self.scale[i]) for i in range(p)]
+    def __post_init__(self) -> None:
+        self.place = {s: i for i, s in enumerate(self.prepared.sites)}
+        self.shown = np.zeros((len(self.place), len(self.grid)), int)
+        for r in self.effective.collect():
+            self.shown[self.place[r.site], r.slot] = r.effective
+
+    def sums(self, beta) -> DataFrame:
+        """Per (site, slot): the weighted sums of the rows in the slot."""
+        xs = [(F.col(f"x{i}") - float(self.centre[i])) / float(self.scale[i]) for i in range(self.prepared.n_terms)]
         score = F.lit(0.0)
         for b, x in zip(beta, xs):
             score = score + F.lit(float(b)) * x
-        sums = risksets.slot_sums(self.rows, xs, F.exp(score))
-        risk = risksets.at_risk(sums, self.prepared.knobs, len(self.grid))
-        return risksets.released(risk, self.effective, self.prepared.knobs, p)
+        return risksets.slot_sums(self.rows, xs, F.exp(score))
+
+    def release(self, beta) -> DataFrame:
+        """Per (site, slot) what the site releases."""
+        risk = risksets.at_risk(self.sums(beta), self.prepared.knobs, len(self.grid))
+        return risksets.released(risk, self.effective, self.prepared.knobs, self.prepared.n_terms)
+
+    def released_np(self, beta) -> np.ndarray:
+        """The same, as an array of (site, slot, sum)."""
+        names = risksets.names(self.prepared.n_terms)
+        got = self.sums(beta).select("site", "slot", *names).toPandas()
+        full = np.zeros((len(self.place), len(self.grid), len(names)))
+        full[got["site"].map(self.place).to_numpy(int), got["slot"].to_numpy(int)] = got[names].to_numpy(float)
+        risk = np.cumsum(full[:, ::-1], axis=1)[:, ::-1]
+        held = np.take_along_axis(risk, self.shown[:, :, None], axis=1)
+        for site, i in self.place.items():
+            held[i] = round_figures_np(round_figures_np(held[i], self.prepared.settings[site].figures), WIRE_FIGURES)
+        return held
 
     def __call__(self, beta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.prepared.n_terms
-        got = risksets.pooled(self.release(beta), p).orderBy("slot").toPandas()
-        if len(got) != len(self.grid):
-            raise AlgorithmError("risk sets are missing for some grid points")
-        if got["odd"].notna().any():
-            raise AlgorithmError(f"site {int(got['odd'].dropna().iloc[0])}: released risk-set sizes are no risk-set sequence")
-        s0, s1 = got["s0"].to_numpy(), got[[f"s1_{i}" for i in range(p)]].to_numpy()
-        s2 = np.empty((len(got), p, p))
-        for i in range(p):
-            for j in range(i, p):
-                s2[:, i, j] = s2[:, j, i] = got[f"s2_{i}_{j}"].to_numpy()
-        return s0, s1, s2
+        held = self.released_np(beta)
+        for site, i in self.place.items():
+            check_release(site, held[i, :, 0])
+        pooled = held.sum(axis=0)
+        s2 = np.empty((len(self.grid), p, p))
+        upper = np.triu_indices(p)
+        s2[:, upper[0], upper[1]] = s2[:, upper[1], upper[0]] = pooled[:, 1 + p :]
+        return pooled[:, 0], pooled[:, 1 : 1 + p], s2
+
+
+def check_release(site: int, sizes: np.ndarray) -> None:
+    """Released sizes are finite, not negative, positive at first, and never grow."""
+    if not len(sizes) or not np.isfinite(sizes).all() or (sizes < 0).any():
+        raise AlgorithmError(f"site {site}: released risk-set sizes must be finite and not negative")
+    if sizes[0] <= 0:
+        raise AlgorithmError(f"site {site}: the first released risk-set size must be positive")
+    if (np.diff(sizes) > 0).any():
+        raise AlgorithmError(f"site {site}: released risk-set sizes grow along the grid")
 
 
 @dataclass

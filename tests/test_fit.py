@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from hazardspark.config import OPEN, Limits, Settings
 from hazardspark.errors import AlgorithmError, PrivacyThresholdViolation, UserInputError
 from hazardspark.plans.curves import survival_curves
-from hazardspark.plans.fit import cox_fit, derivatives, guard_summary, log_likelihood, model_frame, model_results, optimise, standardisation
+from hazardspark.operators import risksets
+from hazardspark.operators.times import pooled_grid
+from hazardspark.plans.fit import Evaluator, check_release, cox_fit, derivatives, guard_summary, log_likelihood, model_frame, model_results, optimise, standardisation
+from hazardspark.plans.prepare import prepare
+from hazardspark.request import FitRequest
 
 SEED = 20261005
 
@@ -130,6 +134,26 @@ def test_default_guards(spark):
     assert sizes == sorted(sizes)
 
 
+def test_released_arrays_equal_released_rows(spark):
+    rows = simulated(rows=300)
+    request = FitRequest.of("time", "event", ["x1", "x2"])
+    ready = prepare(frame(spark, rows), request, {0: Settings(), 1: Settings(figures=4), 2: Settings(risk_change=9, risk_size=90)})
+    grid = [r.time for r in pooled_grid(ready.released_counts).orderBy("time").collect()]
+    slotted = risksets.assign_slots(ready.moved, grid)
+    risk = risksets.at_risk(risksets.slot_sums(slotted, [], F.lit(1.0)), ready.knobs, len(grid))
+    evaluate = Evaluator(slotted, grid, risksets.effective_slots(risk, ready.knobs), ready, np.array([0.1, -0.2]), np.array([1.2, 0.9]))
+    got = evaluate.released_np([0.3, -0.4])
+    for r in evaluate.release([0.3, -0.4]).collect():
+        assert np.allclose(got[r.site, r.slot], [r[c] for c in risksets.names(2)], rtol=1e-6, atol=1e-9)
+    pooled = {r.slot: r.s0 for r in risksets.pooled(evaluate.release([0.3, -0.4]), 2).collect()}
+    assert np.allclose(evaluate([0.3, -0.4])[0], [pooled[i] for i in range(len(grid))], rtol=1e-6)
+    for bad in ([5, 3, 4], [5, -1, 0], [0, 0, 0], [5, math.nan], []):
+        with pytest.raises(AlgorithmError):
+            check_release(1, np.array(bad, float))
+    check_release(1, np.array([5.0, 5, 3, 1]))
+    check_release(1, np.array([5.0, 3, 0, 0]))
+
+
 def held_site(early, events, n):
     x = np.linspace(-1, 1, n)
     rows = [(1.0, 0)] * early + events
