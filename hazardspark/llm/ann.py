@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 TABLES, HASHES, WIDTH, PROBES = 8, 6, 2.5, 12
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 SEED = 17
 FOUND = "query_id long, vec_id long, score double"
 
@@ -89,6 +89,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _first_copies(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of equal vectors the k + 1 of smallest id, in order of id: ties go to these, one of which may be the query itself."""
+    order = np.argsort(ids, kind="stable")
+    whole = np.ascontiguousarray(vectors[order]).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
+    _, kind = np.unique(whole, return_inverse=True)
+    by_kind = np.argsort(kind, kind="stable")
+    place = np.empty(len(kind), np.int64)
+    place[by_kind] = np.arange(len(kind)) - np.searchsorted(kind[by_kind], kind[by_kind])
+    return order[place <= k]
+
+
 def _search(k: int):
     """The best of one block of vectors for one block of queries."""
 
@@ -97,6 +108,8 @@ def _search(k: int):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, v = _matrix(queries.column("vector")), _matrix(vectors.column("vector"))
         qid, vid = queries.column("query_id").to_numpy(), vectors.column("vec_id").to_numpy()
+        apart = _first_copies(v, vid, k)
+        v, vid = v[apart], vid[apart]
         rough = q @ v.T
         rough[qid[:, None] == vid[None, :]] = -np.inf
         take = min(k, rough.shape[1])

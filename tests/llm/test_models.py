@@ -90,6 +90,10 @@ def test_neighbours_of_odd_rows(spark):
     score[ids == 0] = -np.inf
     order = np.lexsort((ids, -np.round(score, 9)))
     assert list(got[got.query_id == 0].sort_values("rank").vec_id) == list(ids[order][:20])
+    copy = got[got.query_id == 105].sort_values("rank")
+    score = np.where(ids == 105, -np.inf, m @ sound[105])
+    order = np.lexsort((ids, -np.round(score, 9)))
+    assert list(copy.vec_id) == list(ids[order][:20])
     few = nearest(vectors.filter("vec_id < 7"), queries.filter("query_id < 7"), k=20).toPandas()
     assert (few.groupby("query_id").size() == 6).all()
     assert nearest(vectors.limit(0), queries).count() == 0
