@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _LOWER, Chunk, Words, chunks, numbered, ragged_arange, word_hashes, words
-from .shared import stored
+from .shared import small_batches, stored
 
 CAPACITY = 2048
 OPEN_BINS = 65_536
 TASK_PIECES = 100_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 END_ID = 0
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -180,6 +180,7 @@ def word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for): one row per piece."""
     path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):

@@ -46,6 +46,17 @@ def dealt_np(doc_id, n: int):
     return np.mod(x, n).astype(np.int32)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows per Arrow batch than by default: texts are long, and a batch is held several times over in a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def with_nulls(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else the table holds, with a null text as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
