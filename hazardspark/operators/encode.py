@@ -54,6 +54,11 @@ def select_rows(df: DataFrame, selection: dict | None) -> DataFrame:
     return df
 
 
+def _lookup(codes: dict, key: Column) -> Column:
+    """The value of a key, null if it has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), key) if codes else F.lit(None)
+
+
 def encode(df: DataFrame, covariates: Covariates, key: Key | None = None) -> DataFrame:
     """Model terms: 0/1 columns for categories, scores in place; null for missing or unlisted codes.
 
@@ -61,25 +66,25 @@ def encode(df: DataFrame, covariates: Covariates, key: Key | None = None) -> Dat
     """
     key = key or covariate_key
     new: dict[str, Column] = {}
-    for entry in covariates.entries:
+    keys: dict[str, Column] = {}
+    for i, entry in enumerate(covariates.entries):
         if isinstance(entry, str):
             continue
         if entry.name not in df.columns:
             raise UserInputError(f"explanatory variable '{entry.name}' is not a column")
         codes = {k: v for k, v in ((literal_key(k), v) for k, v in code_map(entry).items()) if v is not None}
-        own = key(q(entry.name), dtype(df, entry.name))
+        # a column of its own, so that many conditions on it compute it once
+        keys[f"__key{i}"] = key(q(entry.name), dtype(df, entry.name))
+        own = F.col(f"__key{i}")
         if isinstance(entry, Scored):
-            value = F.lit(None).cast("double")
-            for score in sorted(set(codes.values())):
-                value = F.when(own.isin([k for k, v in codes.items() if v == score]), score).otherwise(value)
-            new[entry.name] = value
+            new[entry.name] = _lookup(codes, own).cast("double")
         else:
-            listed = own.isin(list(codes))
-            for term, label in zip(entry.terms, entry.labels):
+            label = _lookup(codes, own)
+            for term, name in zip(entry.terms, entry.labels):
                 if term in df.columns:
                     raise UserInputError(f"term '{term}' is the name of a column")
-                new[term] = F.when(listed, own.isin([k for k, v in codes.items() if v == label]).cast("double"))
-    return df.withColumns(new) if new else df
+                new[term] = (label == name).cast("double")
+    return df.withColumns(keys).withColumns(new).drop(*keys) if new else df
 
 
 def drop_incomplete(df: DataFrame, names: list[str]) -> DataFrame:
