@@ -138,8 +138,7 @@ def _postings(size: int, percent: int, n_buckets: int):
         at = np.searchsorted(doc, names)
         to = np.searchsorted(doc, names, "right")
         spans = {int(d): (int(a), int(b)) for d, a, b in zip(names, at, to)}
-        wanted = reps[np.isin(reps, names)]
-        for chunk in chunks(only_docs(docs, wanted).select(["doc_id", "text"]).combine_chunks()):
+        for chunk in chunks(only_docs(docs, reps).select(["doc_id", "text"]).combine_chunks()):
             row, gram = shingle_sets(chunk, size)
             cuts = np.searchsorted(row, np.arange(len(chunk.doc) + 1))
             for i, d in enumerate(chunk.doc.tolist()):
@@ -150,13 +149,15 @@ def _postings(size: int, percent: int, n_buckets: int):
                 n = len(own)
                 prefix = n - -(-percent * n // 100) + 1
                 low = own < np.uint64(REGION)
-                a, b = spans[d]
-                k = (((own >> np.uint64(40)) % np.uint64(n_buckets)) << np.uint64(40)) | (own & np.uint64((1 << 40) - 1))
-                spot = np.minimum(np.searchsorted(key48[a:b], k), b - a - 1)
-                known = low & (key48[a:b][spot] == k)
+                a, b = spans.get(d, (0, 0))  # none: all its counted n-grams are its own
+                known, df = np.zeros(n, bool), np.zeros(n, np.int64)
+                if b > a:
+                    k = (((own >> np.uint64(40)) % np.uint64(n_buckets)) << np.uint64(40)) | (own & np.uint64((1 << 40) - 1))
+                    spot = np.minimum(np.searchsorted(key48[a:b], k), b - a - 1)
+                    known = low & (key48[a:b][spot] == k)
+                    df = level[a:b][spot].astype(np.int64)
                 if np.count_nonzero(low & ~known) >= prefix:
                     continue
-                df = level[a:b][spot].astype(np.int64)
                 rank = np.where(~low, RARE + 1, np.where(~known, 0, np.where(df <= RARE, df, df + 1)))
                 first = np.lexsort((own, rank))[:prefix]
                 first = first[rank[first] > 0]

@@ -82,6 +82,19 @@ def test_groups_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_short_documents_that_share_no_counted_ngram(spark):
+    rng = random.Random(7)
+    rows = []
+    for pair in range(400):
+        words = [f"p{pair}w{rng.randint(0, 999)}" for _ in range(rng.randint(9, 20))]
+        longer = words + [f"more{rng.randint(0, 999)}" for _ in range(rng.randint(1, 3))]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(longer))]
+    want = brute(rows)
+    got = jaccard_components(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) < len(want) - 100
+
+
 def test_overlaps_of_two_blocks():
     rng = random.Random(6)
     sets = [np.array(sorted(rng.sample(range(300), rng.randint(0, 200))), np.uint64) for _ in range(40)]
