@@ -28,8 +28,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each group linked by similar sets of n-grams."""
-    found = jaccard_components(docs)
+    """One document, that of smallest doc_id, of each group linked by sets of five-word shingles of a similarity of 0.8 or more."""
+    found = jaccard_components(docs, size=5, percent=80)
     others = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
