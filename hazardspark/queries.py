@@ -284,7 +284,7 @@ def moved_event_rows(spark, sf_dir):
 
 
 def _slotted(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    grid = [r[0] for r in times.pooled_grid(counts).orderBy("time").limit(1001).collect()]
+    grid = [r[0] for r in times.pooled_grid(counts).orderBy("time").collect()]
     slots = rows.sparkSession.createDataFrame([(i, t) for i, t in enumerate(grid)], "slot int, time double")
     return risksets.assign_slots(rows, grid), slots, grid
 
