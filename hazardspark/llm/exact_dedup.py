@@ -4,9 +4,9 @@ The index holds one row per document: a 60-bit key (the head of the SHA-256 of
 the normalised text), the whole digest, the length and the doc_id. A directory
 of key prefixes starts with one bucket and doubles while a bucket holds more
 than ``capacity`` rows; only overfull buckets split. A bucket that no further
-bit can split (one key, many copies) is chained over several pages. Owner tasks
-take the pages of their buckets, follow the chain of equal keys and tell
-collisions apart by the bytes of the digest.
+bit can split (one key, many copies) is chained over several pages. The result
+comes from an aggregation by bucket, key and digest; it does not use the pages
+or their order, and equal SHA-256 digests count as equal texts.
 
 Results for odd rows: null counts as empty text; empty texts are equal to each
 other; of repeated rows (same doc_id, same text) one stays; a null doc_id comes
