@@ -1,10 +1,10 @@
-"""Substring dedup by words: De Bruijn compaction.
+"""Substring dedup by words: minimiser runs, in place of a De Bruijn graph.
 
-The k-mers of ``width`` words are the edges of a De Bruijn graph. Consecutive
-edges that share an owner gram form a path (see ``runs``). Paths that repeat as
-a whole do not branch; Spark groups them by owner and compacts them to their
-first occurrence. Where paths of one owner differ, the graph branches there, and
-their edges are compared one by one. Source coordinates (doc_id, first word)
+There are no nodes, degrees or joins of successive edges. Consecutive windows of
+``width`` words that share an owner gram form a run (see ``runs``). Spark groups
+runs by owner and compacts those that repeat as a whole to their first
+occurrence. Where runs of one owner differ, their windows are compared one by
+one, by hash: words are not compared at their coordinates. Source coordinates (doc_id, first word)
 decide which occurrence is the first, and in the last join they mark the long
 repeated spans in the source texts.
 
