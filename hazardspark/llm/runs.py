@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import _BYTE, Chunk, chunks, prefix_sums, ragged_arange, sliding_min, span_hash, word_hashes, words
+from .arrays import _BYTE, Chunk, chunks, mix, prefix_sums, ragged_arange, sliding_min, span_hash, word_hashes, words
 from .shared import dealt, dealt_np, n_parts, stored
 
 REMOVE, BRANCH = 1, 2
@@ -240,8 +240,12 @@ def only_docs(t: pa.Table, docs: np.ndarray) -> pa.Table:
     return t.filter(pa.array(np.isin(t.column("doc_id").to_numpy(), docs)))
 
 
-def open_branches(how: Windows, n_buckets: int) -> Callable:
-    """For the documents of one part: the windows of runs marked BRANCH, for the buckets of their owners."""
+def open_branches(how: Windows, n_buckets: int, n_docs: int) -> Callable:
+    """For the documents of one part: the windows of runs marked BRANCH.
+
+    Words: for buckets of owner and content, so that one owner spreads; repeats within a chunk go past them, as spans.
+    Bytes: for the buckets of their owners.
+    """
 
     def run(key, docs, flags):
         doc, ordinal, flag = unpack_all(flags.column("payload"), np.int64, np.int32, np.uint8)
@@ -257,8 +261,14 @@ def open_branches(how: Windows, n_buckets: int) -> Callable:
             bucket = ((owner >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
             if how.by_word:
                 at = np.repeat(start, n) + ragged_arange(n)
-                each = [np.repeat(bucket, n), np.repeat(owner, n), span_hash(r.sums, at, at + how.width), np.repeat(chunk.doc[row], n), (np.repeat(place, n) + ragged_arange(n)).astype(np.int32)]
-                rows += [(p, pack(short(a, 5), short(c, 6), d, o)) for p, (a, c, d, o) in by_part(each[0], each[1:])]
+                each = [np.repeat(owner, n), span_hash(r.sums, at, at + how.width), np.repeat(chunk.doc[row], n), (np.repeat(place, n) + ragged_arange(n)).astype(np.int32)]
+                order = np.lexsort(each[::-1])
+                each = [x[order] for x in each]
+                later = repeats(*each, how)
+                rows += [(n_buckets + p, c) for p, c in _span_rows(each[2][later], each[3][later], n_docs)]
+                each = [x[~later] for x in each]
+                part = (mix(each[1] ^ (each[0] >> np.uint64(40))) % np.uint64(n_buckets)).astype(np.int64)
+                rows += [(p, pack(short(a, 5), short(c, 6), d, o)) for p, (a, c, d, o) in by_part(part, each)]
             else:
                 length = (n + how.width - 1).astype(np.int32)
                 sub = ((owner >> np.uint64(32)) % np.uint64(SUB_BUCKETS)).astype(np.uint8)
@@ -269,7 +279,7 @@ def open_branches(how: Windows, n_buckets: int) -> Callable:
     return run
 
 
-def _spans(doc: np.ndarray, place: np.ndarray, n_docs: int) -> pa.Table:
+def _span_rows(doc: np.ndarray, place: np.ndarray, n_docs: int) -> list[tuple[int, bytes]]:
     """Single windows to remove, consecutive ones joined, for their documents."""
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
@@ -278,18 +288,21 @@ def _spans(doc: np.ndarray, place: np.ndarray, n_docs: int) -> pa.Table:
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(doc)) - 1 if len(doc) else lo
     doc, start, n = doc[lo], place[lo], (place[hi] - place[lo] + 1).astype(np.int32)
-    return table([(p, pack(*c)) for p, c in by_part(dealt_np(doc, n_docs), [doc, start, n])])
+    return [(p, pack(*c)) for p, c in by_part(dealt_np(doc, n_docs), [doc, start, n])]
 
 
-def settle_words(how: Windows, n_docs: int) -> Callable:
-    """For one bucket of owners: single windows that are not the first of their kind."""
+def settle_words(how: Windows, n_buckets: int, n_docs: int) -> Callable:
+    """For one bucket of owners and contents: single windows that are not the first of their kind."""
 
     def run(key, t):
+        part = key[0].as_py()
+        if part >= n_buckets:
+            return table([(part - n_buckets, p.as_py()) for p in t.column("payload")])
         owner, content, doc, place = unpack_all(t.column("payload"), 5, 6, np.int64, np.int32)
         order = np.lexsort((place, doc, content, owner))
         owner, content, doc, place = owner[order], content[order], doc[order], place[order]
         later = repeats(owner, content, doc, place, how)
-        return _spans(doc[later], place[later], n_docs)
+        return table(_span_rows(doc[later], place[later], n_docs))
 
     return run
 
@@ -366,7 +379,7 @@ def settle_bytes(how: Windows, n_docs: int) -> Callable:
         if not found:
             return table([])
         doc, place = (np.concatenate(x) for x in zip(*found))
-        return _spans(doc, place, n_docs)
+        return table(_span_rows(doc, place, n_docs))
 
     return run
 
@@ -398,8 +411,8 @@ def repeated_windows(docs: DataFrame, how: Windows, finish: Callable, schema: st
     settled = docs.mapInArrow(emit(how, n, n), PACKED).groupBy("part").applyInArrow(settle(how, n, n), PACKED)
     flags = stored(settled, "runs")
     parted = docs.select("doc_id", "text", dealt(F.col("doc_id"), n).alias("part"))
-    opened = parted.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(open_branches(how, n), PACKED)
-    spans = opened.groupBy("part").applyInArrow((settle_words if how.by_word else settle_bytes)(how, n), PACKED)
+    opened = parted.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(open_branches(how, n, n), PACKED)
+    spans = opened.groupBy("part").applyInArrow(settle_words(how, n, n) if how.by_word else settle_bytes(how, n), PACKED)
     found = flags.withColumn("kind", F.lit(0)).unionByName(spans.withColumn("kind", F.lit(1)))
 
     def last(key, docs, found):
