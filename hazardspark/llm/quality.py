@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _U, Chunk, chunks, mix, word_hashes, words
-from .shared import small_batches
 from .training import SAMPLE, held_out, platt, sample, scored, sigmoid
 
 BITS = 18
@@ -163,7 +162,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold
             good = [model(chunk) >= threshold for chunk in chunks(work)]
             yield b.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Chunk, chunks, numbered
-from .shared import small_batches
 
 FOLDS = 5
 SAMPLE = 8_000
@@ -70,7 +69,6 @@ def scored(docs: DataFrame, score: Callable[[Chunk], np.ndarray], keep: tuple[st
                 out = {"doc_id": doc_id.take(rows), **{c: b.column(b.schema.get_field_index(c)).take(rows) for c in keep}, "score": np.asarray(score(chunk), np.float64)}
                 yield from pa.table(out).to_batches()
 
-    small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     schema = ", ".join(["doc_id long", *[f"{c} string" for c in keep], "score double"])
     return plain.mapInArrow(run, schema)

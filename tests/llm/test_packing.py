@@ -5,10 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hazardspark.llm.packing import Bins, pack, pack_documents, pieces, tokenizer_path
+from hazardspark.llm.arrays import chunks
+from hazardspark.llm.packing import Bins, WordIds, pack, pack_documents, pieces, tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
@@ -45,6 +47,28 @@ def test_pieces_match_the_tokenizer(spark):
     check_sequences(packed)
 
 
+def test_letters_before_punctuation():
+    """Every letter of U+00C0 to U+017F before all ASCII punctuation, alone and in random texts."""
+    tokenizer, known = tokenizers.Tokenizer.from_file(tokenizer_path()), WordIds(tokenizer_path())
+    marks = [chr(c) for c in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))]
+    letters = [chr(c) for c in range(0xC0, 0x180)]
+    texts = [f"ab{c}{p} {c}{p}{p} x{c}A{p}" for c in letters for p in marks] + ["TEMSİLCİSİ.", "GELDİ, GİTTİ."]
+    rng = random.Random(1)
+    texts += ["".join(rng.choices(letters + marks + list("abIİ019ΣΑ\u0307\u0301    "), k=rng.randint(1, 60))) for _ in range(4000)]
+    for chunk in chunks(pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": texts})):
+        ids, first = known.of_chunk(chunk)
+        for i, d in enumerate(chunk.doc):
+            assert ids[first[i] : first[i + 1]].tolist() == ids_of(tokenizer, texts[d]), texts[d]
+
+
+def test_a_very_long_text(spark):
+    text = "Große Wörter, ein langer Text. " * 60_000
+    ids = np.array(ids_of(tokenizers.Tokenizer.from_file(tokenizer_path()), text), "<u4")
+    got = pieces(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("piece").collect()
+    assert [r.start for r in got] == list(range(0, len(ids), 2048)) and sum(r.length for r in got) == len(ids)
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(ids[s : s + 2048].tobytes()) for s in range(0, len(ids), 2048)]
+
+
 def check_sequences(rows, capacity=2048):
     by: dict = {}
     for r in rows:
@@ -78,11 +102,11 @@ def test_bins_close_the_fullest():
 def test_the_documents_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path())
-    total = {r.doc_id: len(ids_of(tokenizer, r.text)) for r in docs.collect()}
+    want, total = {}, 0
+    for r in docs.collect():
+        ids = np.array(ids_of(tokenizer, r.text), "<u4")
+        total += len(ids)
+        want |= {(r.doc_id, p): zlib.crc32(ids[s : s + 2048].tobytes()) for p, s in enumerate(range(0, len(ids), 2048))}
     got = pack_documents(docs).collect()
-    n = check_sequences(got)
-    mine: dict = {}
-    for r in got:
-        mine[r.doc_id] = mine.get(r.doc_id, 0) + r.length
-    assert mine == total
-    assert n <= 1.02 * sum(total.values()) / 2048 + 2
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in got} == want and len(got) == len(want)
+    assert check_sequences(got) <= 1.003 * total / 2048 + 1
