@@ -6,16 +6,21 @@ consecutive windows with the same owner form a *run*: one row for some ten
 windows.  Equal windows have equal owners, so only runs whose owner occurs
 twice can hold a repeated window, and
 
-* runs with equal owner and equal content compact to their first occurrence;
-  every other occurrence is a repeat as a whole,
-* where an owner leads on to different contents (a branch), only the first
+* of runs with equal owner and equal content, all but the first are candidates
+  for removal, with the place of the first as their source,
+* where an owner leads on to different contents (a branch), the first
   occurrence of each content is opened into single windows, which are compared
   with each other.
 
+Candidates that follow one another along the same source are joined to long
+spans. Hashes only propose them: the bytes of every span's source are fetched
+to the span's document and compared there, and only equal spans are removed.
+
 Runs move between tasks packed in binary columns, dealt by a hash of the owner,
 and what is found goes back dealt by document.  Copies met in one task are
-settled there, so a passage that a third of the documents share sends one run
-per task, not one per document.
+settled there, and a source passage moves once per part of documents that asks
+for it, so a passage that a third of the documents share sends a bounded number
+of rows. The number of parts follows from the bytes of the texts.
 """
 
 from __future__ import annotations
@@ -28,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import _BYTE, Chunk, chunks, mix, prefix_sums, ragged_arange, sliding_min, span_hash, word_hashes, words
-from .shared import dealt, dealt_np, n_parts, stored
+from .arrays import _BYTE, Chunk, Words, chunks, prefix_sums, ragged_arange, sliding_min, span_hash, word_hashes, words
+from .shared import dealt, dealt_np, part_count, stored
 
-REMOVE, BRANCH = 1, 2
 FLUSH_BYTES = 6 << 20
 SUB_BUCKETS = 8
 _SEGMENT = 1 << 22
-PACKED = "part int, payload binary"
+PACKED = "part int, kind int, payload binary"
+#: Kinds of packed rows; parts past the number of parts are only passed on.
+RUNS, SPANS, EDGES, OPEN, WINDOWS, ASKED, PASSAGES = range(7)
+SPAN = (np.int64, np.int32, np.int32, np.int64, np.int32)  # doc, place, windows, source doc, source place (-1: compared already)
+EDGE = (np.uint64, *SPAN)
 
 
 @dataclass(frozen=True)
@@ -54,22 +62,23 @@ class Windows:
 @dataclass
 class Runs:
     row: np.ndarray  # index of the document in the chunk
-    ordinal: np.ndarray  # of the run in its document
-    start: np.ndarray  # first token, counted in the chunk
+    place: np.ndarray  # first token, counted in the document
     n: np.ndarray  # windows
     owner: np.ndarray
     content: np.ndarray
-    first: np.ndarray  # first token of each document, and the end
-    sums: np.ndarray
+
+
+def tokens_of(chunk: Chunk, how: Windows) -> tuple[np.ndarray, np.ndarray, Words | None]:
+    """A hash per token, where each document's tokens begin (and the end), and the words."""
+    if not how.by_word:
+        return _BYTE[chunk.data], chunk.off, None
+    w = words(chunk)
+    return word_hashes(chunk, w), w.first, w
 
 
 def find_runs(chunk: Chunk, how: Windows) -> Runs:
     """All runs of a chunk, in order."""
-    if how.by_word:
-        w = words(chunk)
-        tokens, first = word_hashes(chunk, w), w.first
-    else:
-        tokens, first = _BYTE[chunk.data], chunk.off
+    tokens, first, _ = tokens_of(chunk, how)
     sums = prefix_sums(tokens)
     parts = []
     step, width = _SEGMENT, how.width
@@ -96,8 +105,7 @@ def find_runs(chunk: Chunk, how: Windows) -> Runs:
     else:
         start, n, owner = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     row = np.searchsorted(first, start, "right") - 1
-    ordinal = np.arange(len(row)) - np.searchsorted(row, row)
-    return Runs(row, ordinal, start, n, owner, span_hash(sums, start, start + n + width - 1), first, sums)
+    return Runs(row, (start - first[row]).astype(np.int32), n.astype(np.int32), owner, span_hash(sums, start, start + n + width - 1))
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -122,13 +130,18 @@ def unpack(payload: bytes, *types: object) -> list[np.ndarray]:
     return out
 
 
-def unpack_all(payloads: pa.ChunkedArray, *types: object) -> list[np.ndarray]:
+def unpack_all(payloads, *types: object) -> list[np.ndarray]:
     parts = [unpack(p.as_py() if hasattr(p, "as_py") else p, *types) for p in payloads]
     if not parts:
         return [np.zeros(0, np.uint64 if isinstance(t, int) else t) for t in types]
     return [np.concatenate(x) for x in zip(*parts)]
 
 
+def of_kind(t: pa.Table, kind: int) -> pa.ChunkedArray:
+    """The payloads of one kind."""
+    return t.column("payload").filter(pa.array(t.column("kind").to_numpy() == kind))
+
+
 def short(x: np.ndarray, size: int) -> np.ndarray:
     """The low ``size`` bytes of each number."""
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]
@@ -142,25 +155,21 @@ def by_part(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int,
         yield int(part[lo]), [c[order[lo:hi]] for c in columns]
 
 
-def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "payload"])
+Rows = list[tuple[int, int, bytes]]
 
 
-def table(rows: list[tuple[int, bytes]]) -> pa.Table:
+def batch(rows: Rows) -> pa.RecordBatch:
+    part, kind, payload = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["part", "kind", "payload"])
+
+
+def table(rows: Rows) -> pa.Table:
     return pa.Table.from_batches([batch(rows)])
 
 
-def _packed_runs(owner, content, doc, ordinal, n_buckets: int, how: Windows, n_docs: int) -> list[tuple[int, bytes]]:
-    """Rows for the buckets of owners, and for repeats of a run in this very task, rows past them for its documents."""
-    again = shared_owner(owner)
-    again = again[np.lexsort((ordinal[again], doc[again], content[again], owner[again]))]
-    later = np.zeros(len(owner), bool)
-    later[again[repeats(owner[again], content[again], doc[again], ordinal[again], how)]] = True
-    rows = [(n_buckets + p, pack(d, o, np.full(len(d), REMOVE, np.uint8))) for p, (d, o) in by_part(dealt_np(doc[later], n_docs), [doc[later], ordinal[later]])]
-    owner, content, doc, ordinal = (x[~later] for x in (owner, content, doc, ordinal))
-    bucket = ((owner >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
-    rows += [(p, pack(short(a, 5), short(c, 6), d, o)) for p, (a, c, d, o) in by_part(bucket, [owner, content, doc, ordinal])]
-    return rows
+def passed_on(t: pa.Table, part: int) -> pa.Table:
+    """The same rows for ``part``."""
+    return t.select(["part", "kind", "payload"]).set_column(0, "part", pa.array(np.full(len(t), part, np.int32)))
 
 
 def shared_owner(owner: np.ndarray) -> np.ndarray:
@@ -173,136 +182,190 @@ def shared_owner(owner: np.ndarray) -> np.ndarray:
     return order[twice]
 
 
-def repeats(owner, content, doc, place, how: Windows) -> np.ndarray:
-    """For rows sorted by owner, content, doc and place: which are not the first of their owner and content."""
-    if not len(owner):
-        return np.zeros(0, bool)
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (content[1:] != content[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(owner)), 0))
+def repeats(same: list[np.ndarray], doc: np.ndarray, place: np.ndarray, how: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by the columns ``same``, doc and place: which repeat the first row of their kind, and the index of that row."""
+    if not len(doc):
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    new = np.zeros(len(doc), bool)
+    new[0] = True
+    for c in same:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     other = doc != doc[first]
-    return other | (place != place[first]) if how.within else other
+    return (other | (place != place[first]) if how.within else other), first
+
+
+def joined(doc, place, n, source, at) -> list[np.ndarray]:
+    """Spans of one document that follow one another or overlap along one source, as one span each."""
+    along = np.where(at < 0, 0, place.astype(np.int64) - at)
+    source = np.where(at < 0, 0, source)
+    order = np.lexsort((place, along, at < 0, source, doc))
+    doc, place, n, source, at, along = (x[order] for x in (doc, place, n, source, at, along))
+    if not len(doc):
+        return [doc, place, n, source, at]
+    line = np.zeros(len(doc), bool)
+    line[0] = True
+    for c in (doc, source, along, at < 0):
+        line[1:] |= c[1:] != c[:-1]
+    # ends grow along a line if each is offset by the line's number
+    number = np.cumsum(line).astype(np.int64) << np.int64(33)
+    reach = np.maximum.accumulate(number + place + n) - number
+    new = line.copy()
+    new[1:] |= place[1:] > reach[:-1]
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(doc)) - 1
+    return [doc[lo], place[lo], (reach[hi] - place[lo]).astype(np.int32), source[lo], at[lo]]
+
 
+def span_rows(n_parts: int, doc, place, n, source, at) -> Rows:
+    """Spans, packed for the parts of their documents."""
+    spans = joined(doc, place, n, source, at)
+    return [(p, SPANS, pack(*c)) for p, c in by_part(dealt_np(spans[0], n_parts), spans)]
 
-def emit(how: Windows, n_buckets: int, n_docs: int) -> Callable:
+
+def _past(rows: Rows, n_parts: int) -> Rows:
+    """Rows that the next grouping only passes on."""
+    return [(n_parts + p, k, c) for p, k, c in rows]
+
+
+def _packed_runs(owner, content, doc, place, n, n_parts: int, how: Windows) -> Rows:
+    """Rows for the buckets of owners, and for repeats of a run in this very task, spans for its documents."""
+    again = shared_owner(owner)
+    again = again[np.lexsort((place[again], doc[again], content[again], owner[again]))]
+    mask, first = repeats([owner[again], content[again]], doc[again], place[again], how)
+    one, source = again[mask], again[first[mask]]
+    rows = _past(span_rows(n_parts, doc[one], place[one], n[one], doc[source], place[source]), n_parts)
+    left = np.ones(len(owner), bool)
+    left[one] = False
+    owner, content, doc, place, n = (x[left] for x in (owner, content, doc, place, n))
+    bucket = ((owner >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int32)
+    return rows + [(p, RUNS, pack(short(a, 5), short(c, 6), d, o, short(m, 1))) for p, (a, c, d, o, m) in by_part(bucket, [owner, content, doc, place, n])]
+
+
+def emit(how: Windows, n_parts: int) -> Callable:
     def run(batches):
         have, size = [], 0
         for b in batches:
             for chunk in chunks(b):
                 r = find_runs(chunk, how)
-                have.append((r.owner, r.content, chunk.doc[r.row], r.ordinal.astype(np.int32)))
+                have.append((r.owner, r.content, chunk.doc[r.row], r.place, r.n))
                 size += len(chunk.data)
                 if size >= FLUSH_BYTES:
-                    yield batch(_packed_runs(*(np.concatenate(x) for x in zip(*have)), n_buckets, how, n_docs))
+                    yield batch(_packed_runs(*(np.concatenate(x) for x in zip(*have)), n_parts, how))
                     have, size = [], 0
         if have:
-            yield batch(_packed_runs(*(np.concatenate(x) for x in zip(*have)), n_buckets, how, n_docs))
+            yield batch(_packed_runs(*(np.concatenate(x) for x in zip(*have)), n_parts, how))
 
     return run
 
 
-def settle(how: Windows, n_buckets: int, n_docs: int) -> Callable:
-    """For one bucket of owners: repeats of whole runs, and the first runs of owners that branch."""
+def settle(how: Windows, n_parts: int, with_edges: bool) -> Callable:
+    """For one bucket of owners: repeats of whole runs, and the first runs of owners that branch.
+
+    with_edges: all runs of a repeated content, as edges of a graph, instead of spans.
+    """
 
     def run(key, t):
         part = key[0].as_py()
-        if part >= n_buckets:
-            return table([(part - n_buckets, p.as_py()) for p in t.column("payload")])
-        owner, content, doc, ordinal = unpack_all(t.column("payload"), 5, 6, np.int64, np.int32)
-        owner, content, doc, ordinal = (x[shared] for shared in [shared_owner(owner)] for x in (owner, content, doc, ordinal))
-        order = np.lexsort((ordinal, doc, content, owner))
-        owner, content, doc, ordinal = owner[order], content[order], doc[order], ordinal[order]
-        later = repeats(owner, content, doc, ordinal, how)
+        if part >= n_parts:
+            return passed_on(t, part - n_parts)
+        owner, content, doc, place, n = unpack_all(of_kind(t, RUNS), 5, 6, np.int64, np.int32, 1)
+        shared = shared_owner(owner)
+        order = shared[np.lexsort((place[shared], doc[shared], content[shared], owner[shared]))]
+        owner, content, doc, place, n = (x[order] for x in (owner, content, doc, place, n.astype(np.int32)))
+        later, first = repeats([owner, content], doc, place, how)
         new_owner = np.ones(len(owner), bool)
         new_owner[1:] = owner[1:] != owner[:-1]
-        group = np.cumsum(new_owner) - 1
         changes = np.zeros(len(owner), np.int64)
         changes[1:] = (content[1:] != content[:-1]) & ~new_owner[1:]
+        group = np.cumsum(new_owner) - 1
         branches = np.bincount(group, changes, minlength=1)[group] > 0 if len(owner) else np.zeros(0, bool)
-        flag = np.where(later, REMOVE, np.where(branches, BRANCH, 0)).astype(np.uint8)
-        doc, ordinal, flag = (x[flag > 0] for x in (doc, ordinal, flag))
-        return table([(p, pack(*c)) for p, c in by_part(dealt_np(doc, n_docs), [doc, ordinal, flag])])
+        if with_edges:
+            again = np.zeros(len(owner), bool)
+            again[later] = again[first[later]] = True
+            name = (content[again] << np.uint64(16)) | (owner[again] & np.uint64(0xFFFF))
+            source = first[again]
+            rows = [(-1, EDGES, pack(name, doc[again], place[again], n[again], doc[source], place[source]))] if again.any() else []
+        else:
+            source = first[later]
+            rows = span_rows(n_parts, doc[later], place[later], n[later], doc[source], place[source])
+        opened = branches & ~later
+        own = [doc[opened], place[opened], short(n[opened], 1), short(owner[opened], 5)]
+        to = dealt_np(doc[opened], n_parts)
+        return table(rows + [(p, OPEN, pack(*c, np.full(len(c[0]), part, np.int32))) for p, c in by_part(to, own)])
 
     return run
 
 
-def matches(doc: np.ndarray, ordinal: np.ndarray, of_doc: np.ndarray, of_ordinal: np.ndarray) -> np.ndarray:
-    """Which (doc, ordinal) occur among the others."""
-    if not len(of_doc):
-        return np.zeros(len(doc), bool)
-    names = np.unique(of_doc)
-    key = lambda d, o: np.minimum(np.searchsorted(names, d), len(names) - 1) << np.int64(32) | o.astype(np.int64)
-    known = names[np.minimum(np.searchsorted(names, doc), len(names) - 1)] == doc
-    return known & np.isin(key(doc, ordinal), key(of_doc, of_ordinal))
+def first_rows(t: pa.Table, docs: np.ndarray) -> pa.Table:
+    """doc_id and text of the given documents, one row each."""
+    ids = t.column("doc_id").to_numpy()
+    own, at = np.unique(ids, return_index=True)
+    return t.select(["doc_id", "text"]).take(pa.array(at[np.isin(own, docs)]))
+
 
+def rows_of(chunk: Chunk, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries sorted by ``doc``: pairs of a row of the chunk and an entry of its document."""
+    lo, hi = np.searchsorted(doc, chunk.doc), np.searchsorted(doc, chunk.doc, "right")
+    row = np.repeat(np.arange(len(chunk.doc)), hi - lo)
+    return row, np.repeat(lo, hi - lo) + ragged_arange(hi - lo)
 
-def only_docs(t: pa.Table, docs: np.ndarray) -> pa.Table:
-    return t.filter(pa.array(np.isin(t.column("doc_id").to_numpy(), docs)))
 
+def sorted_by(columns: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
 
-def open_branches(how: Windows, n_buckets: int, n_docs: int) -> Callable:
-    """For the documents of one part: the windows of runs marked BRANCH.
 
-    Words: for buckets of owner and content, so that one owner spreads; repeats within a chunk go past them, as spans.
+def open_branches(how: Windows, n_parts: int) -> Callable:
+    """For the documents of one part: the windows of runs that are to be opened.
+
+    Words: for buckets of their content, so that one owner spreads; repeats within a chunk go past them, as spans.
     Bytes: for the buckets of their owners.
     """
 
-    def run(key, docs, flags):
-        doc, ordinal, flag = unpack_all(flags.column("payload"), np.int64, np.int32, np.uint8)
-        doc, ordinal = doc[flag == BRANCH], ordinal[flag == BRANCH]
-        rows: list[tuple[int, bytes]] = []
-        for chunk in chunks(only_docs(docs, np.unique(doc)).select(["doc_id", "text"]).combine_chunks()):
-            r = find_runs(chunk, how)
-            hit = np.flatnonzero(matches(chunk.doc[r.row], r.ordinal, doc, ordinal))
-            if not len(hit):
-                continue
-            owner, start, n, row = r.owner[hit], r.start[hit], r.n[hit], r.row[hit]
-            place = (start - r.first[row]).astype(np.int32)
-            bucket = ((owner >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
+    def run(key, docs, found):
+        doc, place, n, owner, bucket = sorted_by(unpack_all(of_kind(found, OPEN), np.int64, np.int32, 1, 5, np.int32))
+        rows: Rows = []
+        for chunk in chunks(first_rows(docs, doc).combine_chunks()):
+            tokens, first, _ = tokens_of(chunk, how)
+            row, own = rows_of(chunk, doc)
+            length = n[own].astype(np.int64) + how.width - 1
+            start = first[row] + place[own]
+            inside = start + length <= first[row + 1]
+            row, own, start, length = row[inside], own[inside], start[inside], length[inside]
             if how.by_word:
-                at = np.repeat(start, n) + ragged_arange(n)
-                each = [np.repeat(owner, n), span_hash(r.sums, at, at + how.width), np.repeat(chunk.doc[row], n), (np.repeat(place, n) + ragged_arange(n)).astype(np.int32)]
+                sums, m = prefix_sums(tokens), length - how.width + 1
+                at = np.repeat(start, m) + ragged_arange(m)
+                each = [span_hash(sums, at, at + how.width), np.repeat(chunk.doc[row], m), (np.repeat(place[own], m) + ragged_arange(m)).astype(np.int32)]
                 order = np.lexsort(each[::-1])
-                each = [x[order] for x in each]
-                later = repeats(*each, how)
-                rows += [(n_buckets + p, c) for p, c in _span_rows(each[2][later], each[3][later], n_docs)]
-                each = [x[~later] for x in each]
-                part = (mix(each[1] ^ (each[0] >> np.uint64(40))) % np.uint64(n_buckets)).astype(np.int64)
-                rows += [(p, pack(short(a, 5), short(c, 6), d, o)) for p, (a, c, d, o) in by_part(part, each)]
+                content, d, o = (x[order] for x in each)
+                later, before = repeats([content], d, o, how)
+                source = before[later]
+                rows += _past(span_rows(n_parts, d[later], o[later], np.ones(len(source), np.int32), d[source], o[source]), n_parts)
+                part = (content[~later] % np.uint64(n_parts)).astype(np.int64)
+                rows += [(p, WINDOWS, pack(*c)) for p, c in by_part(part, [content[~later], d[~later], o[~later]])]
             else:
-                length = (n + how.width - 1).astype(np.int32)
-                sub = ((owner >> np.uint64(32)) % np.uint64(SUB_BUCKETS)).astype(np.uint8)
-                for p, (s, m, d, o, b) in by_part(bucket, [start, length, chunk.doc[row], place, sub]):
-                    rows.append((p, pack(d, o, m, b) + chunk.data[np.repeat(s, m) + ragged_arange(m)].tobytes()))
+                sub = ((owner[own] >> np.uint64(32)) % np.uint64(SUB_BUCKETS)).astype(np.uint8)
+                for p, (s, m, d, o, b) in by_part(bucket[own], [start, length.astype(np.int32), chunk.doc[row], place[own], sub]):
+                    rows.append((p, WINDOWS, pack(d, o, m, b) + chunk.data[np.repeat(s, m) + ragged_arange(m)].tobytes()))
         return table(rows)
 
     return run
 
 
-def _span_rows(doc: np.ndarray, place: np.ndarray, n_docs: int) -> list[tuple[int, bytes]]:
-    """Single windows to remove, consecutive ones joined, for their documents."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
-    lo = np.flatnonzero(new)
-    hi = np.append(lo[1:], len(doc)) - 1 if len(doc) else lo
-    doc, start, n = doc[lo], place[lo], (place[hi] - place[lo] + 1).astype(np.int32)
-    return [(p, pack(*c)) for p, c in by_part(dealt_np(doc, n_docs), [doc, start, n])]
-
-
-def settle_words(how: Windows, n_buckets: int, n_docs: int) -> Callable:
-    """For one bucket of owners and contents: single windows that are not the first of their kind."""
+def settle_words(how: Windows, n_parts: int) -> Callable:
+    """For one bucket of contents: single windows that are not the first of their kind."""
 
     def run(key, t):
         part = key[0].as_py()
-        if part >= n_buckets:
-            return table([(part - n_buckets, p.as_py()) for p in t.column("payload")])
-        owner, content, doc, place = unpack_all(t.column("payload"), 5, 6, np.int64, np.int32)
-        order = np.lexsort((place, doc, content, owner))
-        owner, content, doc, place = owner[order], content[order], doc[order], place[order]
-        later = repeats(owner, content, doc, place, how)
-        return table(_span_rows(doc[later], place[later], n_docs))
+        if part >= n_parts:
+            return passed_on(t, part - n_parts)
+        content, doc, place = unpack_all(of_kind(t, WINDOWS), np.uint64, np.int64, np.int32)
+        order = np.lexsort((place, doc, content))
+        content, doc, place = content[order], doc[order], place[order]
+        later, first = repeats([content], doc, place, how)
+        source = first[later]
+        return table(span_rows(n_parts, doc[later], place[later], np.ones(len(source), np.int32), doc[source], place[source]))
 
     return run
 
@@ -346,7 +409,7 @@ def window_classes(data: np.ndarray, starts: np.ndarray, width: int, q: int = 8)
     return np.where(pointer[starts] <= n, pointer[starts], -1)
 
 
-def settle_bytes(how: Windows, n_docs: int) -> Callable:
+def settle_bytes(how: Windows, n_parts: int) -> Callable:
     """For one bucket of owners: single windows whose bytes also start in a document of smaller doc_id."""
 
     def repeated(doc, place, length, data):
@@ -357,17 +420,14 @@ def settle_bytes(how: Windows, n_docs: int) -> Callable:
         kind = window_classes(data, starts, how.width)
         seen = kind >= 0
         kind, doc, place = kind[seen], doc[seen], place[seen]
-        order = np.lexsort((doc, kind))
+        order = np.lexsort((place, doc, kind))
         kind, doc, place = kind[order], doc[order], place[order]
-        new = np.ones(len(kind), bool)
-        new[1:] = kind[1:] != kind[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(kind)), 0)) if len(kind) else np.zeros(0, np.int64)
-        later = doc != doc[first]
+        later, _ = repeats([kind], doc, place, how)
         return doc[later], place[later]
 
     def run(key, t):
         held: dict[int, list] = {}
-        for p in t.column("payload"):
+        for p in of_kind(t, WINDOWS):
             raw = p.as_py()
             d, o, m, b = unpack(raw, np.int64, np.int32, np.int32, np.uint8)
             text = np.frombuffer(raw, np.uint8, -1, 8 + len(d) * 17)
@@ -379,56 +439,118 @@ def settle_bytes(how: Windows, n_docs: int) -> Callable:
         if not found:
             return table([])
         doc, place = (np.concatenate(x) for x in zip(*found))
-        return table(_span_rows(doc, place, n_docs))
+        sure = np.full(len(doc), -1, np.int32)  # the refinement has compared the bytes
+        return table(span_rows(n_parts, doc, place, np.ones(len(doc), np.int32), np.zeros(len(doc), np.int64), sure))
 
     return run
 
 
-def removed_mask(chunk: Chunk, how: Windows, gone_doc, gone_ordinal, span_doc, span_start, span_n, first: np.ndarray, n_tokens: int) -> np.ndarray:
-    """Which tokens of a chunk are covered by a repeated window."""
-    edge = np.zeros(n_tokens + 1, np.int64)
-    if len(gone_doc):
-        r = find_runs(chunk, how)
-        hit = matches(chunk.doc[r.row], r.ordinal, gone_doc, gone_ordinal)
-        np.add.at(edge, r.start[hit], 1)
-        np.add.at(edge, r.start[hit] + r.n[hit] + how.width - 1, -1)
-    for row in np.flatnonzero(np.isin(chunk.doc, span_doc)):
-        own = span_doc == chunk.doc[row]
-        lo = first[row] + span_start[own].astype(np.int64)
-        np.add.at(edge, lo, 1)
-        np.add.at(edge, lo + span_n[own] + how.width - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+def gather(n_parts: int) -> Callable:
+    """For one part: its spans, joined, and past them the source passages that it asks the parts of their documents for."""
 
+    def run(key, t):
+        part = key[0].as_py()
+        doc, place, n, source, at = joined(*unpack_all(of_kind(t, SPANS), *SPAN))
+        rows: Rows = [(part, SPANS, pack(doc, place, n, source, at))]
+        open_ = at >= 0
+        order = np.lexsort((n[open_], at[open_], source[open_]))
+        ask = [source[open_][order], at[open_][order], n[open_][order]]
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = False
+            for c in ask:
+                new[1:] |= c[1:] != c[:-1]
+        ask = [c[new] for c in ask]
+        return table(rows + [(n_parts + p, ASKED, pack(*c, np.full(len(c[0]), part, np.int32))) for p, c in by_part(dealt_np(ask[0], n_parts), ask)])
 
-def repeated_windows(docs: DataFrame, how: Windows, finish: Callable, schema: str) -> DataFrame:
-    """``finish(chunk, mask_of)`` for every document, by chunks, to Arrow tables of ``schema``.
+    return run
 
-    docs: doc_id (not null) and text (not null). ``mask_of(first, n)`` gives,
-    for the tokens of the chunk, which are covered by a repeated window.
-    """
-    spark = docs.sparkSession
-    n = 2 * n_parts(spark)
-    settled = docs.mapInArrow(emit(how, n, n), PACKED).groupBy("part").applyInArrow(settle(how, n, n), PACKED)
-    flags = stored(settled, "runs")
-    parted = docs.select("doc_id", "text", dealt(F.col("doc_id"), n).alias("part"))
-    opened = parted.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(open_branches(how, n, n), PACKED)
-    spans = opened.groupBy("part").applyInArrow(settle_words(how, n, n) if how.by_word else settle_bytes(how, n), PACKED)
-    found = flags.withColumn("kind", F.lit(0)).unionByName(spans.withColumn("kind", F.lit(1)))
-
-    def last(key, docs, found):
-        kind = found.column("kind").to_numpy()
-        payloads = found.column("payload").to_pylist()
-        doc, ordinal, flag = unpack_all([p for p, k in zip(payloads, kind) if k == 0], np.int64, np.int32, np.uint8)
-        doc, ordinal = doc[flag == REMOVE], ordinal[flag == REMOVE]
-        span_doc, span_start, span_n = unpack_all([p for p, k in zip(payloads, kind) if k == 1], np.int64, np.int32, np.int32)
+
+def plain_bytes(chunk: Chunk, w: Words | None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a chunk as they are compared (words one space apart), and where each token begins in them, and the end."""
+    if w is None:
+        return chunk.data, np.arange(len(chunk.data) + 1)
+    size = w.end - w.start
+    begin = np.append(0, np.cumsum(size + 1))
+    out = np.full(begin[-1], ord(" "), np.uint8)
+    out[np.repeat(begin[:-1], size) + ragged_arange(size)] = chunk.data[np.repeat(w.start, size) + ragged_arange(size)]
+    return out, begin
+
+
+def fetch(how: Windows) -> Callable:
+    """For the documents of one part: the passages that others ask for, packed for the askers' parts."""
+
+    def run(key, docs, asked):
+        source, at, n, part = sorted_by(unpack_all(of_kind(asked, ASKED), np.int64, np.int32, np.int32, np.int32))
+        rows: Rows = []
+        for chunk in chunks(first_rows(docs, source).combine_chunks()):
+            _, first, w = tokens_of(chunk, how) if how.by_word else (None, chunk.off, None)
+            data, begin = plain_bytes(chunk, w)
+            row, own = rows_of(chunk, source)
+            start = first[row] + at[own]
+            stop = start + n[own] + how.width - 1
+            inside = stop <= first[row + 1]
+            own, lo, hi = own[inside], begin[start[inside]], begin[stop[inside]]
+            for p, (s, a, m, x, y) in by_part(part[own], [source[own], at[own], n[own], lo, hi]):
+                rows.append((p, PASSAGES, pack(s, a, m, y - x) + data[np.repeat(x, y - x) + ragged_arange(y - x)].tobytes()))
+        return table(rows)
+
+    return run
+
+
+def compared(how: Windows, finish: Callable) -> Callable:
+    """For the documents of one part: spans whose bytes equal those of their source are removed."""
+
+    def run(key, docs, found):
+        doc, place, n, source, at = sorted_by(unpack_all(of_kind(found, SPANS), *SPAN))
+        passages: dict = {}
+        for p in of_kind(found, PASSAGES):
+            raw = p.as_py()
+            s, a, m, size = unpack(raw, np.int64, np.int32, np.int32, np.int64)
+            ends = 8 + len(s) * 24 + np.cumsum(size)
+            view = memoryview(raw)
+            passages.update({(x, y, z): view[e - k : e] for x, y, z, k, e in zip(s.tolist(), a.tolist(), m.tolist(), size.tolist(), ends.tolist())})
         out = []
         for chunk in chunks(docs.select(["doc_id", "text"]).combine_chunks()):
-            own, spans = np.isin(doc, chunk.doc), np.isin(span_doc, chunk.doc)
+            _, first, w = tokens_of(chunk, how) if how.by_word else (None, chunk.off, None)
+            row, own = rows_of(chunk, doc)
+            start = first[row] + place[own]
+            stop = start + n[own] + how.width - 1
+            inside = stop <= first[row + 1]
+            own, start, stop = own[inside], start[inside], stop[inside]
+            same = at[own] < 0
+            if not same.all():
+                data, begin = plain_bytes(chunk, w)
+                raw = memoryview(data.tobytes())
+                for i in np.flatnonzero(~same).tolist():
+                    j = own[i]
+                    same[i] = passages.get((source[j], at[j], n[j])) == raw[begin[start[i]] : begin[stop[i]]]
+            edge = np.zeros(first[-1] + 1, np.int64)
+            np.add.at(edge, start[same], 1)
+            np.add.at(edge, stop[same], -1)
+            out.append(finish(chunk, w, np.cumsum(edge[:-1]) > 0))
+        return pa.concat_tables(out) if out else finish(Chunk(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)), None, np.zeros(0, bool))
+
+    return run
 
-            def mask_of(first, n_tokens, chunk=chunk, own=own, spans=spans):
-                return removed_mask(chunk, how, doc[own], ordinal[own], span_doc[spans], span_start[spans], span_n[spans], first, n_tokens)
 
-            out.append(finish(chunk, mask_of))
-        return pa.concat_tables(out) if out else finish(Chunk(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)), lambda first, n: np.zeros(n, bool))
+def repeated_windows(docs: DataFrame, how: Windows, finish: Callable, schema: str, compact: Callable | None = None) -> DataFrame:
+    """``finish(chunk, words, gone)`` for every document, by chunks, to Arrow tables of ``schema``.
 
-    return parted.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(last, schema)
+    docs: doc_id (not null) and text (not null). ``gone`` tells, for the tokens
+    of the chunk, which are covered by a repeated window. compact: makes long
+    spans of the runs that repeat as a whole, given as rows of ``edge_rows``.
+    """
+    n = part_count(docs)
+    flags = stored(docs.mapInArrow(emit(how, n), PACKED).groupBy("part").applyInArrow(settle(how, n, compact is not None), PACKED), "runs")
+    spans = flags.filter(F.col("kind") == SPANS)
+    if compact is not None:
+        spans = spans.unionByName(compact(flags.filter(F.col("kind") == EDGES), n))
+    parted = docs.select("doc_id", "text", dealt(F.col("doc_id"), n).alias("part"))
+    opened = parted.groupBy("part").cogroup(flags.filter(F.col("kind") == OPEN).groupBy("part")).applyInArrow(open_branches(how, n), PACKED)
+    spans = spans.unionByName(opened.groupBy("part").applyInArrow(settle_words(how, n) if how.by_word else settle_bytes(how, n), PACKED))
+    found = stored(spans.groupBy("part").applyInArrow(gather(n), PACKED), "spans")
+    asked = found.filter(F.col("kind") == ASKED).withColumn("part", F.col("part") - n)
+    passages = parted.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(fetch(how), PACKED)
+    told = found.filter(F.col("kind") == SPANS).unionByName(passages)
+    return parted.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(compared(how, finish), schema)

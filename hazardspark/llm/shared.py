@@ -7,10 +7,14 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (tests), a local one is made and set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,11 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends, and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends, and a lost executor costs no recomputation.
+
+    batch_rows: rows per Arrow batch at most; fewer where rows are large.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, batch_rows):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,29 +46,46 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+PART_BYTES = 8 << 20
+
+
+def part_count(docs: DataFrame) -> int:
+    """How many parts of documents to deal: as many as keep a part, which one task holds whole, to some megabytes of text."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2 * n_parts(docs.sparkSession), -(-total // PART_BYTES))
+
+
 def dealt(doc_id: Column, n: int) -> Column:
     """The part, of ``n``, that a document belongs to; ``dealt_np`` is its numpy twin."""
-    return F.pmod(doc_id.bitwiseXOR(F.shiftrightunsigned(doc_id, 11)).bitwiseXOR(F.shiftrightunsigned(doc_id, 23)), F.lit(n).cast("long")).cast("int")
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(n).cast("long")).cast("int")
 
 
-def dealt_np(doc_id, n: int):
-    import numpy as np
+def dealt_np(doc_id: np.ndarray, n: int) -> np.ndarray:
+    return np.mod(hash_np(doc_id), n).astype(np.int32)
 
-    x = doc_id.view(np.uint64)
-    x = (x ^ (x >> np.uint64(11)) ^ (x >> np.uint64(23))).view(np.int64)
-    return np.mod(x, n).astype(np.int32)
 
+# The five primes of the public 64-bit xxHash.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-BATCH_ROWS = 1000
+
+def hash_np(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a column of longs."""
+    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+    with np.errstate(over="ignore"):
+        h = np.uint64(42 + 8) + P5
+        h = turn(h ^ (turn(np.asarray(x).astype(np.int64).view(np.uint64) * P2, 31) * P1), 27) * P1 + P4
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Fewer rows per Arrow batch than by default while a table is written: texts are long, and a task holds a batch several times over."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:

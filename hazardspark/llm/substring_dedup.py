@@ -1,17 +1,17 @@
-"""Substring dedup by words: minimiser runs, in place of a De Bruijn graph.
+"""Substring dedup by words: compaction of a De Bruijn graph.
 
-There are no nodes, degrees or joins of successive edges. Consecutive windows of
-``width`` words that share an owner gram form a run (see ``runs``). Spark groups
-runs by owner and compacts those that repeat as a whole to their first
-occurrence. Where runs of one owner differ, their windows are compared one by
-one, by hash: words are not compared at their coordinates. Source coordinates (doc_id, first word)
-decide which occurrence is the first, and in the last join they mark the long
-repeated spans in the source texts.
+Windows of ``width`` words are the edges of the graph, the words that two
+successive ones share its nodes. ``runs`` finds the edges that repeat, in runs
+that nothing branches off; where runs of one owner differ, their windows are
+compared one by one. ``graph`` joins the runs that always follow one another to
+whole repeated paths. Every occurrence of a path but the first is a span of
+words with a source, the coordinates (doc_id, first word) of the first, and is
+removed if its words are those of the source.
 
 Results for odd rows: a null or empty text has no words; a null doc_id has no
 place in the order, so its row is kept whole and is no source for others; rows
 that repeat a doc_id are taken as one document with one text, and each of them
-gets the same result; other columns are ignored; an empty table gives an empty
+gets the same result; a text of any length is read whole, in one task; other columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, words
+from .graph import compact
 from .runs import Windows, repeated_windows
 from .shared import with_nulls
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def _finish(chunk, mask_of) -> pa.Table:
-    w = words(chunk)
-    gone = mask_of(w.first, len(w.start))
+def _finish(chunk, w, gone) -> pa.Table:
+    w = w or words(chunk)
     raw, keep = chunk.data.tobytes(), ~gone
     n = np.diff(w.first)
     before = np.append(0, np.cumsum(gone))
@@ -54,12 +54,13 @@ def dedup_word_spans(docs: DataFrame, width: int = 20, gram: int = 8) -> DataFra
     input.
     """
     docs = with_nulls(docs)
-    found = repeated_windows(docs.filter("doc_id is not null"), Windows(width, min(gram, width), True, True), _finish, SCHEMA)
+    found = repeated_windows(docs.filter("doc_id is not null"), Windows(width, min(gram, width), True, True), _finish, SCHEMA, compact)
 
     def alone(batches):
         for b in batches:
             for chunk in chunks(b.set_column(0, "doc_id", pa.nulls(len(b), pa.int64()).fill_null(0))):
-                out = _finish(chunk, lambda first, n: np.zeros(n, bool))
+                w = words(chunk)
+                out = _finish(chunk, w, np.zeros(len(w.start), bool))
                 yield from out.set_column(0, "doc_id", pa.nulls(len(out), pa.int64())).to_batches()
 
     return found.unionByName(docs.filter("doc_id is null").mapInArrow(alone, SCHEMA))

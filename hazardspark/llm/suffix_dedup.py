@@ -3,15 +3,17 @@
 Of all suffixes, only those at content-chosen anchors are put in the initial
 buckets: the q-gram of smallest hash in every ``width`` bytes (see ``runs``).
 Spark deals the buckets to tasks by their q-gram. Buckets of one suffix are
-settled; buckets whose suffixes agree as far as their windows reach are settled
-as repeats. The rest carry their bytes along and are refined by sorting on
-bucket pointers of later offsets, each round reusing the pointers of the last
-(``runs.window_classes``), until the depth is ``width``.
+settled. Where the suffixes of a bucket differ within the reach of their
+windows, one of each kind carries its bytes along, and these are refined by
+sorting on bucket pointers of later offsets, each round reusing the pointers of
+the last (``runs.window_classes``), until the depth is ``width``. Suffixes that
+are alike by hash as far as their windows reach take a shorter way to the same
+end: their bytes are compared with those of the first of them.
 
 Results for odd rows: a null or empty text has no bytes; a null doc_id has no
 place in the order, so its row is kept whole and is no source for others; rows
 that repeat a doc_id are one document with one text, and each of them gets the
-same result; other columns are ignored; an empty table gives an empty result.
+same result; a text of any length is read whole, in one task; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +30,8 @@ from .shared import with_nulls
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _finish(chunk, mask_of) -> pa.Table:
+def _finish(chunk, w, gone) -> pa.Table:
     off, n = chunk.off, len(chunk.data)
-    gone = mask_of(off, n)
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     edges = off[1:-1][off[1:-1] < n]
@@ -57,7 +58,7 @@ def dedup_byte_spans(docs: DataFrame, width: int = 50, gram: int = 20) -> DataFr
     def alone(batches):
         for b in batches:
             for chunk in chunks(b.set_column(0, "doc_id", pa.nulls(len(b), pa.int64()).fill_null(0))):
-                out = _finish(chunk, lambda first, n: np.zeros(n, bool))
+                out = _finish(chunk, None, np.zeros(len(chunk.data), bool))
                 yield from out.set_column(0, "doc_id", pa.nulls(len(out), pa.int64())).to_batches()
 
     return found.unionByName(docs.filter("doc_id is null").mapInArrow(alone, SCHEMA))

@@ -77,6 +77,7 @@ def test_components_match_brute_force(spark):
 
 def test_groups_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 200)
     rows = corpus(4)
     got = jaccard_components(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
@@ -103,6 +104,42 @@ def test_overlaps_of_two_blocks():
     assert (overlaps(sets[:15], sets[15:]) == want[:15, 15:]).all()
 
 
+def test_one_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, "some other text of its own"), (2, " ".join([*words, "more"])), (7, "a b c d e f"), (8, "g h i j k l"), (9, "a b c d e f"), (9, "g h i j k l")]
+    got = jaccard_components(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 57, 1), (2, 3, 1), (2, 58, 1), (7, 3, 7), (8, 3, 7), (9, 3, 7), (9, 3, 7)]
+
+
+def test_a_large_group_of_near_copies_moves_no_pairs(spark):
+    """3,000 different near copies: every set meets the leader once, so hardly a block is left to multiply."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    seen: list = []
+    keep = ngram_join.stored
+    try:
+        ngram_join.stored = lambda df, name, **how: (seen.append((name, out := keep(df, name, **how))), out)[1]
+        got = jaccard_components(docs)
+        assert {r.component_id for r in got.collect()} == {0}
+    finally:
+        ngram_join.stored = keep
+    rows_of = {name: df.count() for name, df in seen}
+    assert rows_of["with-leader"] < 3 * len(rows) and rows_of["links"] + rows_of["direct"] < 3 * len(rows)
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 7919}x{i % 31}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, "w1x1 w2x2 w3x3 w4x4 w5x5")]
+    got = jaccard_components(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = jaccard_components(frame(spark, [(None, text), (3, text), (5, text.upper())])).collect()

@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hazardspark.llm.runs import window_classes
+from hazardspark.llm.graph import nonbranching, paths
+from hazardspark.llm.runs import PASSAGES, SPAN, SPANS, Windows, compared, pack, table, window_classes
 from hazardspark.llm.substring_dedup import dedup_word_spans
 from hazardspark.llm.suffix_dedup import dedup_byte_spans
 
@@ -124,3 +126,30 @@ def test_bucket_pointers_tell_windows_apart():
         assert all(len(set(g)) == 1 and g[0] >= 0 for g in groups.values() if len(g) > 1)
         ids = [g[0] for g in groups.values() if g[0] >= 0]
         assert len(set(ids)) == len(ids)
+
+
+def test_nothing_goes_by_hash_alone():
+    """A span whose source turns out to have other words or bytes stays."""
+    docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b  c d", "a b c d"]})
+    for by_word, right, wrong in ((True, b"a b c ", b"a b x "), (False, b"a b  c", b"a b xc")):
+        how = Windows(3 if by_word else 6, 2, by_word, True)
+        for passage, n in ((right, 1), (wrong, 0)):
+            span = pack(*(np.array([v], t) for v, t in zip((1, 0, 1, 7, 0), SPAN)))
+            told = pack(np.array([7], np.int64), np.array([0], np.int32), np.array([1], np.int32), np.array([len(passage)], np.int64)) + passage
+            found = table([(0, SPANS, span), (0, PASSAGES, told)])
+            out = compared(how, lambda chunk, w, gone: pa.table({"gone": [int(gone.sum())]}))(None, docs, found)
+            assert sum(out.column("gone").to_pylist()) == n * how.width
+
+
+def test_paths_of_a_graph(spark):
+    """Edge 10 to 14 always follow one another; 15 follows 14 in one document only."""
+    rows, names = [], [10, 11, 12, 13, 14]
+    for doc, more in ((1, [15]), (2, [16, 15]), (3, [])):
+        place = 100 * doc
+        for name in [*names, *more]:
+            rows.append((name, doc, place, 3, 1, 0))
+            place += 3
+    edges = spark.createDataFrame(rows, "name long, doc long, place int, n int, source long, at int")
+    links = nonbranching(edges)
+    assert {(r.name, r.next) for r in links.collect()} == set(zip(names, names[1:]))
+    assert {(r.name, r.total) for r in paths(links, edges).collect()} == {(10, 15), (11, 12), (12, 9), (13, 6)}
