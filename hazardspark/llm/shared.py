@@ -50,9 +50,9 @@ PART_BYTES = 8 << 20
 
 
 def part_count(docs: DataFrame) -> int:
-    """How many parts of documents to deal: as many as keep a part, which one task holds whole, to some megabytes of text."""
+    """How many parts of documents to deal: some per core, and as many as keep a part, which a task holds whole, to some megabytes of text."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(2 * n_parts(docs.sparkSession), -(-total // PART_BYTES))
+    return max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
 
 
 def dealt(doc_id: Column, n: int) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardspark.llm.ann import nearest
+from hazardspark.llm.ann import fitted, nearest
 from hazardspark.llm.quality import keep_good, quality_scores
 from hazardspark.llm.toxicity import toxicity_scores
 
@@ -74,6 +74,27 @@ def test_recall_of_neighbours(spark):
         assert recall >= 0.9
 
 
+def test_probes_follow_the_data():
+    """Clustered vectors need a small share of all visits; independent ones most of them."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(200, 32))
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    clustered = unit(np.repeat(centres, 25, axis=0) + 0.1 * rng.normal(size=(5000, 32)))
+    apart = unit(rng.normal(size=(5000, 32)))
+    shares = [fitted(m, 1.0 + 1e-9, 10**9, 20)[3] for m in (clustered, apart)]
+    print("share of candidates: clustered", shares[0], "independent", shares[1])
+    assert shares[0] < 0.1 < shares[1]
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(5, [1e160, 1.0]), (5, [-3.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    results = [sorted(map(tuple, nearest(v, q, k=3).collect())) for v, q in ((vectors, queries), (vectors.repartition(5), queries.repartition(3)))]
+    assert results[0] == results[1] and len(results[0]) == 90
+    assert [r[2] for r in results[0] if r[0] == 5] != []
+
+
 def test_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
