@@ -35,23 +35,27 @@ def recode_outcome(df: DataFrame, name: str, codes: dict) -> DataFrame:
     return df.withColumn(name, F.when(_among(key, codes["event"]), 1.0).when(_among(key, codes["censored"]), 0.0))
 
 
-def select_rows(df: DataFrame, selection: dict | None) -> DataFrame:
-    """Rows that every entry of a selection admits: values compared by key, ranges closed at both ends."""
+def selected(df: DataFrame, selection: dict | None) -> tuple[DataFrame, Column]:
+    """``df`` with the columns of ranges as numbers, and the condition that every entry of the selection admits a row."""
+    admits = F.lit(True)
     for name, spec in (selection or {}).items():
         if name not in df.columns:
             raise UserInputError(f"selection variable '{name}' is not a column")
         if isinstance(spec, dict):
-            value = to_number(q(name), dtype(df, name))
-            inside = F.lit(True)
+            df = df.withColumn(name, to_number(q(name), dtype(df, name)))
             if "start" in spec:
-                inside &= value >= float(spec["start"])
+                admits &= q(name) >= float(spec["start"])
             if "end" in spec:
-                inside &= value <= float(spec["end"])
-            df = df.withColumn(name, value).filter(inside)
+                admits &= q(name) <= float(spec["end"])
         else:
-            key = term_key(q(name), dtype(df, name))
-            df = df.filter(_among(key, spec))
-    return df
+            admits &= _among(term_key(q(name), dtype(df, name)), spec)
+    return df, F.coalesce(admits, F.lit(False))
+
+
+def select_rows(df: DataFrame, selection: dict | None) -> DataFrame:
+    """Rows that every entry of a selection admits: values compared by key, ranges closed at both ends."""
+    df, admits = selected(df, selection)
+    return df.filter(admits)
 
 
 def _lookup(codes: dict, key: Column) -> Column:
@@ -87,9 +91,18 @@ def encode(df: DataFrame, covariates: Covariates, key: Key | None = None) -> Dat
     return df.withColumns(keys).withColumns(new).drop(*keys) if new else df
 
 
+def complete(df: DataFrame, names: list[str]) -> Column:
+    """That none of the given columns is null or NaN; unknown names are ignored."""
+    whole = F.lit(True)
+    for n in names:
+        if n in df.columns:
+            whole &= q(n).isNotNull() & ~F.isnan(q(n)) if dtype(df, n) in ("double", "float") else q(n).isNotNull()
+    return whole
+
+
 def drop_incomplete(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows without null or NaN in the given columns; unknown names are ignored."""
-    return df.na.drop(subset=[n for n in names if n in df.columns]) if set(names) & set(df.columns) else df
+    return df.filter(complete(df, names))
 
 
 def group_masks(covariates: Covariates) -> list[tuple[str, Column]]:
@@ -105,4 +118,4 @@ def group_masks(covariates: Covariates) -> list[tuple[str, Column]]:
     return out
 
 
-__all__ = ["Categorical", "coerce_numbers", "drop_incomplete", "encode", "group_masks", "q", "recode_outcome", "select_rows"]
+__all__ = ["Categorical", "coerce_numbers", "complete", "drop_incomplete", "encode", "group_masks", "q", "recode_outcome", "select_rows", "selected"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,18 +37,23 @@ def check_schema(df: DataFrame, time: str, outcome: str) -> None:
             raise UserInputError(f"{what} column '{name}' is not numeric")
 
 
-def sizes(df: DataFrame, time: str, outcome: str, covariates: Covariates) -> DataFrame:
-    """Per site: rows, events, rows and events of each category (g0, e0, ...), and what is wrong with the columns."""
-    t, e = q(time).cast("double"), q(outcome).cast("double")
+def sizes(df: DataFrame, time: str, outcome: str, covariates: Covariates, where: Column | None = None, masks: list[Column] | None = None) -> DataFrame:
+    """Per site: rows, events, rows and events of each category (g0, e0, ...), and what is wrong with the columns.
+
+    where: only rows that fulfil it count; sites without one are still told. masks: the categories, by default
+    those of ``covariates``.
+    """
+    where = F.lit(True) if where is None else where
+    t, e = (F.when(where, q(c).cast("double")) for c in (time, outcome))
     aggs = [
-        F.count(F.lit(1)).alias("rows"),
+        F.count_if(where).alias("rows"),
         F.count_if(e == 1).alias("events"),
         F.max(F.isnan(t) | (F.abs(t) == float("inf"))).alias("unbounded"),
         F.min(t).alias("first"),
         F.max(~e.isin(0.0, 1.0)).alias("odd_outcome"),
     ]
-    for i, (_, mask) in enumerate(group_masks(covariates)):
-        aggs += [F.count_if(mask).alias(f"g{i}"), F.count_if(mask & (e == 1)).alias(f"e{i}")]
+    for i, mask in enumerate([m for _, m in group_masks(covariates)] if masks is None else masks):
+        aggs += [F.count_if(where & mask).alias(f"g{i}"), F.count_if(where & mask & (e == 1)).alias(f"e{i}")]
     return df.groupBy("site").agg(*aggs)
 
 
@@ -67,12 +72,18 @@ def large_enough(rows: int, events: int, settings: Settings) -> bool:
     return rows > settings.threshold and rows >= settings.admission and events > settings.threshold
 
 
+def admitted(rows: list, sites: list[int], settings: dict[int, Settings]) -> dict[int, bool]:
+    """Which sites are large enough as a whole."""
+    by = {r.site: r for r in rows}
+    return {s: large_enough(by[s].rows if s in by else 0, by[s].events if s in by else 0, settings[s]) for s in sites}
+
+
 def check_sizes(rows: list, sites: list[int], covariates: Covariates, settings: dict[int, Settings]) -> None:
     """Every site, then every category at it, is large enough; messages name bounds, never counts."""
-    by = {r.site: r for r in rows}
+    by, whole = {r.site: r for r in rows}, admitted(rows, sites, settings)
     for site in sites:
         own, s = by.get(site), settings[site]
-        if not large_enough(own.rows if own else 0, own.events if own else 0, s):
+        if not whole[site]:
             raise PrivacyThresholdViolation(f"site {site}: sample size threshold not met (over {s.threshold} rows and events, {s.admission} rows at least)")
         for i, (name, _) in enumerate(group_masks(covariates)):
             if not large_enough(own[f"g{i}"], own[f"e{i}"], s):

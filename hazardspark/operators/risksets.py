@@ -40,10 +40,9 @@ def names(terms: int) -> list[str]:
 def slot_sums(rows: DataFrame, xs: list[Column], weight: Column, groups: list[Column] = []) -> DataFrame:  # noqa: B006
     """Per (site, slot): n, ng_k for each group, and the weighted sums of ``names``."""
     rows = rows.filter("slot >= 0").withColumns({"_w": weight, **{f"_x{i}": x for i, x in enumerate(xs)}})
-    w, x = F.col("_w"), [F.col(f"_x{i}") for i in range(len(xs))]
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.count_if(g).alias(f"ng_{k}") for k, g in enumerate(groups)], F.sum(w).alias("s0")]
-    aggs += [F.sum(w * x[i]).alias(f"s1_{i}") for i in range(len(x))]
-    aggs += [F.sum(w * x[i] * x[j]).alias(f"s2_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.count_if(g).alias(f"ng_{k}") for k, g in enumerate(groups)]]
+    parts = ["_w", *[f"_w * _x{i}" for i in range(len(xs))], *[f"_w * _x{i} * _x{j}" for i in range(len(xs)) for j in range(i, len(xs))]]
+    aggs += [F.expr(f"sum({e})").alias(c) for c, e in zip(names(len(xs)), parts)]
     return rows.groupBy("site", "slot").agg(*aggs)
 
 
@@ -51,9 +50,9 @@ def at_risk(sums: DataFrame, sites: DataFrame, n_slots: int) -> DataFrame:
     """Sums over all rows at risk, for every site and slot; ``sites`` has a column site."""
     values = [c for c in sums.columns if c not in ("site", "slot")]
     every = sites.select("site", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
-    full = every.join(sums, ["site", "slot"], "left").na.fill(0, values)
-    back = Window.partitionBy("site").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return full.select("site", "slot", *[F.sum(c).over(back).alias(c) for c in values])
+    back = "over (partition by site order by slot desc rows between unbounded preceding and current row)"
+    total = [f"sum(coalesce(`{c}`, 0)) {back} as `{c}`" for c in values]
+    return every.join(sums, ["site", "slot"], "left").selectExpr("site", "slot", *total)
 
 
 def effective_slots(risk: DataFrame, settings: DataFrame, n_groups: int = 0) -> DataFrame:
@@ -97,7 +96,9 @@ def released(risk: DataFrame, effective: DataFrame, settings: DataFrame, terms:
     """What each site releases per slot: held sums, rounded as it is set, then to what the exchange carries."""
     held = risk.withColumnRenamed("slot", "effective").join(effective, ["site", "effective"])
     held = held.join(F.broadcast(settings.select("site", "figures")), "site")
-    return held.select("site", "slot", *[round_figures(round_figures(F.col(c), F.col("figures")), WIRE_FIGURES).alias(c) for c in names(terms)])
+    own = F.transform(F.array(*names(terms)), lambda x: round_figures(x, F.col("figures")))
+    sent = F.transform(own, lambda x: round_figures(x, WIRE_FIGURES))
+    return held.select("site", "slot", sent.alias("sums")).select("site", "slot", *[F.get("sums", i).alias(c) for i, c in enumerate(names(terms))])
 
 
 def pooled(release: DataFrame, terms: int) -> DataFrame:

@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from dataclasses import fields
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 
-SETTINGS_SCHEMA = "site long, threshold int, risk_change int, bin_width double, level string, row_factor int, time_events int, figures int, risk_size int"
+KINDS = {"int": pa.int32(), "float": pa.float64(), "str": pa.string()}
 
 
 def settings_frame(spark: SparkSession, settings: dict[int, Settings]) -> DataFrame:
-    names = [f.name for f in fields(Settings)]
-    return spark.createDataFrame([(site, *[getattr(s, n) for n in names]) for site, s in sorted(settings.items())], SETTINGS_SCHEMA)
+    columns = {"site": pa.array(sorted(settings), pa.int64())}
+    for f in fields(Settings):
+        columns[f.name] = pa.array([getattr(settings[s], f.name) for s in sorted(settings)], KINDS[f.type.split(" ")[0]])
+    return spark.createDataFrame(pa.table(columns))
 
 
 def bin_times(time: Column, width: Column | float | None) -> Column:
@@ -60,9 +63,10 @@ def clamp_tail(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return cut.withColumn("event", F.when(late, 0).otherwise(F.col("event"))).withColumn("time", F.when(late, F.col("cut")).otherwise(F.col("time"))).drop("cut")
 
 
-def event_counts(rows: DataFrame) -> DataFrame:
-    """site, time, freq: events at each time."""
-    return rows.filter("event = 1").groupBy("site", "time").agg(F.count(F.lit(1)).alias("freq"))
+def event_counts(rows: DataFrame, n_terms: int = 0) -> DataFrame:
+    """site, time, freq: events at each time; and sums (z0, ...) and sums of squares (q0, ...) of the terms over them."""
+    sums = [a for i in range(n_terms) for a in (F.sum(f"x{i}").alias(f"z{i}"), F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}"))]
+    return rows.filter("event = 1").groupBy("site", "time").agg(F.count(F.lit(1)).alias("freq"), *sums)
 
 
 def merge_small(counts: DataFrame, least: Column | int) -> DataFrame:

@@ -3,18 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
 from ..functions.rounding import round_figures_np
 
 
-def baseline_hazard(grid: DataFrame) -> DataFrame:
-    """time, hazard: running sum of freq / s0 over the pooled grid (time, freq, s0), at most one row per grid point."""
-    step = F.when(F.col("freq") > 0, F.col("freq") / F.col("s0")).otherwise(F.lit(0.0))
-    return grid.select("time", F.sum(step).over(Window.orderBy("time")).alias("hazard"))
-
-
 def survival_curves(freq, s0, grid, beta, centre, scale, terms: list[str], profiles: list[dict], figures: int | None) -> tuple[dict, dict]:
     """The hazard, and curve "0" at the centre and "1".. for each profile, by time as text.
 

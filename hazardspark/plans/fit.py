@@ -1,9 +1,10 @@
 """Cox regression with Breslow ties over sites: Newton-Raphson on guarded risk-set sums.
 
-Each evaluation is one Spark aggregation to sums per (site, slot), at most sites
-x grid points rows, which the driver accumulates, holds back, rounds and pools.
-Everything that does not depend on the coefficients (slots, held slots) is set
-once per fit.
+Each evaluation is one Spark query: sums per (site, slot), accumulated to risk
+sets, held back and rounded site by site, then pooled. Only the pooled sums, one
+row per point of the grid, reach the driver. Coefficients go out as a row per
+site, so every evaluation has the same plan. Everything that does not depend on
+them (slots, held slots) is set once per fit.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import HELD_WARNING, MAX_ROUNDS, STABLE_STEP_TOLERANCE, STEP_TOLERANCE, WIRE_FIGURES, Limits, Settings, load_limits, load_settings
+from ..config import HELD_WARNING, MAX_ROUNDS, STABLE_STEP_TOLERANCE, STEP_TOLERANCE, Limits, Settings, load_limits, load_settings
 from ..errors import AlgorithmError, UserInputError
 from ..functions.keys import Key
 from ..functions.rounding import round_figures_np
@@ -28,14 +30,10 @@ from .curves import survival_curves
 from .prepare import Prepared, prepare
 
 
-def event_sums(rows: DataFrame, n_terms: int) -> DataFrame:
-    """Per site: events, and sums and sums of squares of the terms over event rows."""
-    own = rows.filter("event = 1").groupBy("site")
-    return own.agg(
-        F.count(F.lit(1)).alias("events"),
-        *[F.sum(f"x{i}").alias(f"z{i}") for i in range(n_terms)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in range(n_terms)],
-    )
+def event_sums(counts: DataFrame, n_terms: int) -> DataFrame:
+    """Per site: events, and sums and sums of squares of the terms over event rows. counts: ``times.event_counts`` with terms."""
+    sums = [F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "zq" for i in range(n_terms)]
+    return counts.groupBy("site").agg(F.sum("freq").alias("events"), *sums)
 
 
 def standardisation(z: np.ndarray, squares: np.ndarray, events: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,72 +98,66 @@ def model_results(beta, hessian, scale, terms: list[str], loglik: float) -> dict
 
 @dataclass
 class Evaluator:
-    """Pooled risk-set sums at given coefficients, from rows that carry their slot.
-
-    A call is one aggregation to a row per (site, slot); what sites make of
-    their own sums (accumulation, holds, rounding) and the pooling of these at
-    most sites x grid points rows is done here. ``release`` is the same as a
-    DataFrame.
-    """
+    """Pooled risk-set sums at given coefficients, from rows that carry their slot."""
 
     rows: DataFrame
     grid: list[float]
     effective: DataFrame
-    prepared: Prepared
+    knobs: DataFrame
+    sites: list[int]
     centre: np.ndarray
     scale: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.place = {s: i for i, s in enumerate(self.prepared.sites)}
-        self.shown = np.zeros((len(self.place), len(self.grid)), int)
-        for r in self.effective.collect():
-            self.shown[self.place[r.site], r.slot] = r.effective
-
-    def sums(self, beta) -> DataFrame:
-        """Per (site, slot): the weighted sums of the rows in the slot."""
-        xs = [(F.col(f"x{i}") - float(self.centre[i])) / float(self.scale[i]) for i in range(self.prepared.n_terms)]
-        score = F.lit(0.0)
-        for b, x in zip(beta, xs):
-            score = score + F.lit(float(b)) * x
-        return risksets.slot_sums(self.rows, xs, F.exp(score))
-
     def release(self, beta) -> DataFrame:
-        """Per (site, slot) what the site releases."""
-        risk = risksets.at_risk(self.sums(beta), self.prepared.knobs, len(self.grid))
-        return risksets.released(risk, self.effective, self.prepared.knobs, self.prepared.n_terms)
-
-    def released_np(self, beta) -> np.ndarray:
-        """The same, as an array of (site, slot, sum)."""
-        names = risksets.names(self.prepared.n_terms)
-        got = self.sums(beta).select("site", "slot", *names).toPandas()
-        full = np.zeros((len(self.place), len(self.grid), len(names)))
-        full[got["site"].map(self.place).to_numpy(int), got["slot"].to_numpy(int)] = got[names].to_numpy(float)
-        risk = np.cumsum(full[:, ::-1], axis=1)[:, ::-1]
-        held = np.take_along_axis(risk, self.shown[:, :, None], axis=1)
-        for site, i in self.place.items():
-            held[i] = round_figures_np(round_figures_np(held[i], self.prepared.settings[site].figures), WIRE_FIGURES)
-        return held
+        """Per (site, slot) what the site releases: held sums, rounded."""
+        p = len(self.centre)
+        sent = {"site": pa.array(self.sites, pa.int64())} | {f"b{i}": pa.array([float(b)] * len(self.sites)) for i, b in enumerate(beta)}
+        rows = self.rows.join(F.broadcast(self.rows.sparkSession.createDataFrame(pa.table(sent))), "site")
+        xs = [(F.col(f"x{i}") - float(self.centre[i])) / float(self.scale[i]) for i in range(p)]
+        score = F.lit(0.0)
+        for i, x in enumerate(xs):
+            score = score + F.col(f"b{i}") * x
+        risk = risksets.at_risk(risksets.slot_sums(rows, xs, F.exp(score)), self.knobs, len(self.grid))
+        return risksets.released(risk, self.effective, self.knobs, p)
 
     def __call__(self, beta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        p = self.prepared.n_terms
-        held = self.released_np(beta)
-        for site, i in self.place.items():
-            check_release(site, held[i, :, 0])
-        pooled = held.sum(axis=0)
-        s2 = np.empty((len(self.grid), p, p))
-        upper = np.triu_indices(p)
-        s2[:, upper[0], upper[1]] = s2[:, upper[1], upper[0]] = pooled[:, 1 + p :]
-        return pooled[:, 0], pooled[:, 1 : 1 + p], s2
-
-
-def check_release(site: int, sizes: np.ndarray) -> None:
-    """Released sizes are finite, not negative, positive at first, and never grow."""
-    if not len(sizes) or not np.isfinite(sizes).all() or (sizes < 0).any():
-        raise AlgorithmError(f"site {site}: released risk-set sizes must be finite and not negative")
-    if sizes[0] <= 0:
-        raise AlgorithmError(f"site {site}: the first released risk-set size must be positive")
-    if (np.diff(sizes) > 0).any():
-        raise AlgorithmError(f"site {site}: released risk-set sizes grow along the grid")
+        p = len(self.centre)
+        got = risksets.pooled(self.release(beta), p).toPandas().sort_values("slot")
+        return pooled_arrays(got[risksets.names(p)].to_numpy(float), got["slot"].to_numpy(), got["odd"].dropna().tolist(), len(self.grid), p)
+
+
+def pooled_arrays(sums: np.ndarray, slots: np.ndarray, odd: list, points: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """s0, s1 and s2 of pooled rows, once they are found to be complete, finite and possible."""
+    if odd:
+        raise AlgorithmError(f"site {int(min(odd))}: released risk-set sizes must be finite, not negative, positive at first, and never grow")
+    if len(slots) != points or (slots != np.arange(points)).any():
+        raise AlgorithmError("the pooled risk-set sums do not cover the grid")
+    if not np.isfinite(sums).all():
+        raise AlgorithmError("a pooled risk-set sum is not finite")
+    s2 = np.empty((points, p, p))
+    upper = np.triu_indices(p)
+    s2[:, upper[0], upper[1]] = s2[:, upper[1], upper[0]] = sums[:, 1 + p :]
+    return sums[:, 0], sums[:, 1 : 1 + p], s2
+
+
+def check_sent(grid: list[float], centre: np.ndarray, scale: np.ndarray, settings: dict[int, Settings]) -> None:
+    """What goes out to sites: a finite, growing grid on the bins of every site, finite centres, positive scales."""
+    points = np.asarray(grid, dtype=float)
+    if not len(points) or not np.isfinite(points).all() or (np.diff(points) <= 0).any():
+        raise AlgorithmError("the event-time grid must be finite and strictly increasing")
+    if not np.isfinite(centre).all() or not (np.isfinite(scale) & (scale > 0)).all():
+        raise AlgorithmError("centres must be finite and scales positive")
+    for width in {s.bin_width for s in settings.values() if s.bin_width}:
+        if not np.allclose(points / width, np.round(points / width)):
+            raise UserInputError("the grid does not lie on the time bins of every site")
+
+
+def check_answers(answers: dict, terms: int) -> None:
+    """What sites answer first: events counted, sums finite, sums of squares not negative."""
+    for site, r in answers.items():
+        z, squares = ([r[f"{c}{i}"] for i in range(terms)] for c in "zq")
+        if r.events is None or r.events < 0 or not all(x is not None and math.isfinite(x) for x in (*z, *squares)) or any(x < 0 for x in squares):
+            raise AlgorithmError(f"site {site}: sums must be finite and counts not negative")
 
 
 @dataclass
@@ -248,6 +240,11 @@ def guard_summary(settings: dict[int, Settings]) -> tuple[dict, str | None]:
     return out, f"privacy guards were active (risk-set change of {k} at least, time bins {'on' if binning else 'off'}, {m} events per time at least{also}); the estimates are approximate"
 
 
+def jitter(events: dict[int, int], settings: dict[int, Settings]) -> float:
+    """How far rounding at the sites may move a log-likelihood."""
+    return max(1e-12, sum(n * 10.0 ** (1 - settings[s].released_figures) for s, n in events.items()))
+
+
 def cox_fit(
     df: DataFrame,
     time: str,
@@ -275,12 +272,17 @@ def cox_fit(
     if len(terms) > limits.terms:
         raise UserInputError(f"the model has more than {limits.terms} terms")
     settings = settings if settings is not None else load_settings(spark)
-    ready = prepare(df, request, settings, row_hook, key, limits.grid)
+    with prepare(df, request, settings, row_hook, key, limits.grid) as ready:
+        return _fitted(ready, request, limits, rounds)
+
+
+def _fitted(ready: Prepared, request: FitRequest, limits: Limits, rounds: int) -> dict:
+    spark, terms = ready.rows.sparkSession, request.covariates.terms
     p = len(terms)
-    sums = {r.site: r for r in event_sums(ready.rows, p).collect()}
-    _require_all(ready.sites, sums)
-    z = np.array([sum(r[f"z{i}"] for r in sums.values()) for i in range(p)], dtype=float)
-    squares = np.array([sum(r[f"q{i}"] for r in sums.values()) for i in range(p)], dtype=float)
+    sums = {r.site: r for r in event_sums(ready.counts, p).collect()}
+    require_all(ready.sites, sums)
+    check_answers(sums, p)
+    z, squares = (np.array([sum(r[f"{c}{i}"] for r in sums.values()) for i in range(p)], dtype=float) for c in "zq")
     pooled = pooled_grid(ready.released_counts).orderBy("time").limit(limits.grid + 1).collect()
     if len(pooled) > limits.grid:
         raise UserInputError(f"the event-time grid is over the cap of {limits.grid} points; use wider time bins")
@@ -288,48 +290,42 @@ def cox_fit(
     events = float(freq.sum())
     if not events:
         raise UserInputError("there are no events to fit")
-    widths = {s.bin_width for s in ready.settings.values() if s.bin_width}
-    for w in widths:
-        if not np.allclose(np.asarray(grid) / w, np.round(np.asarray(grid) / w)):
-            raise UserInputError("the grid does not lie on the time bins of every site")
     centre, scale = standardisation(z, squares, events)
+    check_sent(grid, centre, scale, ready.settings)
     summary, warning = guard_summary(ready.settings)
-    tolerance = max(1e-12, sum(r.events * 10.0 ** (1 - ready.settings[s].released_figures) for s, r in sums.items()))
+    tolerance = jitter({s: r.events for s, r in sums.items()}, ready.settings)
     rows = risksets.assign_slots(ready.moved, grid).persist()
     groups = [F.col(f"k{i}") == 1 for i in range(ready.n_groups)]
-    one = risksets.slot_sums(rows, [], F.lit(1.0), groups)
-    risk = risksets.at_risk(one, ready.knobs, len(grid))
+    risk = risksets.at_risk(risksets.slot_sums(rows, [], F.lit(1.0), groups), ready.knobs, len(grid)).persist()
     effective = risksets.effective_slots(risk, ready.knobs, ready.n_groups).persist()
-    evaluate = Evaluator(rows, grid, effective, ready, centre, scale)
-    slots = spark.createDataFrame([(t, i) for i, t in enumerate(grid)], "time double, slot int")
-    counts = ready.released_counts.join(F.broadcast(slots), "time")
-    sized = risksets.released(risk, effective, ready.knobs, 0)
-    shares = risksets.held_event_share(sized, counts, ready.knobs).collect()
-    _require_all(ready.sites, {r.site: r for r in shares})
-    held = max(r["share"] for r in shares)
-    summary["max_held_event_fraction"] = held
-    held_warning = None
-    if limits.held_share is not None and held > limits.held_share:
-        raise UserInputError(f"the held-event fraction {held:.3f} exceeds the configured cap {limits.held_share}: use larger sites or weaker risk-set guards")
-    if held > HELD_WARNING:
-        held_warning = f"{held:.3f} of a site's events were scored against a held risk set, above {HELD_WARNING}; the estimates may be dominated by them"
-    z_star = (z - centre * events) / scale
-    path = optimise(evaluate, freq, z_star, tolerance, rounds)
+    try:
+        slots = spark.createDataFrame(pa.table({"time": grid, "slot": pa.array(range(len(grid)), pa.int32())}))
+        counts = ready.released_counts.join(F.broadcast(slots), "time")
+        shares = risksets.held_event_share(risksets.released(risk, effective, ready.knobs, 0), counts, ready.knobs).collect()
+        require_all(ready.sites, {r.site: r for r in shares})
+        held = max(r["share"] for r in shares)
+        summary["max_held_event_fraction"] = held
+        held_warning = None
+        if limits.held_share is not None and held > limits.held_share:
+            raise UserInputError(f"the held-event fraction {held:.3f} exceeds the configured cap {limits.held_share}: use larger sites or weaker risk-set guards")
+        if held > HELD_WARNING:
+            held_warning = f"{held:.3f} of a site's events were scored against a held risk set, above {HELD_WARNING}; the estimates may be dominated by them"
+        evaluate = Evaluator(rows, grid, effective, ready.knobs, ready.sites, centre, scale)
+        path = optimise(evaluate, freq, (z - centre * events) / scale, tolerance, rounds)
+    finally:
+        for x in (rows, risk, effective):
+            x.unpersist()
     out = model_results(path.beta, path.hessian, scale, terms, path.loglik)
-    late = None
-    if not path.converged:
-        late = f"Newton-Raphson did not converge in {path.rounds} rounds; errors and tests may be unreliable" + (f"; cause: {path.cause}" if path.cause else "")
+    cause = f"Newton-Raphson stopped: {path.cause}" if path.cause else None
+    late = None if path.converged else f"Newton-Raphson did not converge in {path.rounds} rounds; errors and tests may be unreliable"
     ratio = 2 * (path.loglik - path.null)
     hazard, curves = survival_curves(freq, path.s0, grid, path.beta, centre, scale, terms, request.expanded_profiles, limits.curve_figures)
-    rows.unpersist()
-    effective.unpersist()
-    ready.release()
     return {
         "model": out["model"],
         "overall_p_value": out["overall_p_value"],
         "aic": out["aic"],
         "degrees_of_freedom": p,
-        "warnings": [w for w in (*out["warnings"], late, warning, held_warning, late) if w],
+        "warnings": [w for w in (*out["warnings"], cause, warning, held_warning, late) if w],
         "converged": path.converged,
         "n_iterations": path.rounds,
         "convergence_tolerance": path.tolerance,
@@ -352,7 +348,7 @@ def cox_fit(
 VERSION = "0.1.0"
 
 
-def _require_all(sites: list[int], answered: dict) -> None:
+def require_all(sites: list[int], answered: dict) -> None:
     """Every site must have answered; a fit without one would be of other rows than asked for."""
     absent = [s for s in sites if s not in answered]
     if absent:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,29 +13,31 @@ from ..config import Settings
 from ..errors import AlgorithmError, PrivacyViolation, UserInputError
 from ..functions.keys import Key
 from ..operators import guards
-from ..operators.encode import coerce_numbers, drop_incomplete, encode, group_masks, q, recode_outcome, select_rows
+from ..operators.encode import coerce_numbers, complete, encode, group_masks, q, recode_outcome, selected
 from ..operators.times import bin_times, clamp_tail, event_counts, merge_small, move_events, settings_frame, tail_cuts
 from ..request import FitRequest
 
 
-def site_ids(df: DataFrame, request: FitRequest) -> list[int]:
-    """The sites of a request; all that the table has if it names none."""
-    known = sorted(r[0] for r in df.select("site").distinct().collect() if r[0] is not None)
+def site_ids(found: list, df: DataFrame, request: FitRequest) -> list[int]:
+    """The sites of a request; all that the table has if it names none. found: rows with the sites that have rows."""
+    known = sorted(r.site for r in found if r.site is not None)
     if request.sites is None:
         if not known:
             raise UserInputError("the table holds no site")
         return known
     unknown = sorted(set(request.sites) - set(known))
     if unknown:
+        known = sorted(r[0] for r in df.select("site").distinct().collect() if r[0] is not None)
         raise UserInputError(f"unknown sites {unknown}; known are {known}")
     return list(request.sites)
 
 
-def clean(df: DataFrame, request: FitRequest, key: Key | None = None) -> DataFrame:
-    """Rows of the analysis: coerced, recoded, selected, encoded, complete. site must be a column.
+def coded(df: DataFrame, request: FitRequest, key: Key | None = None) -> DataFrame:
+    """All rows, coerced, recoded and encoded, and _keep: that a row is selected and complete. site must be a column.
 
-    The order matters: selection sees recoded times, encoding sees selected
-    rows, and nothing is counted before incomplete rows are gone.
+    The order matters: selection sees recoded times, and nothing is counted
+    but rows to keep. They are marked, not filtered, so that one pass counts
+    them and finds the sites, and no condition is computed twice.
     """
     missing = [c for c in request.columns if c not in df.columns]
     if missing:
@@ -43,10 +46,16 @@ def clean(df: DataFrame, request: FitRequest, key: Key | None = None) -> DataFra
     df = coerce_numbers(df, [request.time])
     df = coerce_numbers(df, request.covariates.plain)
     df = recode_outcome(df, request.outcome, request.codes) if request.codes else _outcome(df, request.outcome)
-    df = select_rows(df, request.selection)
+    df, admits = selected(df, request.selection)
+    df = df.withColumn("_keep", admits)
     df = encode(df, request.covariates, key)
     guards.check_terms(df, request.covariates, request.time, request.outcome)
-    return drop_incomplete(df, [request.time, request.outcome, *request.covariates.terms])
+    return df.withColumn("_keep", F.col("_keep") & complete(df, [request.time, request.outcome, *request.covariates.terms]))
+
+
+def clean(df: DataFrame, request: FitRequest, key: Key | None = None) -> DataFrame:
+    """Rows of the analysis: coerced, recoded, selected, encoded, complete."""
+    return coded(df, request, key).filter("_keep").drop("_keep")
 
 
 def _outcome(df: DataFrame, name: str) -> DataFrame:
@@ -66,18 +75,13 @@ class Prepared:
     sites: list[int]
     settings: dict[int, Settings]
     knobs: DataFrame
+    counts: DataFrame
     merged: DataFrame
-    held: tuple = ()
-
-    def release(self) -> None:
-        """Give up what is cached."""
-        for df in self.held:
-            df.unpersist()
 
     @property
     def moved(self) -> DataFrame:
         """Rows for risk sets: events stand at the times under which they are released."""
-        return move_events(self.rows, self.merged)
+        return move_events(self.rows, self.merged) if any(s.time_events > 1 for s in self.settings.values()) else self.rows
 
     @property
     def released_counts(self) -> DataFrame:
@@ -86,11 +90,16 @@ class Prepared:
 
 def plain_rows(df: DataFrame, request: FitRequest) -> DataFrame:
     """site, time, event, x0.. and, for each category, k0.. (0 or 1)."""
+    return _narrow(df, request).withColumn("event", F.col("event").cast("int"))
+
+
+def _narrow(df: DataFrame, request: FitRequest, *more: str) -> DataFrame:
     terms = [q(t).cast("double").alias(f"x{i}") for i, t in enumerate(request.covariates.terms)]
     masks = [m.cast("int").alias(f"k{i}") for i, (_, m) in enumerate(group_masks(request.covariates))]
-    return df.select(F.col("site").cast("long").alias("site"), q(request.time).cast("double").alias("time"), q(request.outcome).cast("int").alias("event"), *terms, *masks)
+    return df.select(F.col("site").cast("long").alias("site"), q(request.time).cast("double").alias("time"), q(request.outcome).cast("double").alias("event"), *terms, *masks, *more)
 
 
+@contextmanager
 def prepare(
     df: DataFrame,
     request: FitRequest,
@@ -98,43 +107,56 @@ def prepare(
     row_hook: Callable[[DataFrame], DataFrame] | None = None,
     key: Key | None = None,
     grid_cap: int = 1000,
-) -> Prepared:
-    """All checks and time guards of a fit.
+) -> Iterator[Prepared]:
+    """All checks and time guards of a fit; what is cached is given up in the end, whatever happens.
 
-    row_hook may only take rows away; it runs before anything is counted.
+    row_hook may only take rows away; it runs before anything is counted, and
+    after the columns are checked, so it cannot hide what is wrong with them.
     """
-    sites = site_ids(df, request)
-    by = settings if isinstance(settings, dict) else dict.fromkeys(sites, settings)
-    absent = [s for s in sites if s not in by]
-    if absent:
-        raise AlgorithmError(f"no settings for site {absent[0]}")
-    by = {s: by[s] for s in sites}
-    ready = clean(df.filter(F.col("site").isin(sites)), request, key)
-    guards.check_schema(ready, request.time, request.outcome)
-    if row_hook is not None:
-        ready = row_hook(ready)
-    ready = ready.persist()
-    found = guards.sizes(ready, request.time, request.outcome, request.covariates).collect()
-    guards.check_values(found, request.time, request.outcome)
-    guards.check_sizes(found, sites, request.covariates, by)
-    knobs = settings_frame(df.sparkSession, by)
-    held = [ready]
-    rows = plain_rows(ready, request)
-    if any(s.bin_width for s in by.values()):
-        width = rows.join(F.broadcast(knobs.select("site", "bin_width")), "site")
-        rows = width.withColumn("time", bin_times(F.col("time"), F.col("bin_width"))).drop("bin_width")
-    if any(s.risk_change > 1 for s in by.values()):
-        cuts = tail_cuts(rows, knobs).persist()
-        held.append(cuts)
-        if not cuts.filter("cut is null").isEmpty():
-            raise PrivacyViolation("a site has fewer rows than the least risk-set change")
-        rows = clamp_tail(rows, cuts)
-    rows = rows.persist()
-    counts = event_counts(rows)
-    least = {s: k.time_events for s, k in by.items()}
-    longest = counts.groupBy("site").count().agg(F.max("count")).first()[0] or 0
-    if longest > grid_cap * max(least.values()):
-        raise UserInputError(f"the event-time grid is over the cap of {grid_cap} points; use wider time bins")
-    asked = counts.join(F.broadcast(knobs.select("site", "time_events")), "site")
-    merged = merge_small(asked, F.col("time_events")).persist()
-    return Prepared(rows, len(request.covariates.terms), len(group_masks(request.covariates)), sites, by, knobs, merged, (*held, rows, merged))
+    held: list[DataFrame] = []
+
+    def keep(x: DataFrame) -> DataFrame:
+        held.append(x.persist())
+        return x
+
+    try:
+        asked = df if request.sites is None else df.filter(F.col("site").isin(list(request.sites)))
+        ready = coded(asked, request, key)
+        guards.check_schema(ready, request.time, request.outcome)
+        n_groups = len(group_masks(request.covariates))
+        masks = [F.col(f"k{i}") == 1 for i in range(n_groups)]
+        counted = lambda x: guards.sizes(x, "time", "event", request.covariates, F.col("_keep"), masks).collect()
+        narrow = keep(_narrow(ready, request, "_keep"))
+        found = counted(narrow)
+        guards.check_values(found, request.time, request.outcome)
+        sites = site_ids(found, df, request)
+        if row_hook is not None:
+            narrow = keep(_narrow(row_hook(ready.filter("_keep").drop("_keep")), request).withColumn("_keep", F.lit(True)))
+            found = counted(narrow)
+        by = settings if isinstance(settings, dict) else dict.fromkeys(sites, settings)
+        absent = [s for s in sites if s not in by]
+        if absent:
+            raise AlgorithmError(f"no settings for site {absent[0]}")
+        by = {s: by[s] for s in sites}
+        guards.check_sizes(found, sites, request.covariates, by)
+        knobs = settings_frame(df.sparkSession, by)
+        rows = narrow.filter("_keep").drop("_keep").withColumn("event", F.col("event").cast("int"))
+        if any(s.bin_width for s in by.values()):
+            width = rows.join(F.broadcast(knobs.select("site", "bin_width")), "site")
+            rows = width.withColumn("time", bin_times(F.col("time"), F.col("bin_width"))).drop("bin_width")
+        if any(s.risk_change > 1 for s in by.values()):
+            cuts = keep(tail_cuts(rows, knobs))
+            if not cuts.filter("cut is null").isEmpty():
+                raise PrivacyViolation("a site has fewer rows than the least risk-set change")
+            rows = clamp_tail(rows, cuts)
+        n_terms = len(request.covariates.terms)
+        counts = keep(event_counts(rows, n_terms))
+        least = {s: k.time_events for s, k in by.items()}
+        longest = counts.groupBy("site").count().agg(F.max("count")).first()[0] or 0
+        if longest > grid_cap * max(least.values()):
+            raise UserInputError(f"the event-time grid is over the cap of {grid_cap} points; use wider time bins")
+        many = counts.select("site", "time", "freq").join(F.broadcast(knobs.select("site", "time_events")), "site")
+        yield Prepared(rows, n_terms, n_groups, sites, by, knobs, counts, keep(merge_small(many, F.col("time_events"))))
+    finally:
+        for x in held:
+            x.unpersist()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from .config import OPEN, Settings
 from .functions.keys import covariate_key, term_key, to_number
 from .functions.rounding import round_figures
 from .operators import guards, risksets, times
-from .operators.encode import drop_incomplete, encode, recode_outcome, select_rows
+from .errors import AlgorithmError
+from .operators.encode import complete, drop_incomplete, encode, recode_outcome, select_rows
 from .plans.cohorts import LAGS_SQL, SHIPMENTS_SQL, lags, shipments
-from .plans.curves import baseline_hazard
-from .plans.fit import cox_fit, event_sums, model_frame
+from .oracles import fit_sql, model_sql, sig, stage_one
+from .plans.curves import survival_curves
+from .plans.fit import cox_fit, derivatives, event_sums, log_likelihood, model_frame, require_all, standardisation
 from .plans.prepare import plain_rows, prepare
 from .request import FitRequest, parse_covariates
 from .sources.triples import flatten_patients
@@ -48,14 +52,6 @@ def fig(x: Column, figures: int = FIGURES) -> Column:
     return round_figures(x.cast("double"), figures)
 
 
-def sig(x: str, figures: int = FIGURES) -> str:
-    """The same in SQL."""
-    value = f"({x})::DOUBLE"
-    shift = f"({figures - 1} - floor(log10(abs({value}))))"
-    up, down = f"pow(10.0::DOUBLE, {shift})", f"pow(10.0::DOUBLE, -{shift})"
-    return f"CASE WHEN {value} = 0 THEN 0.0::DOUBLE WHEN {shift} >= 0 THEN round_even({value} * {up}, 0) / {up} ELSE round_even({value} / {down}, 0) * {down} END"
-
-
 SHIP, LAG = f"WITH {SHIPMENTS_SQL}", f"WITH RECURSIVE {LAGS_SQL}"
 
 
@@ -78,13 +74,13 @@ WEEKLY_SQL = f"weekly AS (SELECT site, floor(time / {WEEK}::DOUBLE) * {WEEK}::DO
 
 @query(f"{SHIP} SELECT site, count(*) AS events, {sig('sum(x1)')} AS z0, {sig('sum(x2)')} AS z1 FROM shipments WHERE event = 1 GROUP BY site")
 def event_case_sums(spark, sf_dir):
-    s = event_sums(_plain(spark, sf_dir), 2)
+    s = event_sums(times.event_counts(_plain(spark, sf_dir), 2), 2)
     return s.select("site", "events", fig(F.col("z0")).alias("z0"), fig(F.col("z1")).alias("z1"))
 
 
 @query(f"{SHIP} SELECT site, {sig('sum(x1 * x1)')} AS q0, {sig('sum(x2 * x2)')} AS q1 FROM shipments WHERE event = 1 GROUP BY site")
 def event_case_squares(spark, sf_dir):
-    s = event_sums(_plain(spark, sf_dir), 2)
+    s = event_sums(times.event_counts(_plain(spark, sf_dir), 2), 2)
     return s.select("site", fig(F.col("q0")).alias("q0"), fig(F.col("q1")).alias("q1"))
 
 
@@ -94,11 +90,10 @@ def event_case_squares(spark, sf_dir):
 SELECT {sig('c0', 2)} AS centre0, {sig('c1', 2)} AS centre1, {sig('s0', 2)} AS scale0, {sig('s1', 2)} AS scale1 FROM m"""
 )
 def pooled_standardisation(spark, sf_dir):
-    s = event_sums(_plain(spark, sf_dir), 2).agg(F.sum("events").alias("n"), *[F.sum(c).alias(c) for c in ("z0", "z1", "q0", "q1")])
-    centre = [F.col(f"z{i}") / F.col("n") for i in (0, 1)]
-    spread = [F.sqrt(F.greatest(F.col(f"q{i}") / F.col("n") - centre[i] * centre[i], F.lit(0.0))) for i in (0, 1)]
-    scale = [F.when(x > 0, x).otherwise(1.0) for x in spread]
-    return s.select(*[fig(c, 2).alias(f"centre{i}") for i, c in enumerate(centre)], *[fig(c, 2).alias(f"scale{i}") for i, c in enumerate(scale)])
+    found = event_sums(times.event_counts(_plain(spark, sf_dir), 2), 2).collect()
+    total = lambda c: sum(r[c] for r in found)
+    centre, scale = standardisation(np.array([total("z0"), total("z1")]), np.array([total("q0"), total("q1")]), total("events"))
+    return spark.createDataFrame([(*centre.tolist(), *scale.tolist())], "centre0 double, centre1 double, scale0 double, scale1 double")
 
 
 @query(f"{SHIP} SELECT site, time, count(*) AS freq FROM shipments WHERE event = 1 GROUP BY site, time")
@@ -128,8 +123,8 @@ SELECT site, seg AS category, count(*) AS n_rows, sum(event)::BIGINT AS n_events
 )
 def category_sizes(spark, sf_dir):
     covariates = parse_covariates([SEG])
-    ready = drop_incomplete(encode(shipments(spark, sf_dir), covariates), covariates.terms)
-    found = guards.sizes(ready, "time", "event", covariates)
+    coded = encode(shipments(spark, sf_dir), covariates)
+    found = guards.sizes(coded, "time", "event", covariates, complete(coded, covariates.terms))
     names = [*covariates.categorical[0].labels, covariates.categorical[0].reference]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("category"), F.col(f"g{i}").alias("n_rows"), F.col(f"e{i}").alias("n_events")) for i, n in enumerate(names)]))
     return found.select("site", each.alias("c")).select("site", "c.*").filter("n_rows > 0")
@@ -139,19 +134,25 @@ def category_sizes(spark, sf_dir):
     f"""{SHIP} SELECT site, count(*) > 10 AND count(*) >= 150 AND sum(event) > 10 AS admitted FROM shipments GROUP BY site"""
 )
 def site_admission(spark, sf_dir):
-    s = Settings()
-    found = sample_sizes(spark, sf_dir)
-    enough = (F.col("n_rows") > s.threshold) & (F.col("n_rows") >= s.admission) & (F.col("n_events") > s.threshold)
-    return found.select("site", enough.alias("admitted"))
+    request = FitRequest.of("time", "event", ["x1"])
+    found = guards.sizes(shipments(spark, sf_dir), "time", "event", request.covariates).collect()
+    sites = [r.site for r in found]
+    return spark.createDataFrame(sorted(guards.admitted(found, sites, dict.fromkeys(sites, Settings())).items()), "site long, admitted boolean")
 
 
 @query("SELECT r_regionkey::BIGINT AS site FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9990)")
 def silent_sites(spark, sf_dir):
-    """Sites that were asked but have no answer: left anti join."""
+    """Sites that were asked but have no answer: a fit names them one by one."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     answers = read("customer").filter("c_acctbal > 9990").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    asked = read("region").select(F.col("r_regionkey").cast("long").alias("site"))
-    return asked.join(answers.select(F.col("n_regionkey").cast("long").alias("site")), "site", "left_anti")
+    answered = {r[0]: r for r in answers.select("n_regionkey").distinct().collect()}
+    silent = []
+    for site in sorted(r[0] for r in read("region").select("r_regionkey").collect()):
+        try:
+            require_all([site], answered)
+        except AlgorithmError:
+            silent.append((site,))
+    return spark.createDataFrame(silent, "site long")
 
 
 # --- coercion, recoding, selection, encoding -----------------------------------
@@ -284,17 +285,24 @@ def moved_event_rows(spark, sf_dir):
 
 
 def _slotted(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    grid = [r[0] for r in times.pooled_grid(counts).orderBy("time").collect()]
-    slots = rows.sparkSession.createDataFrame([(i, t) for i, t in enumerate(grid)], "slot int, time double")
-    return risksets.assign_slots(rows, grid), slots, grid
+    """rows with their slot; slots (slot, time, freq); the grid. One pass over the events finds the grid."""
+    found = sorted((r.time, r.freq) for r in times.pooled_grid(counts).collect())
+    grid = [t for t, _ in found]
+    points = {"slot": pa.array(range(len(grid)), pa.int32()), "time": pa.array(grid, pa.float64()), "freq": pa.array([n for _, n in found], pa.int64())}
+    return risksets.assign_slots(rows, grid), rows.sparkSession.createDataFrame(pa.table(points)), grid
+
 
+def _regions(spark, sf_dir) -> DataFrame:
+    """The sites of shipments."""
+    return spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("site"))
 
-def _risk(spark, sf_dir, beta=BETA) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def _risk(spark, sf_dir, beta=BETA) -> tuple[DataFrame, DataFrame]:
     rows = _plain(spark, sf_dir)
     slotted, slots, grid = _slotted(rows, times.event_counts(rows))
     xs = [F.col("x0"), F.col("x1")]
     sums = risksets.slot_sums(slotted, xs, F.exp(beta[0] * xs[0] + beta[1] * xs[1]))
-    return risksets.at_risk(sums, rows.select("site").distinct(), len(grid)), slots, rows
+    return risksets.at_risk(sums, _regions(spark, sf_dir), len(grid)), slots
 
 
 RISK_SQL = f"""g AS (SELECT DISTINCT time AS t FROM shipments WHERE event = 1),
@@ -306,7 +314,7 @@ r AS (SELECT b.site, g.t AS time, sum(n)::BIGINT AS n, sum(s0) AS s0, sum(s1_0)
 
 @query(f"{SHIP}, {RISK_SQL} SELECT site, time, n FROM r")
 def risk_set_sizes(spark, sf_dir):
-    risk, slots, _ = _risk(spark, sf_dir)
+    risk, slots = _risk(spark, sf_dir)
     return risk.join(F.broadcast(slots), "slot").filter("n > 0").select("site", "time", "n")
 
 
@@ -315,20 +323,21 @@ S = ["s0", "s1_0", "s1_1", "s2_0_0", "s2_0_1", "s2_1_1"]
 
 @query(f"{SHIP}, {RISK_SQL} SELECT site, time, {', '.join(f'{sig(c)} AS {c}' for c in S)} FROM r")
 def risk_set_sums(spark, sf_dir):
-    risk, slots, _ = _risk(spark, sf_dir)
+    risk, slots = _risk(spark, sf_dir)
     return risk.join(F.broadcast(slots), "slot").filter("n > 0").select("site", "time", *[fig(F.col(c)).alias(c) for c in S])
 
 
 @query(f"{SHIP}, {RISK_SQL} SELECT time, {', '.join(f'{sig(f'sum({sig(c, 7)})')} AS {c}' for c in S)} FROM r GROUP BY time")
 def exchanged_sums(spark, sf_dir):
     """Rounded per site to what is exchanged, then pooled."""
-    risk, slots, rows = _risk(spark, sf_dir)
-    knobs = times.settings_frame(spark, dict.fromkeys([r[0] for r in rows.select("site").distinct().collect()], OPEN))
+    risk, slots = _risk(spark, sf_dir)
+    knobs = times.settings_frame(spark, dict.fromkeys([r[0] for r in _regions(spark, sf_dir).collect()], OPEN))
     same = risk.select("site", "slot", F.col("slot").alias("effective"))
     pooled = risksets.pooled(risksets.released(risk, same, knobs, 2), 2)
     return pooled.join(F.broadcast(slots), "slot").select("time", *[fig(F.col(c)).alias(c) for c in S])
 
 
+LAG_SITES = (0, 1, 2)  # users modulo 3
 GUARD = Settings(risk_change=8, risk_size=40, threshold=10, bin_width=WEEK, figures=None, time_events=1)
 WALK_SQL = f"""c AS (SELECT DISTINCT time AS t FROM weekly WHERE event = 1),
 n AS (SELECT s.site, c.t, count(w.time) AS n, count(w.time) FILTER (w.value > 50) AS g, row_number() OVER (PARTITION BY s.site ORDER BY c.t) - 1 AS slot
@@ -350,9 +359,8 @@ def _effective(spark, sf_dir, groups: bool) -> DataFrame:
     rows = _weekly(spark, sf_dir).withColumn("big", (F.col("x0") > 50).cast("int"))
     slotted, _, grid = _slotted(rows, times.event_counts(rows))
     masks = [F.col("big") == 1] if groups else []
-    sites = rows.select("site").distinct()
-    risk = risksets.at_risk(risksets.slot_sums(slotted, [], F.lit(1.0), masks), sites, len(grid))
-    knobs = times.settings_frame(spark, dict.fromkeys([r[0] for r in sites.collect()], GUARD))
+    knobs = times.settings_frame(spark, dict.fromkeys(LAG_SITES, GUARD))
+    risk = risksets.at_risk(risksets.slot_sums(slotted, [], F.lit(1.0), masks), knobs, len(grid))
     held = risksets.effective_slots(risk, knobs, len(masks))
     return held.select("site", F.col("slot").cast("long").alias("slot"), F.col("effective").cast("long").alias("effective"))
 
@@ -379,11 +387,10 @@ def held_event_shares(spark, sf_dir):
     rows = _weekly(spark, sf_dir)
     counts = times.event_counts(rows)
     slotted, slots, grid = _slotted(rows, counts)
-    sites = rows.select("site").distinct()
-    risk = risksets.at_risk(risksets.slot_sums(slotted, [], F.lit(1.0)), sites, len(grid))
-    knobs = times.settings_frame(spark, dict.fromkeys([r[0] for r in sites.collect()], GUARD))
+    knobs = times.settings_frame(spark, dict.fromkeys(LAG_SITES, GUARD))
+    risk = risksets.at_risk(risksets.slot_sums(slotted, [], F.lit(1.0)), knobs, len(grid))
     release = risksets.released(risk, risksets.effective_slots(risk, knobs), knobs, 0)
-    shares = risksets.held_event_share(release, counts.join(F.broadcast(slots), "time"), knobs)
+    shares = risksets.held_event_share(release, counts.join(F.broadcast(slots.select("slot", "time")), "time"), knobs)
     return shares.select("site", fig(F.col("share")).alias("share"))
 
 
@@ -392,11 +399,12 @@ def held_event_shares(spark, sf_dir):
 POOL_SQL = "p AS (SELECT r.time, sum(r.n) AS n, sum(s0) AS s0, sum(s1_0) AS s1_0, sum(s1_1) AS s1_1, sum(s2_0_0) AS s2_0_0, sum(s2_0_1) AS s2_0_1, sum(s2_1_1) AS s2_1_1 FROM r GROUP BY r.time), d AS (SELECT time, count(*) AS freq FROM shipments WHERE event = 1 GROUP BY time)"
 
 
-def _pooled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """time, freq and pooled sums at BETA; and the event sums."""
-    risk, slots, rows = _risk(spark, sf_dir)
-    sums = risk.groupBy("slot").agg(*[F.sum(c).alias(c) for c in S]).join(F.broadcast(slots), "slot")
-    return sums.join(times.pooled_grid(times.event_counts(rows)), "time"), event_sums(rows, 2).agg(F.sum("z0").alias("z0"), F.sum("z1").alias("z1"))
+def _pooled(spark, sf_dir) -> tuple[dict, np.ndarray]:
+    """Columns of the pooled sums at BETA (a row per grid point, with time and freq), and the event sums."""
+    risk, slots = _risk(spark, sf_dir)
+    sums = risk.groupBy("slot").agg(*[F.sum(c).alias(c) for c in S]).join(F.broadcast(slots), "slot").toPandas().sort_values("slot")
+    z = event_sums(times.event_counts(_plain(spark, sf_dir), 2), 2).agg(F.sum("z0"), F.sum("z1")).first()
+    return {c: sums[c].to_numpy() for c in sums}, np.array(z, dtype=float)
 
 
 @query(
@@ -404,9 +412,9 @@ def _pooled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 SELECT {sig(f'(SELECT {BETA[0]} * sum(x1) + {BETA[1]} * sum(x2) FROM shipments WHERE event = 1) - sum(freq * ln(s0))')} AS loglik FROM p JOIN d USING (time)"""
 )
 def log_likelihood_at(spark, sf_dir):
-    grid, z = _pooled(spark, sf_dir)
-    part = grid.agg(F.sum(F.col("freq") * F.log("s0")).alias("part"))
-    return part.join(F.broadcast(z)).select(fig(BETA[0] * F.col("z0") + BETA[1] * F.col("z1") - F.col("part")).alias("loglik"))
+    at, z = _pooled(spark, sf_dir)
+    value = log_likelihood(BETA, z, at["freq"], at["s0"])
+    return spark.createDataFrame([(value,)], "x double").select(fig(F.col("x")).alias("loglik"))
 
 
 @query(
@@ -416,21 +424,23 @@ SELECT {sig('any_value(z0) - sum(freq * s1_0 / s0)', 6)} AS g0, {sig('any_value(
 {sig('-sum(freq * (s2_1_1 / s0 - s1_1 * s1_1 / (s0 * s0)))', 6)} AS h11 FROM p JOIN d USING (time), z"""
 )
 def gradient_and_hessian_at(spark, sf_dir):
-    grid, z = _pooled(spark, sf_dir)
-    d, s0 = F.col("freq"), F.col("s0")
-    spread = lambda i, j: -F.sum(d * (F.col(f"s2_{i}_{j}") / s0 - F.col(f"s1_{i}") * F.col(f"s1_{j}") / (s0 * s0)))
-    parts = grid.agg(F.sum(d * F.col("s1_0") / s0).alias("m0"), F.sum(d * F.col("s1_1") / s0).alias("m1"), spread(0, 0).alias("h00"), spread(0, 1).alias("h01"), spread(1, 1).alias("h11"))
-    both = parts.join(F.broadcast(z))
-    return both.select(
-        fig(F.col("z0") - F.col("m0"), 6).alias("g0"), fig(F.col("z1") - F.col("m1"), 6).alias("g1"),
-        fig(F.col("h00"), 6).alias("h00"), fig(F.col("h01"), 4).alias("h01"), fig(F.col("h11"), 6).alias("h11"),
-    )
+    at, z = _pooled(spark, sf_dir)
+    s1 = np.stack([at["s1_0"], at["s1_1"]], axis=1)
+    s2 = np.stack([at["s2_0_0"], at["s2_0_1"], at["s2_0_1"], at["s2_1_1"]], axis=1).reshape(-1, 2, 2)
+    g, h = derivatives(at["s0"], s1, s2, at["freq"], z)
+    one = spark.createDataFrame([(*g.tolist(), float(h[0, 0]), float(h[0, 1]), float(h[1, 1]))], "g0 double, g1 double, h00 double, h01 double, h11 double")
+    return one.select(*[fig(F.col(c), 4 if c == "h01" else 6).alias(c) for c in one.columns])
 
 
 @query(f"{SHIP}, {RISK_SQL}, {POOL_SQL}, h AS (SELECT time, sum(freq / s0) OVER (ORDER BY time) AS hazard FROM p JOIN d USING (time)) SELECT time, {sig('hazard')} AS hazard FROM h")
 def baseline_cumulative_hazard(spark, sf_dir):
-    grid, _ = _pooled(spark, sf_dir)
-    return baseline_hazard(grid).select("time", fig(F.col("hazard")).alias("hazard"))
+    hazard, _ = _curves(spark, sf_dir, [], None)
+    return spark.createDataFrame([(float(t), h) for t, h in hazard.items()], "time double, hazard double").select("time", fig(F.col("hazard")).alias("hazard"))
+
+
+def _curves(spark, sf_dir, profiles: list[dict], figures: int | None) -> tuple[dict, dict]:
+    at, _ = _pooled(spark, sf_dir)
+    return survival_curves(at["freq"], at["s0"], at["time"], BETA, [0.0, 0.0], [1.0, 1.0], ["x1", "x2"], profiles, figures)
 
 
 @query(
@@ -439,10 +449,9 @@ f AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.05::DOUBLE), (2, 0.1::DOUBLE
 SELECT profile, time, {sig(f'exp(-hazard * exp({BETA[0]} * x))')} AS survival FROM h CROSS JOIN f"""
 )
 def survival_by_profile(spark, sf_dir):
-    grid, _ = _pooled(spark, sf_dir)
-    profiles = F.explode(F.array(*[F.struct(F.lit(i).alias("profile"), F.lit(x).alias("x")) for i, x in enumerate((0.0, 0.05, 0.1))]))
-    each = baseline_hazard(grid).select("time", "hazard", profiles.alias("f"))
-    return each.select("f.profile", "time", fig(F.exp(-F.col("hazard") * F.exp(BETA[0] * F.col("f.x")))).alias("survival"))
+    _, curves = _curves(spark, sf_dir, [{"x1": x} for x in (0.05, 0.1)], None)
+    rows = [(int(i), float(t), v) for i, curve in curves.items() for t, v in curve.items()]
+    return spark.createDataFrame(rows, "profile int, time double, survival double").select("profile", "time", fig(F.col("survival")).alias("survival"))
 
 
 @query(
@@ -451,8 +460,8 @@ SELECT {sig('time', 1)} AS rounded, {sig('arg_max(hazard, time)')} AS hazard FRO
 )
 def rounded_curve_times(spark, sf_dir):
     """Times that round to one key: the largest counts."""
-    grid, _ = _pooled(spark, sf_dir)
-    return baseline_hazard(grid).groupBy(fig(F.col("time"), 1).alias("rounded")).agg(fig(F.max_by("hazard", "time")).alias("hazard"))
+    hazard, _ = _curves(spark, sf_dir, [], 1)
+    return spark.createDataFrame([(float(t), h) for t, h in hazard.items()], "rounded double, hazard double").select("rounded", fig(F.col("hazard")).alias("hazard"))
 
 
 NEWTON_SQL = f"""{SHIP.replace('WITH', 'WITH RECURSIVE', 1)},
@@ -483,40 +492,91 @@ def one_covariate_model(spark, sf_dir):
     return one.select(fig(F.col("coef"), 4).alias("coef"), fig(F.col("se"), 4).alias("se"), fig(F.col("aic"), 5).alias("aic"), fig(F.col("loglik_null"), 5).alias("loglik_null"))
 
 
-@query()
+def _shown(frame: DataFrame, figures: int = 3) -> DataFrame:
+    """A model table to some figures, as many as do not depend on where the optimiser stops."""
+    return frame.select("term", *[fig(F.col(c), figures).alias(c) for c in frame.columns if c != "term"])
+
+
+def _base(columns: str, where: str = "TRUE", of: str = "shipments") -> str:
+    return f"WITH RECURSIVE {LAGS_SQL if of == 'lags' else SHIPMENTS_SQL}, base AS (SELECT site, time, event, {columns} FROM {of} WHERE {where})"
+
+
+PRIO_SCORE = "CASE left(prio, 1) WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 WHEN '4' THEN 4 END::DOUBLE"
+LABELS = [s for s in SEG["seg"]["categories"] if s != SEG["seg"]["reference"]]
+OF_SEG = ", ".join(f"(seg = '{s}')::INTEGER::DOUBLE AS x{i}" for i, s in enumerate(LABELS, 1)) + ", " + ", ".join(f"(seg = '{s}')::INTEGER AS k{i}" for i, s in enumerate([*LABELS, SEG["seg"]["reference"]]))
+
+
+def flagship(spark, sf_dir):
+    """A fit with the guards of the standard level, two numeric covariates and an ordinal one."""
+    return model_frame(spark, cox_fit(shipments(spark, sf_dir), "time", "event", ["x1", "x2", PRIO], settings=Settings()))
+
+
+@query(model_sql(fit_sql(_base(f"x1 AS x0, x2 AS x1, {PRIO_SCORE} AS x2", "left(prio, 1) <> '5'"), 3, 0, Settings()), ["x1", "x2", "prio"]))
 def cox_model(spark, sf_dir):
-    """The flagship: a fit with the guards of the standard level, two numeric covariates and an ordinal one."""
-    got = cox_fit(shipments(spark, sf_dir), "time", "event", ["x1", "x2", PRIO], settings=Settings())
-    return model_frame(spark, got)
+    """The flagship, to some figures."""
+    return _shown(flagship(spark, sf_dir))
 
 
-@query()
+@query(model_sql(fit_sql(_base(f"x1 AS x0, {OF_SEG}", "seg <> 'HOUSEHOLD' AND site IN (0, 1, 3) AND x2 BETWEEN 0.0 AND 0.06"), 4, 4, Settings(bin_width=2.0)), ["x1", *[f"seg[{s}]" for s in LABELS]]))
 def cox_model_categories(spark, sf_dir):
     """Categories with group holds, in bins, for some sites and a selection of rows."""
     got = cox_fit(shipments(spark, sf_dir), "time", "event", ["x1", SEG], sites=[0, 1, 3], selection={"x2": {"start": 0.0, "end": 0.06}}, settings=Settings(bin_width=2.0))
-    return model_frame(spark, got)
+    return _shown(model_frame(spark, got))
 
 
-@query()
+@query(model_sql(fit_sql(_base("value AS x0", "value IS NOT NULL", "lags"), 1, 0, Settings(bin_width=WEEK)), ["value"]))
 def cox_model_lags(spark, sf_dir):
     """Continuous times in weekly bins, with the time guards at work."""
-    return model_frame(spark, cox_fit(lags(spark, sf_dir), "time", "event", ["value"], settings=Settings(bin_width=WEEK)))
+    return _shown(model_frame(spark, cox_fit(lags(spark, sf_dir), "time", "event", ["value"], settings=Settings(bin_width=WEEK))))
+
 
+TWO_SQL = fit_sql(_base("x1 AS x0, x2 AS x1"), 2, 0, Settings())
+PROFILES = [{"x1": 0.0}, {"x1": 0.1, "x2": 0.08}]
 
-@query()
+
+@query(
+    f"""{TWO_SQL},
+curve AS (SELECT {sig('t', 6)} AS time, sum(freq / s0) OVER (ORDER BY slot) AS hazard, t FROM ended),
+once AS (SELECT time, arg_max(hazard, t) AS hazard FROM curve GROUP BY time),
+who AS (SELECT '0' AS curve, 0.0::DOUBLE AS score UNION ALL SELECT '1', b_0 * (0.0 - c0) / d0 FROM last UNION ALL SELECT '2', b_0 * (0.1 - c0) / d0 + b_1 * (0.08 - c1) / d1 FROM last)
+SELECT curve, time, {sig('exp(-hazard * exp(score))', 4)} AS survival FROM once, who"""
+)
 def cox_survival_curves(spark, sf_dir):
     """Curves of a guarded fit as rows: curve, time and survival."""
-    got = cox_fit(shipments(spark, sf_dir), "time", "event", ["x1", "x2"], profiles=[{"x1": 0.0}, {"x1": 0.1, "x2": 0.08}], settings=Settings())
+    got = cox_fit(shipments(spark, sf_dir), "time", "event", ["x1", "x2"], profiles=PROFILES, settings=Settings())
     rows = [(c, float(t), v) for c, curve in got["survival_curves"].items() for t, v in curve.items()]
-    return spark.createDataFrame(rows, "curve string, time double, survival double")
+    return spark.createDataFrame(rows, "curve string, time double, survival double").select("curve", "time", fig(F.col("survival"), 4).alias("survival"))
 
 
-@query()
+@query(
+    f"""{TWO_SQL},
+wald AS (SELECT *, -(b_0 * b_0 * h_0_0 + 2 * b_0 * b_1 * h_0_1 + b_1 * b_1 * h_1_1) AS wald, 2 * (ll - ll_null) AS ratio FROM last)
+SELECT events::BIGINT AS n_events, {sig('-2 * ll + 4', 6)} AS aic, {sig('ll_null', 6)} AS loglik_null, {sig('exp(-wald / 2)', 2)} AS overall_p, {sig('exp(-ratio / 2)', 1)} AS lr_p,
+TRUE AS converged, TRUE AS guards_active, 5 AS risk_change, 50 AS risk_size,
+(SELECT {sig('coalesce(max(share), 0)')} FROM (SELECT h.site, sum(CASE WHEN h.slot > 0 AND h.effective = 0 THEN m.freq ELSE 0 END)::DOUBLE / sum(m.freq) AS share
+  FROM eff h JOIN grid g ON g.slot = h.slot JOIN merged m ON m.site = h.site AND m.merged = g.t GROUP BY h.site)) AS held_share FROM wald"""
+)
+def cox_fit_summary(spark, sf_dir):
+    """Tests, likelihoods and guards of a fit; twice the log-likelihoods' difference is smaller than their rounding, so few figures of its p value agree."""
+    got = cox_fit(shipments(spark, sf_dir), "time", "event", ["x1", "x2"], settings=Settings())
+    of = got["privacy_guards"]
+    row = (got["n_events"], got["aic"], got["log_likelihood_null"], got["overall_p_value"], got["lr_p_value"], got["converged"], of["active"], of["max_min_risk_set_change"], of["max_min_risk_set_size"], of["max_held_event_fraction"])
+    one = spark.createDataFrame([row], "n_events long, aic double, loglik_null double, overall_p double, lr_p double, converged boolean, guards_active boolean, risk_change int, risk_size int, held_share double")
+    figures = {"aic": 6, "loglik_null": 6, "overall_p": 2, "lr_p": 1, "held_share": FIGURES}
+    return one.select(*[fig(F.col(c), figures[c]).alias(c) if c in figures else c for c in one.columns])
+
+
+@query(
+    f"""{stage_one(_base("value AS x0", "value IS NOT NULL", "lags"), 1, Settings(bin_width=WEEK))}
+SELECT m.site, m.merged AS time, sum(m.freq)::BIGINT AS freq, any_value(s.events) AS events, {sig('any_value(z0)')} AS z0, {sig('any_value(q0)')} AS q0 FROM merged m JOIN sums s USING (site) GROUP BY m.site, m.merged"""
+)
 def guarded_stage_one(spark, sf_dir):
     """What sites share first: sums, squares and suppressed counts of the weekly lags."""
-    ready = prepare(lags(spark, sf_dir), FitRequest.of("time", "event", ["value"]), Settings(bin_width=WEEK))
-    sums = event_sums(ready.rows, 1).select("site", "events", "z0", "q0")
-    return ready.released_counts.join(sums, "site")
+    with prepare(lags(spark, sf_dir), FitRequest.of("time", "event", ["value"]), Settings(bin_width=WEEK)) as ready:
+        counts = ready.released_counts.collect()
+        sums = {r.site: (r.events, r.z0, r.q0) for r in event_sums(ready.counts, 1).collect()}
+    shared = spark.createDataFrame([(r.site, r.time, r.freq, *sums[r.site]) for r in counts], "site long, time double, freq long, events long, z0 double, q0 double")
+    return shared.select("site", "time", "freq", "events", fig(F.col("z0")).alias("z0"), fig(F.col("q0")).alias("q0"))
 
 
 @query(
@@ -537,4 +597,4 @@ def flattened_triples(spark, sf_dir):
     return flatten_patients(triples, ["balance", "segment"])
 
 
-FLAGSHIP = cox_model
+FLAGSHIP = flagship

@@ -8,6 +8,7 @@ variable). The term counts before the value.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import load_collect_timeout
 from ..errors import AlgorithmError
-from ..functions.keys import term_key
+from ..functions.keys import term_key, term_key_of
 
 # Predicates of the data model, by local name, and of RDF.
 HAS_COLUMN, HAS_CELL, HAS_VALUE, TYPE, SUBCLASS = "has_column", "has_cell", "has_value", "type", "subClassOf"
@@ -34,42 +35,49 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(part(3).startswith('"'), literal).otherwise(bare(part(3))).alias("o"))
 
 
-def flatten_patients(triples: DataFrame, variables: list[str]) -> DataFrame:
+def flatten_patients(triples: DataFrame, variables: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """patient and one text column per variable (by key of its name), null where a patient has none.
 
     Joins are on the subject, never on the order of rows. Of several cells of
-    one variable the least is taken.
+    one variable the least is taken. by: columns (the site) that keep graphs
+    apart; patients have them too.
     """
     local = F.regexp_extract("p", r"([^#/]+)$", 1)
     t = triples.withColumn("p", local)
+    by = list(by)
 
     def of(predicate: str, s: str, o: str) -> DataFrame:
-        return t.filter(F.col("p") == predicate).select(F.col("s").alias(s), F.col("o").alias(o)).distinct()
+        return t.filter(F.col("p") == predicate).select(*by, F.col("s").alias(s), F.col("o").alias(o)).distinct()
 
     named = {name: f"v{i}" for i, name in enumerate(variables)}
     key = F.regexp_replace(term_key(F.col("class"), "string"), "^[ns]:", "")
-    columns = of(HAS_COLUMN, "patient", "column").join(of(TYPE, "column", "class"), "column")
+    columns = of(HAS_COLUMN, "patient", "column").join(of(TYPE, "column", "class"), [*by, "column"])
     slot = F.lit(None).cast("string")
     for name, short in named.items():
-        slot = F.when(key == name, short).otherwise(slot)
+        slot = F.when(key == str(term_key_of(name)), short).otherwise(slot)
     columns = columns.withColumn("slot", slot).filter("slot is not null")
-    cells = columns.join(of(HAS_CELL, "column", "cell"), "column").join(of(HAS_VALUE, "cell", "value"), "cell", "left")
-    terms = of(TYPE, "cell", "term").join(of(SUBCLASS, "term", "class"), "term")
-    found = cells.join(terms, ["cell", "class"], "left").select("patient", "slot", F.coalesce("term", "value").alias("value"))
-    wide = found.dropDuplicates().groupBy("patient").pivot("slot", list(named.values())).agg(F.min("value"))
-    return wide.select("patient", *[F.col(short).alias(name) for name, short in named.items()])
+    cells = columns.join(of(HAS_CELL, "column", "cell"), [*by, "column"]).join(of(HAS_VALUE, "cell", "value"), [*by, "cell"], "left")
+    terms = of(TYPE, "cell", "term").join(of(SUBCLASS, "term", "class"), [*by, "term"])
+    found = cells.join(terms, [*by, "cell", "class"], "left").select(*by, "patient", "slot", F.coalesce("term", "value").alias("value"))
+    wide = found.dropDuplicates().groupBy(*by, "patient").pivot("slot", list(named.values())).agg(F.min("value"))
+    return wide.select(*by, "patient", *[F.col(short).alias(name) for name, short in named.items()])
 
 
 def snapshot(df: DataFrame, path: str) -> DataFrame:
     """Collected once, then read again by every round: all of them see the same rows.
 
-    An existing snapshot is read; one without a needed column is an error.
+    A finished snapshot is read; one without a needed column is an error. It is
+    written beside its place and renamed, so a half-written one is never read.
     """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        df.write.mode("overwrite").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place(path, "_SUCCESS")):
+        beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+        df.write.parquet(beside)
+        files.delete(place(path), True)  # what a failed write has left
+        if not files.rename(place(beside), place(path)):
+            raise AlgorithmError("the snapshot cannot be put in its place")
     kept = spark.read.parquet(path)
     if set(df.columns) - set(kept.columns):
         raise AlgorithmError("the snapshot lacks a requested variable")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hazardspark.errors import UserInputError
 from hazardspark.functions.keys import MISSING_TERM, code_key_of, covariate_key, covariate_key_of, literal_key, term_key, term_key_of, to_number
 from hazardspark.functions.rounding import round_figures, round_figures_np
 from hazardspark.functions.stats import chi_square_tail, two_sided_p
@@ -23,6 +24,20 @@ def test_term_keys_of_python_values():
     assert code_key_of("inf") == math.inf and code_key_of("nan") is None and code_key_of(" M ") == "M" and code_key_of("1e2") == 100.0
 
 
+def test_namespaces_of_the_session(spark):
+    spark.conf.set("spark.hazard.namespaces", "http://example.org/own#=own, http://example.org/two/=two")
+    try:
+        assert term_key_of("<http://example.org/own#C1>") == "own:C1"
+        got = spark.range(1).select(term_key(F.lit(" http://example.org/two/x "), "string").alias("k"), term_key(F.lit(f"{NCIT}C1"), "string").alias("n")).first()
+        assert (got.k, got.n) == ("s:two:x", "s:ncit:C1")
+        spark.conf.set("spark.hazard.namespaces", "no prefix")
+        with pytest.raises(UserInputError):
+            term_key_of("x")
+    finally:
+        spark.conf.unset("spark.hazard.namespaces")
+    assert term_key_of("http://example.org/own#C1") == "http://example.org/own#C1"
+
+
 TEXTS = [f"<{NCIT}C37987>", f" {NCIT}C16576 ", "http://snomed.info/id/419", "1", " 1.0 ", "1.", ".5e1", "+3", "-0", "1e7", "1e-5", "123456789.25", "M", "inf", "NaN", "1.0d", "0x1", "", "<>", " ", None, NCIT, "< 7 >", "1e400"]
 
 

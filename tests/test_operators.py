@@ -1,4 +1,4 @@
-"""Encoding, thresholds, time guards and risk sets: golden vectors and plain loops."""
+"""Encoding, thresholds, time guards and risk sets, against plain loops over random rows."""
 
 import math
 
@@ -11,6 +11,7 @@ from hazardspark.errors import PrivacyThresholdViolation, UserInputError
 from hazardspark.operators import guards, risksets, times
 from hazardspark.operators.encode import coerce_numbers, drop_incomplete, encode, recode_outcome, select_rows
 from hazardspark.request import parse_covariates
+from loops import merge, shown_slots
 
 SEX = {"sex": {"categories": {"M": ["M"], "F": ["F"]}, "reference": "M"}}
 
@@ -47,10 +48,16 @@ def test_encoding(spark):
 
 
 def test_incomplete_rows(spark):
-    df = spark.createDataFrame([(1.0, 50.0), (math.nan, 60.0), (3.0, None), (math.inf, 1.0)], "time double, age double")
-    assert [r.time for r in drop_incomplete(df, ["time", "age", "nosuch"]).collect()] == [1.0, math.inf]
-    assert drop_incomplete(df, ["nosuch"]).count() == 4
-    assert column(coerce_numbers(numbered(spark, ["1", "x", "2020-01-01"]), ["v", "nosuch"]), "v") == [1.0, None, None]
+    rng = np.random.default_rng(11)
+    odd = [None, math.nan, math.inf, -2.5, 7.0]
+    rows = [(i, odd[rng.integers(5)], odd[rng.integers(5)], [None, "t"][rng.integers(2)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c string")
+    whole = lambda x: x is not None and x == x
+    for names in (["a"], ["a", "b"], ["c", "b", "not a column"]):
+        want = [r[0] for r in rows if all(whole(r[1 + "abc".index(n)]) for n in names if n in "abc")]
+        assert column(drop_incomplete(df, names), "i") == want
+    assert drop_incomplete(df, ["not a column"]).count() == 80
+    assert column(coerce_numbers(numbered(spark, ["12", "twelve", "1999-12-31"]), ["v", "not a column"]), "v") == [12.0, None, None]
 
 
 def test_selection(spark):
@@ -132,15 +139,20 @@ def rows_of(spark, time, event=None, site=1):
 
 
 def test_tail_cut(spark):
-    assert times.kth_largest(rows_of(spark, [1, 2, 3, 4, 5]), 3).first().cut == 3
-    assert times.kth_largest(rows_of(spark, [1, 2, 3, 3, 5]), 3).first().cut == 3
-    assert times.kth_largest(rows_of(spark, [1, 2]), 5).isEmpty()
-    knobs = times.settings_frame(spark, {1: Settings(risk_change=5, threshold=10), 2: Settings(risk_change=3), 3: Settings(risk_change=5)})
-    both = rows_of(spark, range(1, 11)).unionByName(rows_of(spark, range(1, 11), site=2)).unionByName(rows_of(spark, [1], site=3))
-    assert {r.site: r.cut for r in times.tail_cuts(both, knobs).collect()} == {1: 6.0, 2: 8.0, 3: None}
-    df = rows_of(spark, range(1, 11), [0] * 6 + [1] * 4)
-    cut = times.clamp_tail(df, times.kth_largest(df, 5)).collect()
-    assert sorted((r.time, r.event) for r in cut) == [(t, 0) for t in (1, 2, 3, 4, 5, 6, 6, 6, 6, 6)]
+    """The k-th largest time with duplicates; beyond it rows are censored there; sites have a k of their own."""
+    rng = np.random.default_rng(12)
+    ks = {4: 3, 6: 7, 8: 1, 9: 9}
+    rows = [(s, float(rng.integers(0, 25)), int(rng.integers(0, 2))) for s in ks for _ in range(40 if s != 9 else 5)]
+    df = spark.createDataFrame(rows, "site long, time double, event int")
+    knobs = times.settings_frame(spark, {s: Settings(risk_change=k, threshold=12) for s, k in ks.items()})
+    own = lambda s: [r for r in rows if r[0] == s]
+    want = {s: sorted(t for _, t, _ in own(s))[-k] if len(own(s)) >= k else None for s, k in ks.items() if k > 1}
+    cuts = times.tail_cuts(df, knobs)
+    assert {r.site: r.cut for r in cuts.collect()} == want
+    assert {r.site: r.cut for r in times.kth_largest(df, 7).collect()} == {s: sorted(t for _, t, _ in own(s))[-7] for s in (4, 6, 8)}
+    limit = {s: want.get(s) if want.get(s) is not None else math.inf for s in ks}
+    clamped = sorted((s, min(t, limit[s]), int(e and t <= limit[s])) for s, t, e in rows)
+    assert sorted(map(tuple, times.clamp_tail(df, cuts).select("site", "time", "event").collect())) == clamped
 
 
 def merged(spark, time, freq, m):
@@ -148,38 +160,26 @@ def merged(spark, time, freq, m):
     return [r.merged for r in times.merge_small(df, m).orderBy("time").collect()]
 
 
-def test_merging_small_counts(spark):
-    assert merged(spark, [1, 2, 3, 4, 5], [1, 1, 3, 1, 1], 2) == [2, 2, 3, 5, 5]
-    assert merged(spark, [1, 2], [3, 1], 2) == [1, 1]
-    assert merged(spark, [1, 2, 3], [1, 1, 1], 5) == [3, 3, 3]
-    assert merged(spark, [1, 2, 3], [1, 1, 1], 1) == [1, 2, 3]
-    df = spark.createDataFrame([(1, float(t), f) for t, f in zip(range(1, 6), [1, 1, 3, 1, 1])], "site long, time double, freq long")
-    assert sorted((r.time, r.freq) for r in times.suppressed_counts(df, 2).collect()) == [(2, 2), (3, 3), (5, 2)]
-
-
-def loop_merge(time, freq, m):
-    out, group, held, last = [], [], 0, None
-    for t, f in zip(time, freq):
-        group.append(t)
-        held += f
-        if held >= m:
-            out += [t] * len(group)
-            last, group, held = t, [], 0
-    return out + [last if last is not None else time[-1]] * len(group)
-
-
 def test_merging_equals_a_loop(spark):
     rng = np.random.default_rng(3)
-    for m in (2, 4, 9):
-        freq = rng.integers(1, 5, 60).tolist()
-        assert merged(spark, range(60), freq, m) == loop_merge(list(range(60)), freq, m)
+    for least, top, n in ((1, 4, 12), (2, 4, 60), (4, 3, 35), (9, 5, 60), (50, 3, 8), (7, 7, 1)):
+        freq = rng.integers(1, top, n).tolist() if top > 1 else [1] * n
+        when = sorted(rng.choice(500, n, replace=False).tolist())
+        want = merge(when, freq, least)
+        assert merged(spark, when, freq, least) == want
+        df = spark.createDataFrame([(1, float(t), f) for t, f in zip(when, freq)], "site long, time double, freq long")
+        total = {t: sum(f for f, w in zip(freq, want) if w == t) for t in set(want)}
+        assert {r.time: r.freq for r in times.suppressed_counts(df, least).collect()} == total
 
 
 def test_moving_events(spark):
-    df = rows_of(spark, range(1, 11), [1, 1, 1] + [0] * 7)
-    cut = times.clamp_tail(df, times.kth_largest(df, 5))
-    moved = times.move_events(cut, times.merge_small(times.event_counts(cut), 2))
-    assert sorted(r.time for r in moved.collect()) == [2, 2, 2, 4, 5, 6, 6, 6, 6, 6]
+    rng = np.random.default_rng(14)
+    when, event = rng.integers(0, 30, 70).tolist(), (rng.random(70) < 0.4).astype(int).tolist()
+    df = rows_of(spark, when, event)
+    points = sorted({t for t, e in zip(when, event) if e})
+    to = dict(zip(points, merge(points, [sum(e for t, e in zip(when, event) if t == p) for p in points], 4)))
+    moved = times.move_events(df, times.merge_small(times.event_counts(df), 4))
+    assert sorted((r.time, r.event) for r in moved.collect()) == sorted((float(to[t]) if e else float(t), e) for t, e in zip(when, event))
 
 
 def release(spark, time, grid, k, floor, group=None, x=None):
@@ -194,33 +194,23 @@ def release(spark, time, grid, k, floor, group=None, x=None):
     return [r.s0 for r in got], [r.s1_0 for r in got], [r.s2_0_0 for r in got]
 
 
-T10 = range(1, 11)
-
-
-@pytest.mark.parametrize(
-    ("time", "grid", "k", "floor", "group", "want"),
-    [
-        (T10, T10, 5, None, None, [10, 10, 10, 10, 10, 5, 5, 5, 5, 5]),
-        (T10, T10, 5, 8, None, [10] * 10),
-        (T10, T10, 2, 6, None, [10, 10, 8, 8, 6, 6, 6, 6, 6, 6]),
-        ([1, 2, 3], [1, 2, 3], 5, 50, None, [3, 3, 3]),
-        (T10, T10, 1, 50, None, list(range(10, 0, -1))),
-        (T10, [4, 10], 5, None, [1] * 5 + [0] * 5, [7, 7]),
-        (T10, [4, 10], 5, None, None, [7, 1]),
-        (range(1, 13), [2, 5, 12], 2, 3, [1] * 2 + [0] * 10, [11, 11, 11]),
-        (range(1, 13), [2, 5, 12], 2, 3, None, [11, 8, 8]),
-        (range(1, 9), [4, 7], 2, None, [1] * 5 + [0] * 3, [5, 5]),
-        (range(1, 9), [4, 7], 2, None, None, [5, 2]),
-        (range(1, 21), [10.5, 15.5], 2, 4, [1] * 8 + [0] * 2 + [1] * 8 + [0] * 2, [10, 10]),
-        (range(1, 21), [10.5, 15.5], 2, 4, None, [10, 5]),
-    ],
-)
-def test_held_risk_sets(spark, time, grid, k, floor, group, want):
-    assert release(spark, time, grid, k, floor, group)[0] == want
-
-
-def test_sums_follow_what_is_held(spark):
-    assert release(spark, [1, 2, 3, 4], [1, 2, 3, 4], 2, 2, None, [1, 2, 3, 4]) == ([4, 4, 2, 2], [10, 10, 7, 7], [30, 30, 25, 25])
+def test_held_risk_sets_equal_a_loop(spark):
+    """Sizes, weighted sums and group holds of random sites."""
+    rng = np.random.default_rng(15)
+    held = 0
+    for case in range(12):
+        n, k, floor = int(rng.integers(15, 120)), [1, 2, 3, 6][case % 4], [None, 4, 12][case % 3]
+        when = rng.integers(0, 30, n).tolist()
+        grid = sorted(rng.choice(28, 9, replace=False).tolist())
+        group = (rng.random(n) < 0.35).astype(int).tolist() if case % 2 else None
+        x = rng.integers(-3, 4, n).astype(float).tolist()
+        at = [[i for i in range(n) if when[i] >= t] for t in grid]
+        slots = shown_slots([len(a) for a in at], [[sum(group[i] for i in a) for a in at]] if group else [], k, floor)
+        held += sum(s != i for i, s in enumerate(slots))
+        s0, s1, s2 = release(spark, when, grid, k, floor, group, x)
+        assert s0 == [len(at[s]) for s in slots]
+        assert s1 == [sum(x[i] for i in at[s]) for s in slots] and s2 == [sum(x[i] ** 2 for i in at[s]) for s in slots]
+    assert held > 20
 
 
 def test_risk_sets_equal_masks(spark):
@@ -248,5 +238,5 @@ def test_odd_releases_are_told(spark):
         df = spark.createDataFrame([(4, i, float(s)) for i, s in enumerate(sizes)], "site long, slot int, s0 double")
         return any(r.odd == 4 for r in risksets.pooled(df, 0).collect())
 
-    assert odd([5, 3, 4]) and odd([5, -1, 0]) and odd([0, 0, 0]) and odd([5, math.nan, 1])
-    assert not odd([5, 5, 3, 1]) and not odd([5, 3, 0, 0])
+    assert all(odd(x) for x in ([9, 2, 2.5], [4, 2, -0.5], [0, 0], [8, math.nan, 3], [math.inf, 1]))
+    assert not any(odd(x) for x in ([9, 9, 2, 0], [1.5]))

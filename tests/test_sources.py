@@ -3,11 +3,15 @@
 import json
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardspark.errors import AlgorithmError
-from hazardspark.sources.ontology import load_ontology
+from hazardspark.config import OPEN
+from hazardspark.errors import AlgorithmError, UserInputError
+from hazardspark.plans.fit import cox_fit
+from hazardspark.plans.rdf import cox_fit_triples
+from hazardspark.sources.ontology import index_ontology, load_ontology
 from hazardspark.sources.tables import read_stations, write_partitioned
 from hazardspark.sources.triples import collect_bounded, flatten_patients, read_ntriples, snapshot
 
@@ -48,6 +52,44 @@ def test_triples(spark, tmp_path):
         snapshot(wide.withColumn("more", F.lit(1)), str(tmp_path / "snap"))
 
 
+def test_a_half_written_snapshot_is_not_read(spark, tmp_path):
+    (tmp_path / "snap").mkdir()
+    (tmp_path / "snap" / "part-00000.parquet").write_text("cut off")
+    assert snapshot(spark.range(4), str(tmp_path / "snap")).count() == 4
+
+
+def test_a_fit_from_triples_equals_the_fit_from_the_table(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    table, triples = [], []
+    code = {"time": "C1", "state": "C2", "dose": "C3", "grade": "C4"}
+    for site in (1, 2):
+        for i in range(120):
+            dose, grade = float(rng.normal()), int(rng.integers(0, 2))
+            time, event = float(np.round(rng.exponential(10 / np.exp(0.4 * dose + 0.3 * grade)), 3)), int(rng.random() < 0.7)
+            table.append((site, time, event, dose, grade))
+            cells = {"time": (repr(time), None), "state": ("raw", "D" if event else "A"), "dose": (f" {dose!r}", None), "grade": ("raw", "HI" if grade else "LO")}
+            for name, (value, term) in cells.items():
+                at, cell = f"http://d/{name}{i}", f"http://d/cell/{name}{i}"  # the same at both sites
+                triples += [(site, f"http://d/{i}", "http://m/has_column", at), (site, at, "http://m/type", NCIT + code[name]), (site, at, "http://m/has_cell", cell), (site, cell, "http://m/has_value", value)]
+                if term:
+                    triples += [(site, cell, "http://m/type", NCIT + term), (site, NCIT + term, "http://m/subClassOf", NCIT + code[name])]
+    plain = cox_fit(spark.createDataFrame(table, "site long, time double, event int, dose double, grade int"), "time", "event", ["dose", "grade"], settings=OPEN)
+    terms = lambda *names: {"terms": {n: {"targetClass": f"ncit:{n}"} for n in names}}
+    kinds = {"C1": "continuous", "C3": "continuous", "C2": "categorical", "C4": "categorical"}
+    variables = {c: {"class": f"ncit:{c}", "dataType": k, "valueMapping": terms(*{"C2": "DA", "C4": ("HI", "LO")}.get(c, ()))} for c, k in kinds.items()}
+    how = {"ontology": index_ontology({"schema": {"variables": variables}}), "settings": OPEN, "timeout": 300}
+    asked = ("ncit:C1", {"ncit:C2": {"event": ["ncit:D"], "censored": ["ncit:A"]}}, ["ncit:C3", {"ncit:C4": {"categories": {"lo": ["ncit:LO"], "hi": ["ncit:HI"]}, "reference": "lo"}}])
+    df = spark.createDataFrame(triples, "site long, s string, p string, o string")
+    got = cox_fit_triples(df, *asked, str(tmp_path / "snap"), **how)
+    for a, b in (("dose", "ncit:C3"), ("grade", "ncit:C4[hi]")):
+        assert got["model"][b]["Coef"] == pytest.approx(plain["model"][a]["Coef"], abs=1e-6) and got["model"][b]["SE"] == pytest.approx(plain["model"][a]["SE"], abs=1e-6)
+    # the second fit reads the snapshot, and a request that the ontology forbids reads nothing
+    again = cox_fit_triples(df.limit(0), *asked, str(tmp_path / "snap"), **how)
+    assert again["model"] == got["model"]
+    with pytest.raises(UserInputError):
+        cox_fit_triples(df.selectExpr("site", "raise_error('read') AS s", "p", "o"), "ncit:C2", *asked[1:], str(tmp_path / "other"), **how)
+
+
 def test_bounded_collection(spark):
     assert collect_bounded(lambda: spark.range(3), 5).count() == 3
     with pytest.raises(AlgorithmError, match="too long"):
