@@ -112,6 +112,34 @@ def _maxima(response, bounds, top):
     return out
 
 
+def gradients(model: Model, rows, which, first, y, weight) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Of the weighted log loss: by filters, shift and out; by bias; and the rows of the table it touches with theirs."""
+    best, at = model.pooled(rows, which, first)
+    live = np.maximum(best + model.shift, 0)
+    err = ((sigmoid(live @ model.out + model.bias) - y) * weight).astype(np.float32)
+    grads: list = [None] * len(model.filters) + [None, live.T @ err]
+    back = err[:, None] * model.out * (live > 0)
+    grads[-2] = back.sum(axis=0)
+    embedded = model.table[rows].sum(axis=1)
+    moved = np.zeros_like(embedded)
+    for k, (width, f) in enumerate(zip(WIDTHS, model.filters)):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        d, c = np.nonzero((back[:, cols] != 0) & (at[:, cols] >= 0))
+        grad = np.zeros_like(f)
+        for j in range(width):
+            w = which[at[d, k * FILTERS + c] + j]
+            pull = back[d, k * FILTERS + c][:, None]
+            np.add.at(grad[j].T, c, pull * embedded[w])
+            np.add.at(moved, w, pull * f[j].T[c])
+        grads[k] = grad
+    used = np.flatnonzero(np.abs(moved).sum(axis=1))
+    flat, pull = rows[used].ravel(), np.repeat(moved[used], rows.shape[1], axis=0)
+    spot, inverse = np.unique(flat, return_inverse=True)
+    total = np.zeros((len(spot), DIM), np.float32)
+    np.add.at(total, inverse, pull)
+    return grads, float(err.sum()), spot, total
+
+
 def train(parts: list, labels: list[np.ndarray], rounds: int = 8, rate: float = 0.3, seed: int = 5) -> Model:
     """parts: what ``word_rows`` returns, for small groups of documents; Adagrad over the groups."""
     model, rng = Model(), np.random.default_rng(seed)
@@ -123,37 +151,13 @@ def train(parts: list, labels: list[np.ndarray], rounds: int = 8, rate: float =
     for _ in range(rounds):
         for g in rng.permutation(len(parts)):
             (rows, which, first), y = parts[g], labels[g]
-            best, at = model.pooled(rows, which, first)
-            live = np.maximum(best + model.shift, 0)
-            p = sigmoid(live @ model.out + model.bias)
-            weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-            err = ((p - y) * weight / len(y)).astype(np.float32)
-            grads: list = [None] * len(model.filters) + [None, live.T @ err]
-            back = err[:, None] * model.out * (live > 0)
-            grads[-2] = back.sum(axis=0)
-            embedded = model.table[rows].sum(axis=1)
-            moved = np.zeros_like(embedded)
-            for k, (width, f) in enumerate(zip(WIDTHS, model.filters)):
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                d, c = np.nonzero((back[:, cols] != 0) & (at[:, cols] >= 0))
-                grad = np.zeros_like(f)
-                for j in range(width):
-                    w = which[at[d, k * FILTERS + c] + j]
-                    pull = back[d, k * FILTERS + c][:, None]
-                    np.add.at(grad[j].T, c, pull * embedded[w])
-                    np.add.at(moved, w, pull * f[j].T[c])
-                grads[k] = grad
-            used = np.flatnonzero(np.abs(moved).sum(axis=1))
-            flat, pull = rows[used].ravel(), np.repeat(moved[used], rows.shape[1], axis=0)
-            spot, inverse = np.unique(flat, return_inverse=True)
-            total = np.zeros((len(spot), DIM), np.float32)
-            np.add.at(total, inverse, pull)
+            weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+            grads, step, spot, total = gradients(model, rows, which, first, y, weight)
             seen_table[spot] += (total * total).sum(axis=1)
             model.table[spot] -= rate * total / np.sqrt(seen_table[spot])[:, None]
             for p_, s, g_ in zip((*model.filters, model.shift, model.out), seen, grads):
                 s += g_ * g_
                 p_ -= 0.3 * rate * g_ / np.sqrt(s)
-            step = float(err.sum())
             seen_bias += step * step
             model.bias = np.float32(model.bias - 0.3 * rate * step / np.sqrt(seen_bias))
     del model._where

@@ -13,6 +13,7 @@ from .arrays import Chunk, chunks, numbered
 
 FOLDS = 5
 SAMPLE = 8_000
+LONGEST = 128 << 10  # bytes of a text to learn from; any text is scored
 
 
 def held_out(doc_id: Column) -> Column:
@@ -20,16 +21,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, bound: int = SAMPLE, extra: tuple[str, ...] = ()) -> pa.Table:
+def sample(docs: DataFrame, labels: DataFrame, column: str, bound: int = SAMPLE, extra: tuple[str, ...] = (), longest: int = LONGEST) -> pa.Table:
     """Up to ``bound`` labelled documents to learn from, picked by a hash of doc_id: doc_id, text, label.
 
-    Only the labels, at most ``bound`` rows, are broadcast; no text is shuffled.
+    Of these, texts of over ``longest`` bytes are not learned from, so that the
+    sample has a size that is bounded in bytes. Only the labels, at most ``bound`` rows, are broadcast; no text is shuffled.
     """
     known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
-    out = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", *extra).toArrow()
+    out = texts.filter(F.octet_length("text") <= longest).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", *extra).toArrow()
     out = out.combine_chunks().sort_by("doc_id")
     first = np.ones(len(out), bool)  # repeated rows count once
     ids = out.column("doc_id").to_numpy()
