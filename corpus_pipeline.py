@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the docs of the next. All but the last return the
 columns of ``documents``.
+
+Results for odd rows: a null text is an empty one; a null doc_id is kept like
+any other by quality, mixing and packing, comes last among exact copies, and is
+never a near duplicate; of repeated rows one stays after exact duplicates, and
+rows that share a doc_id but not a text stay or go together as near duplicates;
+texts of any length are read whole; ties go to the smallest doc_id; other columns
+pass through; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -52,7 +59,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests hold exact and near duplicates and the packed ids against brute force.
 ORACLE_SQL = None
 
 
