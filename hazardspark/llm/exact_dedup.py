@@ -87,7 +87,8 @@ def build_index(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
     entries = stored(_rows(docs).select("doc_id", "n_code", digest, "key"), "entries")
     paged = placed(entries, capacity).withColumn("page", F.pmod(F.xxhash64("doc_id", "n_code"), F.col("pages")).cast("int"))
     paged = paged.select("bucket", "page", "key", "text_sha256", "n_code", "doc_id")
-    owned = paged.repartitionByRange(n_parts(docs.sparkSession), "bucket", "page", "key").sortWithinPartitions("bucket", "page", "key")
+    # by doc_id as well, so that the copies of one text may fill several files
+    owned = paged.repartitionByRange(n_parts(docs.sparkSession), "bucket", "page", "key", "doc_id").sortWithinPartitions("bucket", "page", "key")
     return stored(owned, "index")
 
 
