@@ -153,8 +153,8 @@ def _frequencies(n_parts: int):
 
 
 SALTS = 16  # ways in which the members of a group are dealt when they learn how many blocks it has
-BLOCK = 512  # members of a group that are multiplied with its leader in one task
-BLOCK_GRAMS = 1 << 18  # n-grams of the sets in a block
+BLOCK = 512  # members of a block at most, about
+BLOCK_GRAMS = 1 << 18  # n-grams of the sets in a block, about
 COLUMNS = "value long, n int, leader long, score double, docs binary, grams binary"
 
 
@@ -344,10 +344,16 @@ def _links(percent: int):
 
 def _group_links(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that join all documents which links join, within the groups (leader, doc)."""
-    parts = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt_to = led.withColumn("salt", salt).join(salted(parts), ["leader", "salt"]).select("leader", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("at"), "doc")
+
+    def numbered_in(df: DataFrame, counts: DataFrame, spot: list[str]) -> DataFrame:
+        """``df`` with at: a block among the parts of its group. Groups of one part need no telling."""
+        large = counts.filter("parts > 1").select(*spot, "parts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = df.withColumn("salt", salt).join(large, [*spot, "salt"], "left")
+        return both.withColumn("at", F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts", "salt")
+
+    parts = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt_to = numbered_in(led, parts, ["leader"]).select("leader", "at", "doc")
     leaders = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"), F.col("leader").alias("doc"))
     met = dealt_to.unionByName(leaders).join(sets, "doc").groupBy("leader", "at").applyInArrow(_with_leader(percent), "leader long, doc long, size long, linked boolean")
     # rows that repeat a doc_id may have several sets: linked if one of them is, and in every block of a set that is not
@@ -358,9 +364,10 @@ def _group_links(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     width = math.log(100 / percent) * (1 + 1e-9) + 1e-12
     member = met.join(apart, "leader", "left_semi").withColumn("band", F.floor(F.log(F.col("size")) / F.lit(width)).cast("int"))
     spot = ["leader", "linked", "band"]
-    counts = member.groupBy(*spot).agg(F.ceil(F.sum("size") / BLOCK_GRAMS).cast("int").alias("parts"))
+    many = F.greatest(F.ceil(F.sum("size") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
+    counts = member.groupBy(*spot).agg(many.alias("parts"))
     name = lambda linked, band, at: F.concat_ws("-", linked.cast("int"), band, at)
-    blocked = member.withColumn("salt", salt).join(salted(counts), [*spot, "salt"]).withColumn("at", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    blocked = numbered_in(member, counts, spot)
     blocked = blocked.select("leader", name(F.col("linked"), F.col("band"), F.col("at")).alias("block"), "doc").distinct()
     packed = stored(blocked.join(sets, "doc").groupBy("leader", "block").applyInArrow(_pack_block, "leader long, block string, sets binary"), "blocks")
     each = counts.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*spot, name(F.col("linked"), F.col("band"), F.col("at")).alias("block"))
