@@ -114,11 +114,11 @@ def test_one_id_with_several_texts(spark):
 def test_a_large_group_of_near_copies_moves_no_pairs(spark):
     """3,000 different near copies: every set meets the leader once, so hardly a block is left to multiply."""
     rng = random.Random(3)
-    base = [f"w{i}" for i in range(80)]
+    base = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(3000):
         words = list(base)
-        words[rng.randrange(80)] = f"x{i}"
+        words[rng.randrange(200)] = f"x{i}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     seen: list = []
