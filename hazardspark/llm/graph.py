@@ -5,10 +5,12 @@ k-mers in runs that nothing branches off, so an edge here is one such run, and
 the node between two runs that follow one another in a text is the k-1 words
 they share. Only edges that repeat are kept. A node is nonbranching if all
 occurrences of the edge before it go on to one same edge, and all occurrences
-of that one come from it. Joins on edge names contract such nodes: every edge
-of a path looks twice as far ahead in each round, so a path of m edges takes
-about log2(m) rounds. What is left are whole repeated paths, each occurrence of
-which is one span of words, with the coordinates of the first as its source.
+of that one come from it. A join on edge names contracts such nodes: an edge that
+comes after one is inner to a path, and since that holds for all its occurrences,
+the edges of a path stand side by side wherever it occurs. A path is an edge that
+is not inner with the inner ones behind it; one pass over the edges of each
+document adds them up. Each occurrence of a path is one span of words, with the
+coordinates of the first as its source.
 """
 
 from __future__ import annotations
@@ -21,9 +23,15 @@ from pyspark.sql import functions as F
 from .runs import EDGE, PACKED, batch, span_rows, unpack_all
 from .shared import stored
 
+#: Spans packed at a time.
+SPANS_PACKED = 1 << 17
 EDGES_AS_ROWS = "name long, doc long, place int, n int, source long, at int"
 
 
+def _along():
+    return Window.partitionBy("doc").orderBy("place", "name")
+
+
 def edge_rows(packed: DataFrame) -> DataFrame:
     """One row per occurrence of a repeated edge: name, doc, place, n (windows), and its first occurrence (source, at)."""
 
@@ -36,43 +44,43 @@ def edge_rows(packed: DataFrame) -> DataFrame:
 
 
 def nonbranching(edges: DataFrame) -> DataFrame:
-    """name, next, n: pairs of edges that meet in a node of in-degree and out-degree one, in all their occurrences."""
-    order = Window.partitionBy("doc").orderBy("place")
+    """name, next: pairs of edges that meet in a node of in-degree and out-degree one, in all their occurrences."""
+    order = _along()
     after = F.when(F.lead("place").over(order) == F.col("place") + F.col("n"), F.lead("name").over(order))
     before = F.when(F.lag("place").over(order) + F.lag("n").over(order) == F.col("place"), F.lag("name").over(order))
-    steps = edges.select("name", "n", after.alias("after"), before.alias("before"))
+    steps = edges.select("name", after.alias("after"), before.alias("before"))
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), F.min(c))
-    degrees = stored(steps.groupBy("name").agg(F.max("n").alias("n"), only("after").alias("next"), only("before").alias("previous")), "degrees")
-    to = degrees.select(F.col("name").alias("next"), F.col("previous").alias("back"))
-    return degrees.filter("next is not null").join(to, "next").filter("back = name").select("name", "next", "n")
+    degrees = stored(steps.groupBy("name").agg(only("after").alias("next"), only("before").alias("previous")), "degrees")
+    to = degrees.filter("previous is not null").select(F.col("name").alias("next"), F.col("previous").alias("back"))
+    return degrees.filter("next is not null").join(to, "next").filter("back = name").select("name", "next")
 
 
-def paths(links: DataFrame, sizes: DataFrame) -> DataFrame:
-    """name, total: windows from each edge of ``links`` to the end of its path."""
-    now = stored(links.select("name", F.col("next").alias("to"), F.col("n").cast("long").alias("total")), "paths")
-    while True:
-        ahead = now.select(F.col("name").alias("to"), F.col("to").alias("far"), F.col("total").alias("more"))
-        step = now.join(ahead, "to", "left")
-        step = stored(step.select("name", F.coalesce("far", "to").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), F.col("far").isNotNull().alias("moved")), "paths")
-        now = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            break
-    last = sizes.select(F.col("name").alias("to"), F.col("n").alias("more")).distinct()
-    return now.join(last, "to").select("name", (F.col("total") + F.col("more")).cast("int").alias("total"))
+def paths(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """The edges that begin a path, with n: windows from there to the end of the path."""
+    inner = links.select(F.col("next").alias("name"), F.lit(True).alias("inner"))
+    order = _along()
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    begins = edges.join(inner, "name", "left").withColumns({"before": before, "whole": whole}).filter("inner is null")
+    n = (F.coalesce(F.lead("before").over(order), F.col("whole")) - F.col("before")).cast("int")
+    return begins.withColumn("n", n).drop("inner", "before", "whole")
 
 
 def compact(packed: DataFrame, n_parts: int) -> DataFrame:
     """Spans of all but the first occurrences of every path, packed for the parts of their documents."""
     edges = stored(edge_rows(packed), "edges")
     links = stored(nonbranching(edges), "links")
-    begins = edges.join(links.select(F.col("next").alias("name")), "name", "left_anti")
-    if not links.isEmpty():
-        begins = begins.join(paths(links, edges), "name", "left").withColumn("n", F.coalesce("total", "n"))
-    later = begins.filter("doc <> source or place <> at").select("doc", "place", "n", "source", "at")
+    later = paths(edges, links).filter("doc <> source or place <> at").select("doc", "place", "n", "source", "at")
 
     def run(batches):
+        have, size = [], 0
         for b in batches:
-            if len(b):
-                yield batch(span_rows(n_parts, *(c.to_numpy() for c in b.columns)))
+            have.append([c.to_numpy() for c in b.columns])
+            size += len(b)
+            if size >= SPANS_PACKED:
+                yield batch(span_rows(n_parts, *(np.concatenate(x) for x in zip(*have))))
+                have, size = [], 0
+        if size:
+            yield batch(span_rows(n_parts, *(np.concatenate(x) for x in zip(*have))))
 
     return later.mapInArrow(run, PACKED)

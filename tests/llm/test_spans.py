@@ -152,4 +152,5 @@ def test_paths_of_a_graph(spark):
     edges = spark.createDataFrame(rows, "name long, doc long, place int, n int, source long, at int")
     links = nonbranching(edges)
     assert {(r.name, r.next) for r in links.collect()} == set(zip(names, names[1:]))
-    assert {(r.name, r.total) for r in paths(links, edges).collect()} == {(10, 15), (11, 12), (12, 9), (13, 6)}
+    assert {(r.name, r.doc, r.place, r.n) for r in paths(edges, links).collect()} == {
+        (10, 1, 100, 15), (15, 1, 115, 3), (10, 2, 200, 15), (16, 2, 215, 3), (15, 2, 218, 3), (10, 3, 300, 15)}
