@@ -22,6 +22,7 @@ import json
 import os
 import unicodedata
 import zlib
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -42,7 +43,8 @@ END_ID = 0
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PLAIN = np.zeros(256, bool)
-_PLAIN[[*range(48, 58), *range(97, 123)]] = True
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+COMBINES = 0xC6  # no byte from here on occurs in U+0000 to U+017F, none of which combines with a letter before it
 
 
 def _letters() -> np.ndarray:
@@ -78,6 +80,11 @@ class WordIds:
 
     def __init__(self, path: str, bound: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
+        self.bound = bound
+        self._load(path)
+        self.clear()
+
+    def _load(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,11 +92,9 @@ class WordIds:
         parts = json.loads(self.tokenizer.to_str())
         by_space = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": by_space, "added_tokens": []}))
-        self.bound = bound
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted 64-bit hashes of known words
@@ -113,15 +118,18 @@ class WordIds:
             return self._alone(words)
         return ids, np.diff(ends, prepend=0)
 
+    def _kind(self, word: str) -> tuple[Callable, bool]:
+        """How a word is encoded, and what it may be encoded together with."""
+        return (self._together, word.isascii()) if word.isalpha() else (self._alone, False)
+
     def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
         """Encode words and remember them under their (sorted) hashes."""
         texts = [w.decode("utf-8") for w in new]
         kinds: dict = {}
         for i, t in enumerate(texts):
-            kinds.setdefault(("plain" if t.isascii() else "letters") if t.isalpha() else "other", []).append(i)
+            kinds.setdefault(self._kind(t), []).append(i)
         slots, n = np.empty(len(new), np.int64), len(self.keys)
-        for kind, own in kinds.items():
-            encode = self._alone if kind == "other" else self._together
+        for (encode, _), own in kinds.items():
             for lo in range(0, len(own), 256):
                 part = own[lo : lo + 256]
                 ids, lengths = encode([texts[i] for i in part])
@@ -142,10 +150,11 @@ class WordIds:
     def _units(chunk: Chunk) -> tuple[Chunk, Words]:
         """The chunk with ASCII letters lower-cased, and its words with punctuation at the end as words of their own.
 
-        Words that hold ``<`` may hold a special token and stay as they are.
+        Words that hold ``<`` may hold a special token and stay as they are; so do those with a byte from COMBINES on:
+        the tokenizer composes before it lower-cases, and some marks combine with a small letter but not with its capital.
         """
         w = words(chunk)
-        marked = np.append(0, np.cumsum(chunk.data == ord("<")))
+        marked = np.append(0, np.cumsum((chunk.data == ord("<")) | (chunk.data >= COMBINES)))
         marked = marked[w.end] > marked[w.start]
         low = _LOWER[chunk.data]
         if marked.any():
@@ -187,13 +196,13 @@ class WordIds:
         return out, first
 
 
-_KNOWN: dict[str, WordIds] = {}
+_KNOWN: dict[str, object] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, kind: type = WordIds):
     """One per Python worker, so that later tasks find the words of earlier ones."""
     if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
+        _KNOWN[path] = kind(path)
     return _KNOWN[path]
 
 
