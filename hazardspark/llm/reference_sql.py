@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+
+
+def crc32_sql(text: str) -> str:
+    """zlib's CRC-32 of an ASCII text: each byte is taken in, then halved eight times (marked by -1)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    taken = "CASE WHEN x >= 0 THEN xor(v, x) WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda v, x: {taken}), 4294967295)"
+
+
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP6_SQL = f"""
