@@ -37,11 +37,11 @@ def check_schema(df: DataFrame, time: str, outcome: str) -> None:
             raise UserInputError(f"{what} column '{name}' is not numeric")
 
 
-def sizes(df: DataFrame, time: str, outcome: str, covariates: Covariates, where: Column | None = None, masks: list[Column] | None = None) -> DataFrame:
+def sizes(df: DataFrame, time: str, outcome: str, covariates: Covariates, where: Column | None = None, masks: list[Column] | None = None, terms: int = 0) -> DataFrame:
     """Per site: rows, events, rows and events of each category (g0, e0, ...), and what is wrong with the columns.
 
     where: only rows that fulfil it count; sites without one are still told. masks: the categories, by default
-    those of ``covariates``.
+    those of ``covariates``. terms: for so many, x0.., the power of two that none is over (w0, ...), nothing finer.
     """
     where = F.lit(True) if where is None else where
     t, e = (F.when(where, q(c).cast("double")) for c in (time, outcome))
@@ -52,6 +52,9 @@ def sizes(df: DataFrame, time: str, outcome: str, covariates: Covariates, where:
         F.min(t).alias("first"),
         F.max(~e.isin(0.0, 1.0)).alias("odd_outcome"),
     ]
+    for i in range(terms):
+        size = F.max(F.when(where, F.abs(F.col(f"x{i}"))))
+        aggs.append(F.when(size > 0, F.pow(F.lit(2.0), F.ceil(F.log2(size)) + 1)).otherwise(1.0).alias(f"w{i}"))
     for i, mask in enumerate([m for _, m in group_masks(covariates)] if masks is None else masks):
         aggs += [F.count_if(where & mask).alias(f"g{i}"), F.count_if(where & mask & (e == 1)).alias(f"e{i}")]
     return df.groupBy("site").agg(*aggs)

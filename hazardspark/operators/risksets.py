@@ -4,32 +4,37 @@ A row is at risk at every grid point up to its time. Instead of joining rows
 with the grid points they are at risk at, each row gets the last such point as
 its slot, rows are summed per (site, slot), and the sums are accumulated from
 the last slot backwards. Slots are set once; every evaluation is then one
-partial aggregation to at most (sites x grid points) rows.
+partial aggregation to at most (sites x grid points) rows. Sums do not depend on
+how rows are partitioned (``functions.exact``), so neither does what is released.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import WIRE_FIGURES
+from ..functions.exact import exact_sums
 from ..functions.rounding import round_figures
 
+BLOCK_SUMS = 24  # sums of one aggregation, twice as many columns; more go to further ones, which compiled code still holds
 
-def assign_slots(rows: DataFrame, grid: list[float]) -> DataFrame:
-    """``rows`` with slot: the index of the largest grid time up to ``time``, -1 before the first."""
-    points = np.asarray(grid, dtype=float)
 
-    @F.pandas_udf("int")
-    def slot(times: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in times:
-            yield pd.Series(np.searchsorted(points, t.to_numpy(), side="right") - 1).astype("int32")
+def as_of(time: Column, grid: Column, points: int) -> Column:
+    """The index of the largest grid time up to ``time``, -1 before the first; grid: an ascending array of at most ``points``.
+
+    A search in halving steps.
+    """
+    steps = [1 << i for i in range(max(points, 1).bit_length() - 1, -1, -1)]
+    further = lambda at, s: F.when((at + s <= F.size(grid)) & (F.get(grid, at + s - 1) <= time), at + s).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further) - 1
 
-    return rows.withColumn("slot", slot(F.col("time").cast("double")))
+
+def assign_slots(rows: DataFrame, grid: list[float]) -> DataFrame:
+    """``rows`` with slot: the index of the last grid time up to ``time``, -1 before the first."""
+    return rows.withColumn("slot", as_of(F.col("time").cast("double"), F.lit([float(t) for t in grid]) if grid else F.array().cast("array<double>"), len(grid)))
 
 
 def names(terms: int) -> list[str]:
@@ -37,19 +42,54 @@ def names(terms: int) -> list[str]:
     return ["s0", *[f"s1_{i}" for i in range(terms)], *[f"s2_{i}_{j}" for i in range(terms) for j in range(i, terms)]]
 
 
-def slot_sums(rows: DataFrame, xs: list[Column], weight: Column, groups: list[Column] = []) -> DataFrame:  # noqa: B006
-    """Per (site, slot): n, ng_k for each group, and the weighted sums of ``names``."""
-    rows = rows.filter("slot >= 0").withColumns({"_w": weight, **{f"_x{i}": x for i, x in enumerate(xs)}})
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.count_if(g).alias(f"ng_{k}") for k, g in enumerate(groups)]]
-    parts = ["_w", *[f"_w * _x{i}" for i in range(len(xs))], *[f"_w * _x{i} * _x{j}" for i in range(len(xs)) for j in range(i, len(xs))]]
-    aggs += [F.expr(f"sum({e})").alias(c) for c, e in zip(names(len(xs)), parts)]
-    return rows.groupBy("site", "slot").agg(*aggs)
+@dataclass(frozen=True)
+class Bounds:
+    """No weight is over ``weight``, no term over ``terms``, in absolute value, and there are ``n`` rows at most."""
+
+    weight: float
+    terms: tuple[float, ...]
+    n: int
 
+    def of(self, name: str) -> float:
+        out = self.weight
+        for i in name.split("_")[1:]:
+            out *= self.terms[int(i)]
+        return out
 
-def at_risk(sums: DataFrame, sites: DataFrame, n_slots: int) -> DataFrame:
-    """Sums over all rows at risk, for every site and slot; ``sites`` has a column site."""
+    @classmethod
+    def found(cls, rows: DataFrame) -> Bounds:
+        """By one pass over rows with _w, _x0, ..."""
+        p = sum(c.startswith("_x") for c in rows.columns)
+        most = rows.agg(*[F.max(F.abs(c)) for c in ["_w", *[f"_x{i}" for i in range(p)]]], F.count(F.lit(1))).first()
+        return cls(most[0] or 1.0, tuple(x or 1.0 for x in most[1:-1]), most[-1])
+
+
+def slot_sums(rows: DataFrame, xs: list[Column], weight: Column, groups: list[Column] = [], bounds: Bounds | None = None) -> DataFrame:  # noqa: B006
+    """Per (site, slot): n, ng_k for each group, and the weighted sums of ``names``. Without ``bounds`` a pass looks for them."""
+    rows = rows.filter("slot >= 0").withColumns({"_w": weight, **{f"_x{i}": x for i, x in enumerate(xs)}})
+    bounds = bounds or Bounds.found(rows)
+    w, x = F.col("_w"), [F.col(f"_x{i}") for i in range(len(xs))]
+    products = [w, *[w * a for a in x], *[w * x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]]
+    named = [(c, e, bounds.of(c)) for c, e in zip(names(len(xs)), products)]
+    out = None
+    for lo in range(0, len(named), BLOCK_SUMS):
+        sums, joined = exact_sums(named[lo : lo + BLOCK_SUMS], bounds.n)
+        if out is None:
+            counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(g).alias(f"ng_{k}") for k, g in enumerate(groups)]]
+            out = rows.groupBy("site", "slot").agg(*counts, *sums).select("site", "slot", "n", *[f"ng_{k}" for k in range(len(groups))], *joined)
+        else:
+            out = out.join(rows.groupBy("site", "slot").agg(*sums).select("site", "slot", *joined), ["site", "slot"])
+    return out
+
+
+def at_risk(sums: DataFrame, sites: DataFrame, n_slots: int | None = None) -> DataFrame:
+    """Sums over all rows at risk, for every site and slot; ``sites`` has a column site, and n_slots if that differs by site.
+
+    Accumulated in the order of slots, so alike in every run.
+    """
     values = [c for c in sums.columns if c not in ("site", "slot")]
-    every = sites.select("site", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
+    last = F.col("n_slots") - 1 if n_slots is None else F.lit(n_slots - 1)
+    every = sites.select("site", F.explode(F.sequence(F.lit(0), last)).alias("slot"))
     back = "over (partition by site order by slot desc rows between unbounded preceding and current row)"
     total = [f"sum(coalesce(`{c}`, 0)) {back} as `{c}`" for c in values]
     return every.join(sums, ["site", "slot"], "left").selectExpr("site", "slot", *total)
@@ -98,16 +138,24 @@ def released(risk: DataFrame, effective: DataFrame, settings: DataFrame, terms:
     held = held.join(F.broadcast(settings.select("site", "figures")), "site")
     own = F.transform(F.array(*names(terms)), lambda x: round_figures(x, F.col("figures")))
     sent = F.transform(own, lambda x: round_figures(x, WIRE_FIGURES))
-    return held.select("site", "slot", sent.alias("sums")).select("site", "slot", *[F.get("sums", i).alias(c) for i, c in enumerate(names(terms))])
+    kept = [c for c in risk.columns if c not in ("site", "slot", "n", *names(terms)) and not c.startswith("ng_")]
+    return held.select("site", "slot", *kept, sent.alias("sums")).select("site", "slot", *kept, *[F.get("sums", i).alias(c) for i, c in enumerate(names(terms))])
+
 
+def pooled(release: DataFrame, terms: int, by: list[str] = [], bounds: Bounds | None = None, scale: Column | None = None, sites: int = 1) -> DataFrame:  # noqa: B006
+    """Sums of all sites per (by, slot), and odd: a site whose released sizes no risk sets can have (null: none).
 
-def pooled(release: DataFrame, terms: int) -> DataFrame:
-    """Sums of all sites per slot, and odd: a site whose released sizes no risk sets can have (null: none)."""
+    bounds, scale: of what ``release`` sums, the latter a power of two; with them the sums over ``sites`` are exact.
+    """
     order = Window.partitionBy("site").orderBy("slot")
     s0, before = F.col("s0"), F.lag("s0").over(order)
     odd = s0.isNull() | F.isnan(s0) | (F.abs(s0) == float("inf")) | (s0 < 0) | F.coalesce(s0 > before, F.lit(False)) | ((F.col("slot") == 0) & (s0 <= 0))
     checked = release.withColumn("odd", F.when(odd, F.col("site")))
-    return checked.groupBy("slot").agg(*[F.sum(c).alias(c) for c in names(terms)], F.min("odd").alias("odd"))
+    if bounds is None:
+        return checked.groupBy(*by, "slot").agg(*[F.sum(c).alias(c) for c in names(terms)], F.min("odd").alias("odd"))
+    # a released sum has as many addends as its site has rows, and may be rounded up
+    sums, joined = exact_sums([(c, F.col(c), 2.0 * bounds.n * bounds.of(c)) for c in names(terms)], sites, scale)
+    return checked.groupBy(*by, "slot").agg(*sums, F.min("odd").alias("odd")).select(*by, "slot", *joined, "odd")
 
 
 def held_event_share(release: DataFrame, counts: DataFrame, settings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions.exact import exact_sums
 
 KINDS = {"int": pa.int32(), "float": pa.float64(), "str": pa.string()}
 
@@ -44,10 +45,10 @@ def kth_largest(rows: DataFrame, k: int, value: str = "time", by: str = "site")
     return top.filter(F.col("place") == k).select(by, F.col(value).alias("cut"))
 
 
-def tail_cuts(rows: DataFrame, settings: DataFrame) -> DataFrame:
-    """site, cut: the k-th largest time of every site whose k is over 1; null where a site has fewer rows."""
+def tail_cuts(rows: DataFrame, settings: DataFrame, most: int | None = None) -> DataFrame:
+    """site, cut: the k-th largest time of every site whose k is over 1; null where a site has fewer rows. most: the largest k, if known."""
     k = settings.filter("risk_change > 1").select("site", "risk_change")
-    most = k.agg(F.max("risk_change")).first()[0]
+    most = most or k.agg(F.max("risk_change")).first()[0]
     if most is None:
         return k.select("site", F.lit(None).cast("double").alias("cut"))
     order = Window.partitionBy("site").orderBy(F.desc("time"))
@@ -63,20 +64,28 @@ def clamp_tail(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return cut.withColumn("event", F.when(late, 0).otherwise(F.col("event"))).withColumn("time", F.when(late, F.col("cut")).otherwise(F.col("time"))).drop("cut")
 
 
-def event_counts(rows: DataFrame, n_terms: int = 0) -> DataFrame:
-    """site, time, freq: events at each time; and sums (z0, ...) and sums of squares (q0, ...) of the terms over them."""
-    sums = [a for i in range(n_terms) for a in (F.sum(f"x{i}").alias(f"z{i}"), F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}"))]
+def event_counts(rows: DataFrame, n_terms: int = 0, widest: list[float] | None = None, n: int = 0) -> DataFrame:
+    """site, time, freq: events at each time; and sums (z0, ...) and sums of squares (q0, ...) of the terms over them.
+
+    widest, n: no term is over the former in absolute value, and there are n rows at most; the sums then are
+    exact, in two parts each (the second as z0__low, ...), to be added when all is summed.
+    """
+    x = [F.col(f"x{i}") for i in range(n_terms)]
+    if widest is None:
+        sums = [a for i in range(n_terms) for a in (F.sum(x[i]).alias(f"z{i}"), F.sum(x[i] * x[i]).alias(f"q{i}"))]
+    else:
+        sums, _ = exact_sums([a for i in range(n_terms) for a in ((f"z{i}", x[i], widest[i]), (f"q{i}", x[i] * x[i], widest[i] ** 2))], n)
     return rows.filter("event = 1").groupBy("site", "time").agg(F.count(F.lit(1)).alias("freq"), *sums)
 
 
-def merge_small(counts: DataFrame, least: Column | int) -> DataFrame:
+def merge_small(counts: DataFrame, least: Column | int, most: int | None = None) -> DataFrame:
     """site, time, freq, merged: the time under which each event time is released.
 
     Times are gathered in ascending order until their events reach ``least``;
     the group is released at its largest time. A rest that stays short joins
     the group before it, or is released alone if there is none. A fold over one
     sorted array per site: its length is that of the site's event times, which
-    a caller bounds through the grid's cap.
+    a caller bounds through the grid's cap: sites of more than ``most`` groups' worth of times have no row.
     """
     least = least if isinstance(least, Column) else F.lit(least)
     counts = counts.withColumn("least", least)
@@ -92,8 +101,9 @@ def merge_small(counts: DataFrame, least: Column | int) -> DataFrame:
             F.concat(state["groups"], F.array(state["group"])).alias("groups"),
         )
 
-    folded = packed.withColumn("fold", F.aggregate("all", start, step))
-    each = folded.select("site", "fold.held", "fold.group", F.explode(F.arrays_zip("all", F.col("fold.groups").alias("g"))).alias("x"))
+    within = F.lit(True) if most is None else F.size("all") <= most * F.col("least")
+    folded = packed.withColumn("fold", F.when(within, F.aggregate("all", start, step)))
+    each = folded.select("site", "fold.held", "fold.group", F.explode(F.when(within, F.arrays_zip("all", F.col("fold.groups").alias("g")))).alias("x"))
     each = each.select("site", F.col("x.all.time").alias("time"), F.col("x.all.freq").alias("freq"), F.col("x.g").alias("g"), "held", "group")
     short = (F.col("g") == F.col("group")) & (F.col("held") > 0) & (F.col("group") > 0)
     each = each.withColumn("into", F.when(short, F.col("g") - 1).otherwise(F.col("g")))
@@ -114,6 +124,6 @@ def move_events(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return moved.withColumn("time", F.coalesce("merged", "time")).drop("of_site", "of_time", "merged")
 
 
-def pooled_grid(counts: DataFrame) -> DataFrame:
-    """time, freq: events of all sites at each released time."""
-    return counts.groupBy("time").agg(F.sum("freq").alias("freq"))
+def pooled_grid(counts: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """time, freq: events of all sites (of one ``by``) at each released time."""
+    return counts.groupBy(*by, "time").agg(F.sum("freq").alias("freq"))

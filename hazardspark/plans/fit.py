@@ -5,12 +5,17 @@ sets, held back and rounded site by site, then pooled. Only the pooled sums, one
 row per point of the grid, reach the driver. Coefficients go out as a row per
 site, so every evaluation has the same plan. Everything that does not depend on
 them (slots, held slots) is set once per fit.
+
+Several fits run as one: each has sites of its own, and a round evaluates all
+fits that are not done in a single query (``cox_fits``). A single fit is a batch
+of one. Before the first round there are three queries: sizes (which fills the
+cache of rows), event sums with the grid, and the held shares.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..config import HELD_WARNING, MAX_ROUNDS, STABLE_STEP_TOLERANCE, STEP_TOLERANCE, Limits, Settings, load_limits, load_settings
 from ..errors import AlgorithmError, UserInputError
+from ..functions.exact import above, total
 from ..functions.keys import Key
 from ..functions.rounding import round_figures_np
 from ..functions.stats import chi_square_tail, two_sided_p
@@ -31,9 +37,11 @@ from .prepare import Prepared, prepare
 
 
 def event_sums(counts: DataFrame, n_terms: int) -> DataFrame:
-    """Per site: events, and sums and sums of squares of the terms over event rows. counts: ``times.event_counts`` with terms."""
-    sums = [F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "zq" for i in range(n_terms)]
-    return counts.groupBy("site").agg(F.sum("freq").alias("events"), *sums)
+    """Per site: events, sums and sums of squares of the terms over event rows, and event times. counts: ``times.event_counts`` with terms."""
+    names = [f"{c}{i}" for c in "zq" for i in range(n_terms)]
+    every = [c for c in counts.columns if c.split("__")[0] in names]
+    summed = counts.groupBy("site").agg(F.sum("freq").alias("events"), *[F.sum(c).alias(c) for c in every], F.count(F.lit(1)).alias("times"))
+    return summed.select("site", "events", *[total(c, every) for c in names], "times")
 
 
 def standardisation(z: np.ndarray, squares: np.ndarray, events: float) -> tuple[np.ndarray, np.ndarray]:
@@ -97,33 +105,92 @@ def model_results(beta, hessian, scale, terms: list[str], loglik: float) -> dict
 
 
 @dataclass
-class Evaluator:
-    """Pooled risk-set sums at given coefficients, from rows that carry their slot."""
+class Design:
+    """What is set once per fit: its sites, grid, centres and scales."""
 
-    rows: DataFrame
-    grid: list[float]
-    effective: DataFrame
-    knobs: DataFrame
     sites: list[int]
+    grid: list[float]
     centre: np.ndarray
     scale: np.ndarray
 
-    def release(self, beta) -> DataFrame:
-        """Per (site, slot) what the site releases: held sums, rounded."""
-        p = len(self.centre)
-        sent = {"site": pa.array(self.sites, pa.int64())} | {f"b{i}": pa.array([float(b)] * len(self.sites)) for i, b in enumerate(beta)}
-        rows = self.rows.join(F.broadcast(self.rows.sparkSession.createDataFrame(pa.table(sent))), "site")
-        xs = [(F.col(f"x{i}") - float(self.centre[i])) / float(self.scale[i]) for i in range(p)]
+
+ONE_TASK_BYTES = 64 << 20
+
+
+@dataclass
+class Evaluator:
+    """Pooled risk-set sums at given coefficients, from rows that carry their slot.
+
+    effective and knobs: by site, as ``risksets`` has them; knobs with n_slots.
+    terms: what no standardised term is over, in absolute value; reach: what the root of the sum of their squares is not
+    over, by fit; n: rows of a site, at most.
+    """
+
+    rows: DataFrame
+    effective: DataFrame
+    knobs: DataFrame
+    designs: dict[int, Design]
+    terms: tuple[float, ...]
+    reach: dict[int, float]
+    n: int
+
+    @property
+    def bounds(self) -> risksets.Bounds:
+        """Of what is summed: weights are scaled to 1 at most."""
+        return risksets.Bounds(1.0, self.terms, self.n)
+
+    def most(self, fit: int, beta: np.ndarray) -> float:
+        """A power of two that no weight of a fit is over."""
+        score = min(float(np.linalg.norm(beta)) * self.reach[fit], float(np.abs(beta) @ np.array(self.terms)))
+        return above(math.exp(min(score, 600.0)) * 1.001)
+
+    def sent(self, betas: dict[int, np.ndarray]) -> DataFrame:
+        """A row per site of the given fits: fit, b, c, d per term, and the power of two that no weight there is over."""
+        p = len(self.terms)
+        rows: dict = {"site": [], "fit": [], "most": []} | {f"{c}{i}": [] for c in "bcd" for i in range(p)}
+        for fit, beta in betas.items():
+            own = self.designs[fit]
+            most = self.most(fit, beta)
+            for site in own.sites:
+                rows["site"].append(site)
+                rows["fit"].append(fit)
+                rows["most"].append(most)
+                for i in range(p):
+                    for c, x in zip("bcd", (beta[i], own.centre[i], own.scale[i])):
+                        rows[f"{c}{i}"].append(float(x))
+        kinds = {"site": pa.int64(), "fit": pa.int64()}
+        return self.rows.sparkSession.createDataFrame(pa.table({c: pa.array(v, kinds.get(c, pa.float64())) for c, v in rows.items()}))
+
+    def release(self, betas: dict[int, np.ndarray]) -> DataFrame:
+        """Per (site, slot) what the site releases: held sums, rounded; with fit and most."""
+        p = len(self.terms)
+        sent = self.sent(betas)
+        rows = self.rows.join(F.broadcast(sent), "site")  # a row per site
+        xs = [(F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}") for i in range(p)]
         score = F.lit(0.0)
         for i, x in enumerate(xs):
             score = score + F.col(f"b{i}") * x
-        risk = risksets.at_risk(risksets.slot_sums(rows, xs, F.exp(score)), self.knobs, len(self.grid))
-        return risksets.released(risk, self.effective, self.knobs, p)
-
-    def __call__(self, beta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        p = len(self.centre)
-        got = risksets.pooled(self.release(beta), p).toPandas().sort_values("slot")
-        return pooled_arrays(got[risksets.names(p)].to_numpy(float), got["slot"].to_numpy(), got["odd"].dropna().tolist(), len(self.grid), p)
+        sums = risksets.slot_sums(rows, xs, F.exp(score) / F.col("most"), [], self.bounds)
+        sites = sum(len(self.designs[f].sites) for f in betas)
+        longest = max(len(self.designs[f].grid) for f in betas)
+        # what is left is small: one task then accumulates, holds, rounds and pools without moving it again
+        sums = sums.repartition(1) if 8 * sites * longest * len(risksets.names(p)) <= ONE_TASK_BYTES else sums.repartition("site")
+        knobs = self.knobs.join(F.broadcast(sent.select("site", "fit", "most")), "site")
+        risk = risksets.at_risk(sums, knobs.select("site", "n_slots"))
+        risk = risk.join(F.broadcast(sent.select("site", "fit", "most")), "site")
+        risk = risk.select("site", "fit", "most", "slot", *[(F.col(c) * F.col("most")).alias(c) for c in risksets.names(p)])
+        return risksets.released(risk, self.effective, knobs.drop("fit", "most"), p)
+
+    def __call__(self, betas: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        p = len(self.terms)
+        sites = max(len(self.designs[f].sites) for f in betas)
+        release = self.release(betas)
+        got = risksets.pooled(release, p, ["fit", "most"], self.bounds, F.col("most"), sites).toPandas().sort_values(["fit", "slot"])
+        out = {}
+        for fit in betas:
+            own = got[got["fit"] == fit]
+            out[fit] = pooled_arrays(own[risksets.names(p)].to_numpy(float), own["slot"].to_numpy(), own["odd"].dropna().tolist(), len(self.designs[fit].grid), p)
+        return out
 
 
 def pooled_arrays(sums: np.ndarray, slots: np.ndarray, odd: list, points: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,9 +243,10 @@ class Path:
     visited: list = field(default_factory=list)
 
 
-def optimise(evaluate: Callable, freq, z, tolerance: float, rounds: int = MAX_ROUNDS) -> Path:
+def newton(freq, z, tolerance: float, rounds: int = MAX_ROUNDS) -> Generator[np.ndarray, tuple, Path]:
     """Newton-Raphson with step halving towards the last accepted point; a halved try uses up a round.
 
+    Yields coefficients, takes the pooled sums there, and ends with a ``Path``.
     A log-likelihood that falls by more than ``tolerance`` is a try to take
     back. The point converges if the next step is within STEP_TOLERANCE, or
     within STABLE_STEP_TOLERANCE after two evaluations without progress; that
@@ -190,7 +258,7 @@ def optimise(evaluate: Callable, freq, z, tolerance: float, rounds: int = MAX_RO
     converged, reached, cause, n = False, STEP_TOLERANCE, None, 0
     visited = []
     for n in range(1, rounds + 1):
-        s0, s1, s2 = evaluate(beta)
+        s0, s1, s2 = yield beta
         here = log_likelihood(beta, z, freq, s0)
         visited.append((beta.copy(), here))
         if n == 1:
@@ -225,6 +293,25 @@ def optimise(evaluate: Callable, freq, z, tolerance: float, rounds: int = MAX_RO
     return Path(*best, null, n, converged, reached, cause, visited)
 
 
+def optimise_all(evaluate: Callable, runs: dict[int, Generator]) -> dict[int, Path]:
+    """Drives all runs together: one evaluation a round of those that are not done."""
+    asked, done = {fit: next(run) for fit, run in runs.items()}, {}
+    while asked:
+        got, again = evaluate(asked), {}
+        for fit, sums in got.items():
+            try:
+                again[fit] = runs[fit].send(sums)
+            except StopIteration as end:
+                done[fit] = end.value
+        asked = again
+    return done
+
+
+def optimise(evaluate: Callable, freq, z, tolerance: float, rounds: int = MAX_ROUNDS) -> Path:
+    """One run by itself; evaluate: from coefficients to pooled sums."""
+    return optimise_all(lambda asked: {0: evaluate(asked[0])}, {0: newton(freq, z, tolerance, rounds)})[0]
+
+
 def guard_summary(settings: dict[int, Settings]) -> tuple[dict, str | None]:
     """Which guards were on at any site, and the warning that says so."""
     all_of = settings.values()
@@ -273,48 +360,136 @@ def cox_fit(
         raise UserInputError(f"the model has more than {limits.terms} terms")
     settings = settings if settings is not None else load_settings(spark)
     with prepare(df, request, settings, row_hook, key, limits.grid) as ready:
-        return _fitted(ready, request, limits, rounds)
+        return _fitted(ready, request, limits, rounds, dict.fromkeys(ready.sites, 0))[0]
+
 
+FIT_SHIFT = 32
+
+
+def cox_fits(
+    df: DataFrame,
+    by: str,
+    time: str,
+    outcome: object,
+    covariates: object,
+    settings: dict[int, Settings],
+    limits: Limits | None = None,
+    key: Key | None = None,
+    rounds: int = MAX_ROUNDS,
+) -> dict[int, dict]:
+    """Many fits of one request in one go: column ``by`` (an integer from 0) says to which fit a row belongs, ``settings`` the guards of each.
 
-def _fitted(ready: Prepared, request: FitRequest, limits: Limits, rounds: int) -> dict:
+    Returns the result of each fit, as ``cox_fit`` would give it for its rows alone. A round evaluates all fits in one
+    query. A site, in a fit, is of its own; site ids must be from 0 and below 2^32. If one fit is refused, all are.
+    """
+    spark = df.sparkSession
+    request = FitRequest.of(time, outcome, covariates)
+    limits = limits or load_limits(spark)
+    if len(request.covariates.terms) > limits.terms:
+        raise UserInputError(f"the model has more than {limits.terms} terms")
+    each = F.shiftleft(F.col(f"`{by}`").cast("long"), FIT_SHIFT) + F.col("site").cast("long")
+    within = (F.col("site") >= 0) & (F.col("site") < 1 << FIT_SHIFT) & F.col(f"`{by}`").isin(list(settings))
+    df = df.filter(within).withColumn("site", each)
+    with prepare(df, request, lambda site: settings[site >> FIT_SHIFT], None, key, limits.grid) as ready:
+        return _fitted(ready, request, limits, rounds, {s: s >> FIT_SHIFT for s in ready.sites})
+
+
+def _sums_and_grid(ready: Prepared, fits: DataFrame, p: int, most: int) -> tuple[dict, dict[int, list]]:
+    """In one query: event sums by site, and the pooled grid of each fit as (time, freq); no more than ``most`` points."""
+    sums = event_sums(ready.counts, p)
+    grid = pooled_grid(ready.released_counts.join(F.broadcast(fits), "site"), ["fit"]).orderBy("fit", "time").limit(most)
+    rows = sums.unionByName(grid, allowMissingColumns=True).collect()
+    grids: dict[int, list] = {}
+    for r in rows:
+        if r.site is None:
+            grids.setdefault(r.fit, []).append((r.time, r.freq))
+    return {r.site: r for r in rows if r.site is not None}, {f: sorted(g) for f, g in grids.items()}
+
+
+def _widths(rows: DataFrame, designs: dict[int, Design], p: int) -> DataFrame:
+    """fit, m0.. and square: powers of two that no standardised term, and no sum of their squares, is over; nothing finer is told."""
+    sent: dict = {"site": [], "fit": []} | {f"{c}{i}": [] for c in "cd" for i in range(p)}
+    for fit, own in designs.items():
+        for site in own.sites:
+            for name, x in (("site", site), ("fit", fit), *((f"{c}{i}", float(v[i])) for c, v in (("c", own.centre), ("d", own.scale)) for i in range(p))):
+                sent[name].append(x)
+    kinds = {"site": pa.int64(), "fit": pa.int64()}
+    each = rows.join(F.broadcast(rows.sparkSession.createDataFrame(pa.table({c: pa.array(v, kinds.get(c, pa.float64())) for c, v in sent.items()}))), "site")
+    x = [F.abs((F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}")) for i in range(p)]
+    square = sum((a * a for a in x), F.lit(0.0))
+
+    def power(most):
+        return F.when(most > 0, F.pow(F.lit(2.0), F.ceil(F.log2(most)) + 1)).otherwise(1.0)
+
+    return each.groupBy("fit").agg(*[power(F.max(a)).alias(f"m{i}") for i, a in enumerate(x)], power(F.max(square)).alias("square"))
+
+
+def _fitted(ready: Prepared, request: FitRequest, limits: Limits, rounds: int, fit_of: dict[int, int]) -> dict[int, dict]:
     spark, terms = ready.rows.sparkSession, request.covariates.terms
-    p = len(terms)
-    sums = {r.site: r for r in event_sums(ready.counts, p).collect()}
+    p, fits = len(terms), sorted(set(fit_of.values()))
+    sites = {f: [s for s in ready.sites if fit_of[s] == f] for f in fits}
+    site_fits = spark.createDataFrame(pa.table({"site": pa.array(ready.sites, pa.int64()), "fit": pa.array([fit_of[s] for s in ready.sites], pa.int64())}))
+    sums, grids = _sums_and_grid(ready, site_fits, p, (limits.grid + 1) * len(fits))
     require_all(ready.sites, sums)
     check_answers(sums, p)
-    z, squares = (np.array([sum(r[f"{c}{i}"] for r in sums.values()) for i in range(p)], dtype=float) for c in "zq")
-    pooled = pooled_grid(ready.released_counts).orderBy("time").limit(limits.grid + 1).collect()
-    if len(pooled) > limits.grid:
-        raise UserInputError(f"the event-time grid is over the cap of {limits.grid} points; use wider time bins")
-    grid, freq = [r["time"] for r in pooled], np.array([r["freq"] for r in pooled], dtype=float)
-    events = float(freq.sum())
-    if not events:
-        raise UserInputError("there are no events to fit")
-    centre, scale = standardisation(z, squares, events)
-    check_sent(grid, centre, scale, ready.settings)
-    summary, warning = guard_summary(ready.settings)
-    tolerance = jitter({s: r.events for s, r in sums.items()}, ready.settings)
-    rows = risksets.assign_slots(ready.moved, grid).persist()
+    over = f"the event-time grid is over the cap of {limits.grid} points; use wider time bins"
+    if any(r.times > limits.grid * ready.settings[s].time_events for s, r in sums.items()):
+        raise UserInputError(over)
+    designs, freqs, zs, tolerances = {}, {}, {}, {}
+    for f in fits:
+        if len(grids.get(f, [])) > limits.grid:
+            raise UserInputError(over)
+        grid, freq = [t for t, _ in grids.get(f, [])], np.array([n for _, n in grids.get(f, [])], dtype=float)
+        events = float(freq.sum())
+        if not events:
+            raise UserInputError("there are no events to fit")
+        # pooled in the order of sites
+        z, squares = (np.array([math.fsum(sums[s][f"{c}{i}"] for s in sites[f]) for i in range(p)], dtype=float) for c in "zq")
+        centre, scale = standardisation(z, squares, events)
+        own = {s: ready.settings[s] for s in sites[f]}
+        check_sent(grid, centre, scale, own)
+        designs[f], freqs[f], zs[f] = Design(sites[f], grid, centre, scale), freq, (z - centre * events) / scale
+        tolerances[f] = jitter({s: sums[s].events for s in own}, own)
+    grid_of = pa.table({"site": pa.array(ready.sites, pa.int64()), "grid": pa.array([designs[fit_of[s]].grid for s in ready.sites], pa.list_(pa.float64()))})
+    points = spark.createDataFrame(grid_of)  # sites x grid cap at most
+    knobs = ready.knobs.join(F.broadcast(points.select("site", F.size("grid").alias("n_slots"))), "site")
+    longest = max(len(d.grid) for d in designs.values())
+
+    def slotted(x: DataFrame) -> DataFrame:
+        return x.join(F.broadcast(points), "site").withColumn("slot", risksets.as_of(F.col("time"), F.col("grid"), longest)).drop("grid")
+
+    rows = slotted(ready.moved).persist()
     groups = [F.col(f"k{i}") == 1 for i in range(ready.n_groups)]
-    risk = risksets.at_risk(risksets.slot_sums(rows, [], F.lit(1.0), groups), ready.knobs, len(grid)).persist()
-    effective = risksets.effective_slots(risk, ready.knobs, ready.n_groups).persist()
+    counted = risksets.slot_sums(rows, [], F.lit(1.0), groups, risksets.Bounds(1.0, (), ready.n_rows))
+    risk = risksets.at_risk(counted, knobs.select("site", "n_slots")).persist()
+    effective = risksets.effective_slots(risk, knobs, ready.n_groups).persist()
     try:
-        slots = spark.createDataFrame(pa.table({"time": grid, "slot": pa.array(range(len(grid)), pa.int32())}))
-        counts = ready.released_counts.join(F.broadcast(slots), "time")
-        shares = risksets.held_event_share(risksets.released(risk, effective, ready.knobs, 0), counts, ready.knobs).collect()
-        require_all(ready.sites, {r.site: r for r in shares})
-        held = max(r["share"] for r in shares)
-        summary["max_held_event_fraction"] = held
-        held_warning = None
-        if limits.held_share is not None and held > limits.held_share:
-            raise UserInputError(f"the held-event fraction {held:.3f} exceeds the configured cap {limits.held_share}: use larger sites or weaker risk-set guards")
-        if held > HELD_WARNING:
-            held_warning = f"{held:.3f} of a site's events were scored against a held risk set, above {HELD_WARNING}; the estimates may be dominated by them"
-        evaluate = Evaluator(rows, grid, effective, ready.knobs, ready.sites, centre, scale)
-        path = optimise(evaluate, freq, (z - centre * events) / scale, tolerance, rounds)
+        counts = slotted(ready.released_counts)
+        told = risksets.held_event_share(risksets.released(risk, effective, knobs, 0), counts, knobs).unionByName(_widths(rows, designs, p), allowMissingColumns=True).collect()
+        shares = {r.site: r["share"] for r in told if r.fit is None}
+        require_all(ready.sites, shares)
+        held = {f: max(shares[s] for s in sites[f]) for f in fits}
+        for f in fits:
+            if limits.held_share is not None and held[f] > limits.held_share:
+                raise UserInputError(f"the held-event fraction {held[f]:.3f} exceeds the configured cap {limits.held_share}: use larger sites or weaker risk-set guards")
+        wide = {r.fit: r for r in told if r.fit is not None}
+        terms_most = tuple(max(r[f"m{i}"] for r in wide.values()) for i in range(p))
+        evaluate = Evaluator(rows, effective, knobs, designs, terms_most, {f: math.sqrt(r.square) for f, r in wide.items()}, ready.n_rows)
+        paths = optimise_all(evaluate, {f: newton(freqs[f], zs[f], tolerances[f], rounds) for f in fits})
     finally:
         for x in (rows, risk, effective):
             x.unpersist()
+    own = {f: {s: ready.settings[s] for s in sites[f]} for f in fits}
+    return {f: _result(request, limits, terms, designs[f], freqs[f], paths[f], own[f], held[f]) for f in fits}
+
+
+def _result(request: FitRequest, limits: Limits, terms: list[str], design: Design, freq: np.ndarray, path: Path, settings: dict[int, Settings], held: float) -> dict:
+    p, centre, scale, grid = len(terms), design.centre, design.scale, design.grid
+    summary, warning = guard_summary(settings)
+    summary["max_held_event_fraction"] = held
+    held_warning = None
+    if held > HELD_WARNING:
+        held_warning = f"{held:.3f} of a site's events were scored against a held risk set, above {HELD_WARNING}; the estimates may be dominated by them"
     out = model_results(path.beta, path.hessian, scale, terms, path.loglik)
     cause = f"Newton-Raphson stopped: {path.cause}" if path.cause else None
     late = None if path.converged else f"Newton-Raphson did not converge in {path.rounds} rounds; errors and tests may be unreliable"
@@ -333,7 +508,7 @@ def _fitted(ready: Prepared, request: FitRequest, limits: Limits, rounds: int) -
         "log_likelihood_null": path.null,
         "lr_statistic": ratio,
         "lr_p_value": chi_square_tail(ratio, p),
-        "n_events": int(events),
+        "n_events": int(freq.sum()),
         "covariance": out["covariance"],
         "algorithm_version": VERSION,
         "variables_to_stratify": request.selection,

@@ -66,7 +66,8 @@ def _outcome(df: DataFrame, name: str) -> DataFrame:
 class Prepared:
     """rows: site, time, event, x0..; cut but not moved. groups: conditions of categories, as 0/1 columns k0.. .
 
-    merged: the time under which each event time of a site is released.
+    merged: the time under which each event time of a site is released. widest: a power of two that no value
+    of each term is over. n_rows: of the largest site.
     """
 
     rows: DataFrame
@@ -77,6 +78,8 @@ class Prepared:
     knobs: DataFrame
     counts: DataFrame
     merged: DataFrame
+    widest: list[float]
+    n_rows: int
 
     @property
     def moved(self) -> DataFrame:
@@ -103,13 +106,15 @@ def _narrow(df: DataFrame, request: FitRequest, *more: str) -> DataFrame:
 def prepare(
     df: DataFrame,
     request: FitRequest,
-    settings: Settings | dict[int, Settings],
+    settings: Settings | dict[int, Settings] | Callable[[int], Settings],
     row_hook: Callable[[DataFrame], DataFrame] | None = None,
     key: Key | None = None,
     grid_cap: int = 1000,
 ) -> Iterator[Prepared]:
     """All checks and time guards of a fit; what is cached is given up in the end, whatever happens.
 
+    One query counts, and fills the cache of rows while it does; the rest is left to the first query that needs it.
+
     row_hook may only take rows away; it runs before anything is counted, and
     after the columns are checked, so it cannot hide what is wrong with them.
     """
@@ -125,7 +130,8 @@ def prepare(
         guards.check_schema(ready, request.time, request.outcome)
         n_groups = len(group_masks(request.covariates))
         masks = [F.col(f"k{i}") == 1 for i in range(n_groups)]
-        counted = lambda x: guards.sizes(x, "time", "event", request.covariates, F.col("_keep"), masks).collect()
+        n_terms = len(request.covariates.terms)
+        counted = lambda x: guards.sizes(x, "time", "event", request.covariates, F.col("_keep"), masks, n_terms).collect()
         narrow = keep(_narrow(ready, request, "_keep"))
         found = counted(narrow)
         guards.check_values(found, request.time, request.outcome)
@@ -133,30 +139,30 @@ def prepare(
         if row_hook is not None:
             narrow = keep(_narrow(row_hook(ready.filter("_keep").drop("_keep")), request).withColumn("_keep", F.lit(True)))
             found = counted(narrow)
+        if callable(settings):
+            settings = {s: settings(s) for s in sites}
         by = settings if isinstance(settings, dict) else dict.fromkeys(sites, settings)
         absent = [s for s in sites if s not in by]
         if absent:
             raise AlgorithmError(f"no settings for site {absent[0]}")
         by = {s: by[s] for s in sites}
         guards.check_sizes(found, sites, request.covariates, by)
+        own = {r.site: r for r in found if r.site in by}
         knobs = settings_frame(df.sparkSession, by)
         rows = narrow.filter("_keep").drop("_keep").withColumn("event", F.col("event").cast("int"))
         if any(s.bin_width for s in by.values()):
             width = rows.join(F.broadcast(knobs.select("site", "bin_width")), "site")
             rows = width.withColumn("time", bin_times(F.col("time"), F.col("bin_width"))).drop("bin_width")
-        if any(s.risk_change > 1 for s in by.values()):
-            cuts = keep(tail_cuts(rows, knobs))
-            if not cuts.filter("cut is null").isEmpty():
+        most = max(s.risk_change for s in by.values())
+        if most > 1:
+            if any(own[s].rows < k.risk_change for s, k in by.items() if k.risk_change > 1):
                 raise PrivacyViolation("a site has fewer rows than the least risk-set change")
-            rows = clamp_tail(rows, cuts)
-        n_terms = len(request.covariates.terms)
-        counts = keep(event_counts(rows, n_terms))
-        least = {s: k.time_events for s, k in by.items()}
-        longest = counts.groupBy("site").count().agg(F.max("count")).first()[0] or 0
-        if longest > grid_cap * max(least.values()):
-            raise UserInputError(f"the event-time grid is over the cap of {grid_cap} points; use wider time bins")
+            rows = clamp_tail(rows, keep(tail_cuts(rows, knobs, most)))
+        widest, n_rows = [max(r[f"w{i}"] for r in own.values()) for i in range(n_terms)], max(r.rows for r in own.values())
+        counts = keep(event_counts(rows, n_terms, widest, n_rows))
         many = counts.select("site", "time", "freq").join(F.broadcast(knobs.select("site", "time_events")), "site")
-        yield Prepared(rows, n_terms, n_groups, sites, by, knobs, counts, keep(merge_small(many, F.col("time_events"))))
+        merged = keep(merge_small(many, F.col("time_events"), grid_cap))
+        yield Prepared(rows, n_terms, n_groups, sites, by, knobs, counts, merged, widest, n_rows)
     finally:
         for x in held:
             x.unpersist()

@@ -32,5 +32,5 @@ def cox_fit_triples(
     if ontology is not None:
         check_against_ontology(request, ontology)
     flat = flatten_patients(triples, request.columns, ("site",))
-    rows = collect_bounded(lambda: snapshot(flat, snapshot_path), timeout, triples.sparkSession)
+    rows = collect_bounded(lambda: snapshot(flat, snapshot_path, request.columns), timeout, triples.sparkSession)
     return cox_fit(rows, time, outcome, covariates, sites, profiles, selection, **how)

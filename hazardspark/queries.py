@@ -19,7 +19,8 @@ from .functions.rounding import round_figures
 from .operators import guards, risksets, times
 from .errors import AlgorithmError
 from .operators.encode import complete, drop_incomplete, encode, recode_outcome, select_rows
-from .plans.cohorts import LAGS_SQL, SHIPMENTS_SQL, lags, shipments
+from .plans.bias import bias_study
+from .plans.cohorts import LAGS_SQL, REPETITIONS, SHIPMENTS_SQL, SIMULATED_SQL, TRUTH, lags, shipments, simulated
 from .oracles import fit_sql, model_sql, sig, stage_one
 from .plans.curves import survival_curves
 from .plans.fit import cox_fit, derivatives, event_sums, log_likelihood, model_frame, require_all, standardisation
@@ -579,6 +580,35 @@ def guarded_stage_one(spark, sf_dir):
     return shared.select("site", "time", "freq", "events", fig(F.col("z0")).alias("z0"), fig(F.col("q0")).alias("q0"))
 
 
+BIAS_KS, BIAS_WIDTH = (1, 5, 10), 5.0
+
+
+def _bias_sql() -> str:
+    """Every fit of the study, one by one, and the metrics over them."""
+    fits = []
+    for r in range(REPETITIONS):
+        for k in BIAS_KS:
+            for width in (None, BIAS_WIDTH):
+                one = fit_sql(f"WITH RECURSIVE base AS (SELECT site, time, event, x1 AS x0, x2 AS x1 FROM simulated WHERE repetition = {r})", 2, 0, Settings(risk_change=k, bin_width=width))
+                fits.append(f"SELECT {r} AS repetition, {k} AS k, {'TRUE' if width else 'FALSE'} AS binned, f.* FROM ({one} SELECT b_0 / d0 AS c0, b_1 / d1 AS c1, sqrt(-e_0_2) / d0 AS s0, sqrt(-e_1_3) / d1 AS s1 FROM last) f")
+    each = ",\n".join(f"fit{i} AS MATERIALIZED ({f})" for i, f in enumerate(fits))
+    b0, b1 = TRUTH.values()
+    return f"""WITH {SIMULATED_SQL}, {each},
+e AS ({' UNION ALL '.join(f'SELECT * FROM fit{i}' for i in range(len(fits)))}),
+d AS (SELECT e.k, e.binned, CASE WHEN e.k = 1 THEN 0 ELSE greatest(abs(e.c0 - f.c0), abs(e.c1 - f.c1)) END AS moved, greatest(abs(e.c0 - {b0}), abs(e.c1 - ({b1}))) AS off,
+  abs(e.c0 - {b0}) <= 1.96 * e.s0 AND abs(e.c1 - ({b1})) <= 1.96 * e.s1 AS covers FROM e JOIN e f ON f.repetition = e.repetition AND f.k = 1 AND NOT f.binned)
+SELECT k::INTEGER AS k, binned, {sig('avg(moved)', 2)} AS mean_dev_vs_k1, {sig('max(moved)', 2)} AS max_dev_vs_k1, {sig('avg(off)', 3)} AS mean_dev_vs_true,
+       avg(covers::INTEGER)::DOUBLE AS coverage, count(*)::INTEGER AS repetitions FROM d GROUP BY k, binned"""
+
+
+@query(_bias_sql())
+def bias_of_guards(spark, sf_dir):
+    """Deviation and coverage by least risk-set change and binning, on lines with simulated times; all twelve fits are one batch."""
+    got = bias_study(simulated(spark, sf_dir), "time", "event", TRUTH, list(BIAS_KS), BIAS_WIDTH)
+    figures = {"mean_dev_vs_k1": 2, "max_dev_vs_k1": 2, "mean_dev_vs_true": 3}
+    return got.select(*[fig(F.col(c), figures[c]).alias(c) if c in figures else c for c in got.columns])
+
+
 @query(
     """SELECT c_custkey::VARCHAR AS patient, c_acctbal::VARCHAR AS balance, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'http://example.org/term/' || c_mktsegment ELSE c_mktsegment END AS segment
 FROM customer"""

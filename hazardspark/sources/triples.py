@@ -7,10 +7,15 @@ variable). The term counts before the value.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import threading
+import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,43 +68,108 @@ def flatten_patients(triples: DataFrame, variables: list[str], by: tuple[str, ..
     return wide.select(*by, "patient", *[F.col(short).alias(name) for name, short in named.items()])
 
 
-def snapshot(df: DataFrame, path: str) -> DataFrame:
+MANIFEST = "manifest.json"
+
+
+def content_key(df: DataFrame, request: object = None) -> str:
+    """What a snapshot is of: the request and the files that ``df`` reads, with their sizes."""
+    spark = df.sparkSession
+    place, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    sources = []
+    for name in sorted(df.inputFiles()):
+        path = place(name)
+        sources.append([name, path.getFileSystem(conf).getFileStatus(path).getLen()])
+    return hashlib.sha256(json.dumps([request, sources], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def snapshot(df: DataFrame, path: str, request: object = None) -> DataFrame:
     """Collected once, then read again by every round: all of them see the same rows.
 
-    A finished snapshot is read; one without a needed column is an error. It is
-    written beside its place and renamed, so a half-written one is never read.
+    A snapshot is a folder with a manifest (its content key and its columns)
+    and the rows. It is written beside its place and claimed by a rename that
+    fails if something lies there, so it is never seen half-written, and of two
+    writers one wins and both read what it wrote. Whatever at ``path`` is no
+    snapshot, or one of another request or of other source files, is refused and
+    left as it is; nothing is ever deleted but the folder that a failed or
+    beaten writer has itself made.
     """
     spark = df.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(place(path, "_SUCCESS")):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key, columns = content_key(df, request), [[f.name, f.dataType.simpleString()] for f in df.schema.fields]
+    if not files.exists(hadoop.Path(path)):
         beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-        df.write.parquet(beside)
-        files.delete(place(path), True)  # what a failed write has left
-        if not files.rename(place(beside), place(path)):
-            raise AlgorithmError("the snapshot cannot be put in its place")
-    kept = spark.read.parquet(path)
-    if set(df.columns) - set(kept.columns):
+        claimed = False
+        try:
+            df.write.parquet(f"{beside}/rows")
+            out = files.create(hadoop.Path(beside, MANIFEST))
+            out.write(bytearray(json.dumps({"key": key, "columns": columns}).encode()))
+            out.close()
+            claimed = _claim(spark, beside, path)
+        finally:
+            if not claimed:
+                files.delete(hadoop.Path(beside), True)  # our own, by its name
+    try:
+        known = json.loads("\n".join(r.value for r in spark.read.text(f"{path.rstrip('/')}/{MANIFEST}").collect()))
+    except Exception:
+        raise AlgorithmError("what lies at the snapshot's place is no snapshot") from None
+    if known["key"] != key:
+        raise AlgorithmError("the snapshot is of another request or of other sources")
+    if [c for c in columns if c not in known["columns"]]:
         raise AlgorithmError("the snapshot lacks a requested variable")
+    kept = spark.read.parquet(f"{path.rstrip('/')}/rows")
     if kept.isEmpty():
         raise AlgorithmError("the snapshot is empty")
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _claim(spark: SparkSession, beside: str, path: str) -> bool:
+    """Rename without ever replacing; whether it was ours to do."""
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if "://" in path else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = rename.getField("NONE").get(None)
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path), how)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName() or "NotEmpty" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+#: Seconds that jobs get to end after they are cancelled.
+GRACE = 10.0
+
+
 def collect_bounded(collect: Callable[[], DataFrame], timeout: float | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """``collect()`` within a time; whatever goes wrong is told by its kind alone."""
+    """``collect()`` within a time; whatever goes wrong is told by its kind alone.
+
+    Its jobs carry a tag. When time is up they are cancelled by it, and what
+    ``collect`` cleans up on failure is cleaned up before this returns.
+    """
+    spark = spark or SparkSession.getActiveSession()
     box: dict = {}
+    tag = f"collect-{uuid.uuid4().hex}"
 
     def work() -> None:
         try:
+            if spark is not None:
+                spark.sparkContext.addJobTag(tag)
+                spark.sparkContext.setInterruptOnCancel(True)  # or tasks that wait for Python would go on
             box["rows"] = collect()
         except Exception as error:  # told below, without its text
             box["error"] = type(error).__name__
 
-    thread = threading.Thread(target=work, daemon=True)
+    thread = (InheritableThread if spark is not None else threading.Thread)(target=work, daemon=True)
     thread.start()
     thread.join(timeout if timeout is not None else load_collect_timeout(spark))
     if thread.is_alive():
+        end = time.monotonic() + GRACE
+        while spark is not None and thread.is_alive() and time.monotonic() < end:
+            spark.sparkContext.cancelJobsWithTag(tag)  # again and again: between two jobs there is none to cancel
+            thread.join(0.2)
         raise AlgorithmError("collecting the triples took too long")
     if "error" in box:
         raise AlgorithmError(f"collecting the triples failed: {box['error']}")

@@ -1,7 +1,11 @@
 """Tables, triples, ontologies."""
 
+import http.server
 import json
+import re
+import threading
 import time
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -11,6 +15,7 @@ from hazardspark.config import OPEN
 from hazardspark.errors import AlgorithmError, UserInputError
 from hazardspark.plans.fit import cox_fit
 from hazardspark.plans.rdf import cox_fit_triples
+from hazardspark.sources.endpoint import read_endpoint
 from hazardspark.sources.ontology import index_ontology, load_ontology
 from hazardspark.sources.tables import read_stations, write_partitioned
 from hazardspark.sources.triples import collect_bounded, flatten_patients, read_ntriples, snapshot
@@ -52,10 +57,50 @@ def test_triples(spark, tmp_path):
         snapshot(wide.withColumn("more", F.lit(1)), str(tmp_path / "snap"))
 
 
-def test_a_half_written_snapshot_is_not_read(spark, tmp_path):
+def test_a_foreign_folder_is_refused_and_left(spark, tmp_path):
+    """Also one that a failed write of another program has left."""
     (tmp_path / "snap").mkdir()
-    (tmp_path / "snap" / "part-00000.parquet").write_text("cut off")
-    assert snapshot(spark.range(4), str(tmp_path / "snap")).count() == 4
+    (tmp_path / "snap" / "part-00000.parquet").write_text("of someone else")
+    with pytest.raises(AlgorithmError, match="no snapshot"):
+        snapshot(spark.range(4), str(tmp_path / "snap"))
+    assert [f.name for f in tmp_path.iterdir()] == ["snap"] and (tmp_path / "snap" / "part-00000.parquet").read_text() == "of someone else"
+
+
+def test_snapshots_are_of_one_request_and_its_sources(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.read.parquet(str(tmp_path / "in"))
+    assert snapshot(read(), str(tmp_path / "snap"), ["x"]).count() == 5 and snapshot(read(), str(tmp_path / "snap"), ["x"]).count() == 5
+    with pytest.raises(AlgorithmError, match="another request"):
+        snapshot(read(), str(tmp_path / "snap"), ["y"])
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(AlgorithmError, match="other sources"):
+        snapshot(read(), str(tmp_path / "snap"), ["x"])
+    with pytest.raises(AlgorithmError, match="empty"):
+        snapshot(spark.range(0), str(tmp_path / "none"))
+
+
+def test_two_writers_leave_one_snapshot(spark, tmp_path):
+    """Each sees no snapshot, writes rows of its own, and gets those of the one that was first."""
+    gate, got = threading.Barrier(2), []
+    late = F.udf(lambda x: x, "long")
+
+    def write(n):
+        df = spark.range(n).select(late("id").alias("id"))
+        gate.wait()
+        got.append(snapshot(df, str(tmp_path / "snap")).count())
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (4, 7)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(set(got)) == 1 and got[0] in (4, 7) and [f.name for f in tmp_path.iterdir()] == ["snap"]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    with pytest.raises(Exception, match="no such"):
+        snapshot(spark.range(4).selectExpr("raise_error('no such') AS x"), str(tmp_path / "snap"))
+    assert not list(tmp_path.iterdir())
 
 
 def test_a_fit_from_triples_equals_the_fit_from_the_table(spark, tmp_path):
@@ -90,7 +135,7 @@ def test_a_fit_from_triples_equals_the_fit_from_the_table(spark, tmp_path):
         cox_fit_triples(df.selectExpr("site", "raise_error('read') AS s", "p", "o"), "ncit:C2", *asked[1:], str(tmp_path / "other"), **how)
 
 
-def test_bounded_collection(spark):
+def test_bounded_collection(spark, tmp_path):
     assert collect_bounded(lambda: spark.range(3), 5).count() == 3
     with pytest.raises(AlgorithmError, match="too long"):
         collect_bounded(lambda: time.sleep(2), 0.05)
@@ -99,6 +144,70 @@ def test_bounded_collection(spark):
     assert "secret" not in str(told.value)
 
 
+def test_what_is_late_is_stopped(spark, tmp_path):
+    """No job goes on and no folder is left."""
+    slow = F.udf(lambda x: time.sleep(30) or x, "long")
+    began = time.monotonic()
+    with pytest.raises(AlgorithmError, match="too long"):
+        collect_bounded(lambda: snapshot(spark.range(8).select(slow("id").alias("id")), str(tmp_path / "snap")), 3, spark)
+    assert time.monotonic() - began < 25
+    assert not list(tmp_path.iterdir())
+    end = time.monotonic() + 20  # the tracker hears of it a little later
+    while list(spark.sparkContext.statusTracker().getActiveJobsIds()) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not list(spark.sparkContext.statusTracker().getActiveJobsIds())
+
+
+class Endpoint(http.server.BaseHTTPRequestHandler):
+    """Answers a count and pages over ``triples``; each page fails at first."""
+
+    triples: list = []
+    seen: list = []
+
+    def do_POST(self):
+        query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
+        first = query not in Endpoint.seen
+        Endpoint.seen.append(query)
+        page = re.search(r"LIMIT (\d+) OFFSET (\d+)$", query)
+        if "nothing" in query:
+            self.send_error(400)
+        elif first and page:
+            self.send_error(503)
+        else:
+            rows = sorted(Endpoint.triples)[int(page[2]) :][: int(page[1])] if page else []
+            kind = lambda v: "uri" if v.startswith("http") else "literal"
+            found = [{c: {"type": kind(v), "value": v} for c, v in zip("spo", r)} for r in rows] if page else [{"n": {"type": "literal", "value": str(len(Endpoint.triples))}}]
+            body = json.dumps({"results": {"bindings": found}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_an_endpoint_is_read_page_by_page(spark):
+    Endpoint.triples = [(f"http://d/{i}", f"http://m/{p}", f"v{i * 7 % 100}") for i in range(95) for p in ("has_column", "has_cell")]
+    Endpoint.seen = []
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/sparql"
+    try:
+        df = read_endpoint(spark, url, ["ncit:C28421", "http://x/age"], "http://m/", page=30)
+        assert df.rdd.getNumPartitions() == 7
+        assert sorted(map(tuple, df.collect())) == sorted(Endpoint.triples)
+        pages = [q for q in Endpoint.seen if "LIMIT" in q]
+        assert all(NCIT + "C28421" in q and "http://x/age" in q and "ORDER BY" in q for q in pages) and {pages.count(q) for q in pages} == {2}
+        with pytest.raises(AlgorithmError) as told:
+            collect_bounded(lambda: read_endpoint(spark, url, ["http://x/nothing"], "http://m/").count(), 60, spark)
+        assert "127.0.0.1" not in str(told.value)
+        with pytest.raises(UserInputError):
+            read_endpoint(spark, url, ["http://x/a> } DELETE"], "http://m/")
+    finally:
+        server.shutdown()
+    Endpoint.triples = []
+
+
 def test_ontology_file(spark, tmp_path):
     path = tmp_path / "o.json"
     path.write_text(json.dumps({"schema": {"variables": {"x": {"class": NCIT + "C3", "dataType": "categorical", "valueMapping": {"terms": {"m": {"targetClass": "ncit:M"}}}}}}}, indent=1))
