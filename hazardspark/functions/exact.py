@@ -37,31 +37,31 @@ def units(bound: float, n: int) -> list[float]:
     return out
 
 
-def parts(x: Column, bound: float, n: int, scale: Column | None = None) -> list[Column]:
-    """The parts of an addend; scale: a power of two, by which the bound is multiplied."""
+def parts(x: str, bound: float, n: int, scale: str | None = None) -> list[str]:
+    """The parts of an addend, as SQL; scale: a power of two, by which the bound is multiplied."""
     out = []
     for u in units(bound, n):
-        rounder = F.lit(u * ROUNDER) if scale is None else F.lit(u * ROUNDER) * scale
-        out.append((x + rounder) - rounder)
-        x = x - out[-1]
+        rounder = f"{u * ROUNDER!r}D" if scale is None else f"({u * ROUNDER!r}D * {scale})"
+        out.append(f"(({x} + {rounder}) - {rounder})")
+        x = f"({x} - {out[-1]})"
     return out
 
 
 def total(name: str, columns: list[str]) -> Column:
     """The sum of the summed parts of ``name`` among ``columns``, the smallest first."""
     own = [c for c in columns if c == name or c.startswith(f"{name}__")]
-    out = F.col(own[-1])
+    out = own[-1]
     for c in own[-2::-1]:
-        out = F.col(c) + out
-    return out.alias(name)
+        out = f"({c} + {out})"
+    return F.expr(out).alias(name)
 
 
-def exact_sums(named: list[tuple[str, Column, float]], n: int, scale: Column | None = None) -> tuple[list[Column], list[Column]]:
-    """Aggregates of (name, addend, bound), and the columns that make one sum of the parts of each."""
+def exact_sums(named: list[tuple[str, str, float]], n: int, scale: str | None = None) -> tuple[list[Column], list[Column]]:
+    """Aggregates of (name, addend as SQL, bound), and the columns that make one sum of the parts of each."""
     aggregates, joined = [], []
     for name, x, bound in named:
         own = parts(x, bound, n, scale)
         labels = [name, *[f"{name}__{i}" for i in range(1, len(own))]]
-        aggregates += [F.sum(p).alias(c) for p, c in zip(own, labels)]
+        aggregates += [F.expr(f"sum({p})").alias(c) for p, c in zip(own, labels)]
         joined.append(total(name, labels))
     return aggregates, joined

@@ -68,9 +68,9 @@ def slot_sums(rows: DataFrame, xs: list[Column], weight: Column, groups: list[Co
     """Per (site, slot): n, ng_k for each group, and the weighted sums of ``names``. Without ``bounds`` a pass looks for them."""
     rows = rows.filter("slot >= 0").withColumns({"_w": weight, **{f"_x{i}": x for i, x in enumerate(xs)}})
     bounds = bounds or Bounds.found(rows)
-    w, x = F.col("_w"), [F.col(f"_x{i}") for i in range(len(xs))]
-    products = [w, *[w * a for a in x], *[w * x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]]
-    named = [(c, e, bounds.of(c)) for c, e in zip(names(len(xs)), products)]
+    p = len(xs)
+    products = ["_w", *[f"(_w * _x{i})" for i in range(p)], *[f"(_w * _x{i} * _x{j})" for i in range(p) for j in range(i, p)]]
+    named = [(c, e, bounds.of(c)) for c, e in zip(names(p), products)]
     out = None
     for lo in range(0, len(named), BLOCK_SUMS):
         sums, joined = exact_sums(named[lo : lo + BLOCK_SUMS], bounds.n)
@@ -82,17 +82,20 @@ def slot_sums(rows: DataFrame, xs: list[Column], weight: Column, groups: list[Co
     return out
 
 
-def at_risk(sums: DataFrame, sites: DataFrame, n_slots: int | None = None) -> DataFrame:
+def at_risk(sums: DataFrame, sites: DataFrame, n_slots: int | None = None, keep: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
     """Sums over all rows at risk, for every site and slot; ``sites`` has a column site, and n_slots if that differs by site.
 
+    keep: further columns of ``sites``. times: one of them by which the sums are multiplied.
+
     Accumulated in the order of slots, so alike in every run.
     """
     values = [c for c in sums.columns if c not in ("site", "slot")]
+    by = f" * {times}" if times else ""
     last = F.col("n_slots") - 1 if n_slots is None else F.lit(n_slots - 1)
-    every = sites.select("site", F.explode(F.sequence(F.lit(0), last)).alias("slot"))
+    every = sites.select("site", *keep, F.explode(F.sequence(F.lit(0), last)).alias("slot"))
     back = "over (partition by site order by slot desc rows between unbounded preceding and current row)"
-    total = [f"sum(coalesce(`{c}`, 0)) {back} as `{c}`" for c in values]
-    return every.join(sums, ["site", "slot"], "left").selectExpr("site", "slot", *total)
+    total = [f"sum(coalesce(`{c}`, 0)) {back}{by} as `{c}`" for c in values]
+    return every.join(sums, ["site", "slot"], "left").selectExpr("site", "slot", *keep, *total)
 
 
 def effective_slots(risk: DataFrame, settings: DataFrame, n_groups: int = 0) -> DataFrame:
@@ -133,16 +136,20 @@ def effective_slots(risk: DataFrame, settings: DataFrame, n_groups: int = 0) ->
 
 
 def released(risk: DataFrame, effective: DataFrame, settings: DataFrame, terms: int) -> DataFrame:
-    """What each site releases per slot: held sums, rounded as it is set, then to what the exchange carries."""
+    """What each site releases per slot: held sums, rounded as it is set, then to what the exchange carries.
+
+    settings: with site and figures, unless ``risk`` has the latter.
+    """
     held = risk.withColumnRenamed("slot", "effective").join(effective, ["site", "effective"])
-    held = held.join(F.broadcast(settings.select("site", "figures")), "site")
+    if "figures" not in held.columns:
+        held = held.join(F.broadcast(settings.select("site", "figures")), "site")
     own = F.transform(F.array(*names(terms)), lambda x: round_figures(x, F.col("figures")))
     sent = F.transform(own, lambda x: round_figures(x, WIRE_FIGURES))
     kept = [c for c in risk.columns if c not in ("site", "slot", "n", *names(terms)) and not c.startswith("ng_")]
-    return held.select("site", "slot", *kept, sent.alias("sums")).select("site", "slot", *kept, *[F.get("sums", i).alias(c) for i, c in enumerate(names(terms))])
+    return held.select("site", "slot", *kept, sent.alias("sums")).selectExpr("site", "slot", *kept, *[f"get(sums, {i}) AS {c}" for i, c in enumerate(names(terms))])
 
 
-def pooled(release: DataFrame, terms: int, by: list[str] = [], bounds: Bounds | None = None, scale: Column | None = None, sites: int = 1) -> DataFrame:  # noqa: B006
+def pooled(release: DataFrame, terms: int, by: list[str] = [], bounds: Bounds | None = None, scale: str | None = None, sites: int = 1) -> DataFrame:  # noqa: B006
     """Sums of all sites per (by, slot), and odd: a site whose released sizes no risk sets can have (null: none).
 
     bounds, scale: of what ``release`` sums, the latter a power of two; with them the sums over ``sites`` are exact.
@@ -154,7 +161,7 @@ def pooled(release: DataFrame, terms: int, by: list[str] = [], bounds: Bounds |
     if bounds is None:
         return checked.groupBy(*by, "slot").agg(*[F.sum(c).alias(c) for c in names(terms)], F.min("odd").alias("odd"))
     # a released sum has as many addends as its site has rows, and may be rounded up
-    sums, joined = exact_sums([(c, F.col(c), 2.0 * bounds.n * bounds.of(c)) for c in names(terms)], sites, scale)
+    sums, joined = exact_sums([(c, c, 2.0 * bounds.n * bounds.of(c)) for c in names(terms)], sites, scale)
     return checked.groupBy(*by, "slot").agg(*sums, F.min("odd").alias("odd")).select(*by, "slot", *joined, "odd")
 
 

@@ -74,7 +74,7 @@ def event_counts(rows: DataFrame, n_terms: int = 0, widest: list[float] | None =
     if widest is None:
         sums = [a for i in range(n_terms) for a in (F.sum(x[i]).alias(f"z{i}"), F.sum(x[i] * x[i]).alias(f"q{i}"))]
     else:
-        sums, _ = exact_sums([a for i in range(n_terms) for a in ((f"z{i}", x[i], widest[i]), (f"q{i}", x[i] * x[i], widest[i] ** 2))], n)
+        sums, _ = exact_sums([a for i in range(n_terms) for a in ((f"z{i}", f"x{i}", widest[i]), (f"q{i}", f"(x{i} * x{i})", widest[i] ** 2))], n)
     return rows.filter("event = 1").groupBy("site", "time").agg(F.count(F.lit(1)).alias("freq"), *sums)
 
 

@@ -121,14 +121,14 @@ ONE_TASK_BYTES = 64 << 20
 class Evaluator:
     """Pooled risk-set sums at given coefficients, from rows that carry their slot.
 
-    effective and knobs: by site, as ``risksets`` has them; knobs with n_slots.
+    effective: as ``risksets`` has it; settings: by site.
     terms: what no standardised term is over, in absolute value; reach: what the root of the sum of their squares is not
     over, by fit; n: rows of a site, at most.
     """
 
     rows: DataFrame
     effective: DataFrame
-    knobs: DataFrame
+    settings: dict[int, Settings]
     designs: dict[int, Design]
     terms: tuple[float, ...]
     reach: dict[int, float]
@@ -145,9 +145,9 @@ class Evaluator:
         return above(math.exp(min(score, 600.0)) * 1.001)
 
     def sent(self, betas: dict[int, np.ndarray]) -> DataFrame:
-        """A row per site of the given fits: fit, b, c, d per term, and the power of two that no weight there is over."""
+        """A row per site of the given fits: fit, b, c, d per term, points of the grid, figures, and the power of two that no weight there is over."""
         p = len(self.terms)
-        rows: dict = {"site": [], "fit": [], "most": []} | {f"{c}{i}": [] for c in "bcd" for i in range(p)}
+        rows: dict = {c: [] for c in ("site", "fit", "n_slots", "figures", "most")} | {f"{c}{i}": [] for c in "bcd" for i in range(p)}
         for fit, beta in betas.items():
             own = self.designs[fit]
             most = self.most(fit, beta)
@@ -155,37 +155,35 @@ class Evaluator:
                 rows["site"].append(site)
                 rows["fit"].append(fit)
                 rows["most"].append(most)
+                rows["n_slots"].append(len(own.grid))
+                rows["figures"].append(self.settings[site].figures)
                 for i in range(p):
                     for c, x in zip("bcd", (beta[i], own.centre[i], own.scale[i])):
                         rows[f"{c}{i}"].append(float(x))
-        kinds = {"site": pa.int64(), "fit": pa.int64()}
+        kinds = {"site": pa.int64(), "fit": pa.int64(), "n_slots": pa.int32(), "figures": pa.int32()}
         return self.rows.sparkSession.createDataFrame(pa.table({c: pa.array(v, kinds.get(c, pa.float64())) for c, v in rows.items()}))
 
     def release(self, betas: dict[int, np.ndarray]) -> DataFrame:
         """Per (site, slot) what the site releases: held sums, rounded; with fit and most."""
         p = len(self.terms)
         sent = self.sent(betas)
-        rows = self.rows.join(F.broadcast(sent), "site")  # a row per site
-        xs = [(F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}") for i in range(p)]
-        score = F.lit(0.0)
-        for i, x in enumerate(xs):
-            score = score + F.col(f"b{i}") * x
-        sums = risksets.slot_sums(rows, xs, F.exp(score) / F.col("most"), [], self.bounds)
+        rows = self.rows.join(F.broadcast(sent.drop("n_slots", "figures")), "site")  # a row per site
+        xs = [f"(x{i} - c{i}) / d{i}" for i in range(p)]
+        score = " + ".join(["0.0D", *[f"b{i} * ({x})" for i, x in enumerate(xs)]])
+        sums = risksets.slot_sums(rows, [F.expr(x) for x in xs], F.expr(f"exp({score}) / most"), [], self.bounds)
         sites = sum(len(self.designs[f].sites) for f in betas)
         longest = max(len(self.designs[f].grid) for f in betas)
         # what is left is small: one task then accumulates, holds, rounds and pools without moving it again
-        sums = sums.repartition(1) if 8 * sites * longest * len(risksets.names(p)) <= ONE_TASK_BYTES else sums.repartition("site")
-        knobs = self.knobs.join(F.broadcast(sent.select("site", "fit", "most")), "site")
-        risk = risksets.at_risk(sums, knobs.select("site", "n_slots"))
-        risk = risk.join(F.broadcast(sent.select("site", "fit", "most")), "site")
-        risk = risk.select("site", "fit", "most", "slot", *[(F.col(c) * F.col("most")).alias(c) for c in risksets.names(p)])
-        return risksets.released(risk, self.effective, knobs.drop("fit", "most"), p)
+        small = 8 * sites * longest * len(risksets.names(p)) <= ONE_TASK_BYTES
+        sums = sums.drop("n").repartition(1) if small else sums.drop("n").repartition("site")
+        risk = risksets.at_risk(sums, sent, None, ("fit", "most", "figures"), "most")
+        return risksets.released(risk, self.effective, sent, p)
 
     def __call__(self, betas: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         p = len(self.terms)
         sites = max(len(self.designs[f].sites) for f in betas)
         release = self.release(betas)
-        got = risksets.pooled(release, p, ["fit", "most"], self.bounds, F.col("most"), sites).toPandas().sort_values(["fit", "slot"])
+        got = risksets.pooled(release, p, ["fit", "most"], self.bounds, "most", sites).toPandas().sort_values(["fit", "slot"])
         out = {}
         for fit in betas:
             own = got[got["fit"] == fit]
@@ -474,7 +472,7 @@ def _fitted(ready: Prepared, request: FitRequest, limits: Limits, rounds: int, f
                 raise UserInputError(f"the held-event fraction {held[f]:.3f} exceeds the configured cap {limits.held_share}: use larger sites or weaker risk-set guards")
         wide = {r.fit: r for r in told if r.fit is not None}
         terms_most = tuple(max(r[f"m{i}"] for r in wide.values()) for i in range(p))
-        evaluate = Evaluator(rows, effective, knobs, designs, terms_most, {f: math.sqrt(r.square) for f, r in wide.items()}, ready.n_rows)
+        evaluate = Evaluator(rows, effective, ready.settings, designs, terms_most, {f: math.sqrt(r.square) for f, r in wide.items()}, ready.n_rows)
         paths = optimise_all(evaluate, {f: newton(freqs[f], zs[f], tolerances[f], rounds) for f in fits})
     finally:
         for x in (rows, risk, effective):

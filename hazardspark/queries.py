@@ -299,7 +299,7 @@ def _regions(spark, sf_dir) -> DataFrame:
 
 
 def _risk(spark, sf_dir, beta=BETA) -> tuple[DataFrame, DataFrame]:
-    rows = _plain(spark, sf_dir)
+    rows = _plain(spark, sf_dir).persist()  # read for the grid, the bounds and the sums
     slotted, slots, grid = _slotted(rows, times.event_counts(rows))
     xs = [F.col("x0"), F.col("x1")]
     sums = risksets.slot_sums(slotted, xs, F.exp(beta[0] * xs[0] + beta[1] * xs[1]))
@@ -404,7 +404,7 @@ def _pooled(spark, sf_dir) -> tuple[dict, np.ndarray]:
     """Columns of the pooled sums at BETA (a row per grid point, with time and freq), and the event sums."""
     risk, slots = _risk(spark, sf_dir)
     sums = risk.groupBy("slot").agg(*[F.sum(c).alias(c) for c in S]).join(F.broadcast(slots), "slot").toPandas().sort_values("slot")
-    z = event_sums(times.event_counts(_plain(spark, sf_dir), 2), 2).agg(F.sum("z0"), F.sum("z1")).first()
+    z = event_sums(times.event_counts(_plain(spark, sf_dir).persist(), 2), 2).agg(F.sum("z0"), F.sum("z1")).first()  # the same rows again
     return {c: sums[c].to_numpy() for c in sums}, np.array(z, dtype=float)
 
 

@@ -160,7 +160,7 @@ def test_only_pooled_sums_of_guarded_sites_are_seen(spark):
         slotted = risksets.assign_slots(ready.moved, grid)
         knobs = ready.knobs.withColumn("n_slots", F.lit(len(grid)))
         effective = risksets.effective_slots(risksets.at_risk(risksets.slot_sums(slotted, [], F.lit(1.0)), knobs), knobs)
-        s0, s1, s2 = Evaluator(slotted, effective, knobs, {0: Design(ready.sites, grid, centre, scale)}, (16.0, 16.0), {0: 20.0}, ready.n_rows)({0: beta})[0]
+        s0, s1, s2 = Evaluator(slotted, effective, by, {0: Design(ready.sites, grid, centre, scale)}, (16.0, 16.0), {0: 20.0}, ready.n_rows)({0: beta})[0]
         moved = ready.moved.toPandas()
     total = np.zeros((len(grid), 7))
     for site, s in by.items():
