@@ -23,12 +23,15 @@ def test_query_equals_its_sql(spark, name):
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    start, before = docs.columns, docs
+    start, before, held = docs.columns, docs, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, DATA).persist()
         assert after.columns == start, name
         ids = {r.doc_id for r in before.select("doc_id").collect()}
         assert {r.doc_id for r in after.select("doc_id").collect()} <= ids
+        held.append(after)
         before = after
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.count() > 0 and {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+    for df in held:
+        df.unpersist()

@@ -61,6 +61,20 @@ def test_letters_before_punctuation():
             assert ids[first[i] : first[i + 1]].tolist() == ids_of(tokenizer, texts[d]), texts[d]
 
 
+def test_marks_that_combine():
+    """Every capital with every mark of U+0300 to U+036F, and random texts with all of them."""
+    tokenizer, known = tokenizers.Tokenizer.from_file(tokenizer_path()), WordIds(tokenizer_path())
+    marks, capitals = [chr(c) for c in range(0x300, 0x370)], "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [f"{c}{m} a{c}{m}b. {c}\u0591{m}" for c in capitals for m in marks] + ["J\u030cON", "H\u0331adīth"]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(marks) if rng.random() < 0.2 else rng.choice(capitals + "abjy.,'< éÄİß日") for _ in range(rng.randint(1, 30))) for _ in range(20_000)]
+    want = [e.ids + [0] for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for chunk in chunks(pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": texts})):
+        ids, first = known.of_chunk(chunk)
+        for i, d in enumerate(chunk.doc):
+            assert ids[first[i] : first[i + 1]].tolist() == want[d], ascii(texts[d])
+
+
 def test_a_very_long_text(spark):
     text = "Große Wörter, ein langer Text. " * 60_000
     ids = np.array(ids_of(tokenizers.Tokenizer.from_file(tokenizer_path()), text), "<u4")

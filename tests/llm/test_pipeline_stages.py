@@ -20,10 +20,11 @@ def test_stages_on_odd_rows(spark, tmp_path):
     labels = [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(60)] + [(None, 1, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.createDataFrame(rows(), SCHEMA).withColumns({c: F.lit("clash") for c in ("key", "size", "rate", "copies", "part", "score", "component_id", "piece")})
-    before = docs
+    before, held = docs, []
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
         after = stage(spark, before, str(tmp_path)).persist()
+        held.append(after)
         kept = [r.asDict() for r in after.collect()]
         if name == "packing":
             assert {r["doc_id"] for r in kept} == {r.doc_id for r in before.select("doc_id").collect()}
@@ -39,3 +40,5 @@ def test_stages_on_odd_rows(spark, tmp_path):
                 groups.setdefault(SPACE.sub("", r["text"] or ""), []).append((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0))
             assert sorted((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(min(g) for g in groups.values())
         before = after
+    for df in held:
+        df.unpersist()
