@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import OPEN, Settings
-from .functions.keys import covariate_key, term_key, to_number
+from .functions.keys import code_key, covariate_key, term_key, to_number
 from .functions.rounding import round_figures
 from .operators import guards, risksets, times
 from .errors import AlgorithmError
@@ -26,6 +26,7 @@ from .plans.curves import survival_curves
 from .plans.fit import cox_fit, derivatives, event_sums, log_likelihood, model_frame, require_all, standardisation
 from .plans.prepare import plain_rows, prepare
 from .request import FitRequest, parse_covariates
+from .sources.tables import read_stations
 from .sources.triples import flatten_patients
 
 FIGURES = 9
@@ -225,6 +226,33 @@ def code_keys(spark, sf_dir):
     return keys.groupBy("prio_key", "time_key").agg(F.count(F.lit(1)).alias("n"))
 
 
+NAMED = "CASE WHEN time % 3 = 0 THEN ' 0' || time::INTEGER::VARCHAR || '.0 ' WHEN time % 3 = 1 THEN '<' || flag || '>' ELSE ' http://snomed.info/id/' || flag END"
+
+
+@query(f"{SHIP} SELECT CASE WHEN time % 3 = 0 THEN 'n:' || time::INTEGER::VARCHAR || '.0' ELSE 's:' || trim({NAMED}) END AS key, count(*) AS n FROM shipments GROUP BY 1")
+def plain_code_keys(spark, sf_dir):
+    """Keys of codes without ontology terms: numbers in any spelling are one, brackets and namespaces stay."""
+    text = F.expr("CASE WHEN time % 3 = 0 THEN concat(' 0', cast(time as int), '.0 ') WHEN time % 3 = 1 THEN concat('<', flag, '>') ELSE concat(' http://snomed.info/id/', flag) END")
+    return shipments(spark, sf_dir).select(code_key(text, "string").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s AS site, s_nationkey AS nation, count(*) AS n, count(b) AS known, count(*) FILTER (b IS NULL) AS lacking FROM (SELECT 1::BIGINT AS s, s_nationkey, NULL AS b FROM supplier UNION ALL SELECT 2, c_nationkey, c_mktsegment FROM customer) GROUP BY 1, 2")
+def united_stations(spark, sf_dir):
+    """Two stations as one table; a column that one lacks is null there."""
+    tables = read_stations(spark, {1: f"{sf_dir}/supplier.parquet", 2: f"{sf_dir}/customer.parquet"})
+    nation = F.coalesce("s_nationkey", "c_nationkey").alias("nation")
+    return tables.select("site", nation, F.col("c_mktsegment").alias("b")).groupBy("site", "nation").agg(F.count(F.lit(1)).alias("n"), F.count("b").alias("known"), F.count_if(F.col("b").isNull()).alias("lacking"))
+
+
+@query(f"{SHIP} SELECT site, time, count(*) AS freq FROM shipments WHERE event = 1 AND x1 > 0.05 AND seg <> 'HOUSEHOLD' GROUP BY site, time")
+def hooked_rows(spark, sf_dir):
+    """Event counts of rows that a hook has left, after coding and before anything is counted."""
+    request = FitRequest.of("time", "event", ["x1", SEG])
+    with prepare(shipments(spark, sf_dir), request, OPEN, row_hook=lambda df: df.filter("x1 > 0.05")) as ready:
+        counts = [(r.site, r.time, r.freq) for r in ready.counts.select("site", "time", "freq").collect()]
+    return spark.createDataFrame(counts, "site long, time double, freq long")
+
+
 @query(f"SELECT l_orderkey, l_linenumber, {sig('l_extendedprice', 3)} AS three, {sig('l_extendedprice * (l_discount - 0.05)', 7)} AS seven FROM lineitem")
 def rounded_figures(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -46,25 +46,41 @@ def flatten_patients(triples: DataFrame, variables: list[str], by: tuple[str, ..
     Joins are on the subject, never on the order of rows. Of several cells of
     one variable the least is taken. by: columns (the site) that keep graphs
     apart; patients have them too.
+
+    The triples are read once: grouped by subject, each subject has its facts,
+    and every step along the path from patients to terms joins with that one
+    table, whose shuffle Spark reuses.
     """
-    local = F.regexp_extract("p", r"([^#/]+)$", 1)
-    t = triples.withColumn("p", local)
     by = list(by)
+    local = F.regexp_extract("p", r"([^#/]+)$", 1)
+    t = triples.withColumn("p", local).filter(F.col("p").isin(HAS_COLUMN, HAS_CELL, HAS_VALUE, TYPE, SUBCLASS))
+    for c in [*by, "s", "o"]:
+        t = t.filter(F.col(c).isNotNull())
+    facts = t.groupBy(*by, "s").agg(F.collect_set(F.struct("p", "o")).alias("facts"))
+
+    def of(predicate: str, facts: str = "facts"):
+        return F.transform(F.filter(facts, lambda f: f["p"] == predicate), lambda f: f["o"])
 
-    def of(predicate: str, s: str, o: str) -> DataFrame:
-        return t.filter(F.col("p") == predicate).select(*by, F.col("s").alias(s), F.col("o").alias(o)).distinct()
+    def joined(rows: DataFrame, subject: str, name: str, how: str) -> DataFrame:
+        """``rows`` with the facts of a subject among their columns."""
+        own = facts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("s").alias("__s"), F.col("facts").alias(name))
+        on = [F.col(c) == F.col(f"__{c}") for c in by] + [F.col(subject) == F.col("__s")]
+        return rows.join(own, on, how).drop(*[f"__{c}" for c in by], "__s")
 
     named = {name: f"v{i}" for i, name in enumerate(variables)}
     key = F.regexp_replace(term_key(F.col("class"), "string"), "^[ns]:", "")
-    columns = of(HAS_COLUMN, "patient", "column").join(of(TYPE, "column", "class"), [*by, "column"])
     slot = F.lit(None).cast("string")
     for name, short in named.items():
         slot = F.when(key == str(term_key_of(name)), short).otherwise(slot)
-    columns = columns.withColumn("slot", slot).filter("slot is not null")
-    cells = columns.join(of(HAS_CELL, "column", "cell"), [*by, "column"]).join(of(HAS_VALUE, "cell", "value"), [*by, "cell"], "left")
-    terms = of(TYPE, "cell", "term").join(of(SUBCLASS, "term", "class"), [*by, "term"])
-    found = cells.join(terms, [*by, "cell", "class"], "left").select(*by, "patient", "slot", F.coalesce("term", "value").alias("value"))
-    wide = found.dropDuplicates().groupBy(*by, "patient").pivot("slot", list(named.values())).agg(F.min("value"))
+    columns = facts.select(*by, F.col("s").alias("patient"), F.explode(of(HAS_COLUMN)).alias("column"))
+    columns = joined(columns, "column", "of_column", "inner").select(*by, "patient", "of_column", F.explode(of(TYPE, "of_column")).alias("class"))
+    cells = columns.withColumn("slot", slot).filter("slot is not null").select(*by, "patient", "slot", "class", F.explode(of(HAS_CELL, "of_column")).alias("cell"))
+    cells = joined(cells, "cell", "of_cell", "left")
+    cells = cells.select(*by, "patient", "slot", "class", "cell", F.array_min(of(HAS_VALUE, "of_cell")).alias("value"), F.explode_outer(of(TYPE, "of_cell")).alias("term"))
+    terms = joined(cells, "term", "of_term", "left")
+    term = F.when(F.array_contains(of(SUBCLASS, "of_term"), F.col("class")), F.col("term"))
+    each = terms.groupBy(*by, "patient", "slot", "class", "cell").agg(F.coalesce(F.min(term), F.min("value")).alias("value"))
+    wide = each.groupBy(*by, "patient").pivot("slot", list(named.values())).agg(F.min("value"))
     return wide.select(*by, "patient", *[F.col(short).alias(name) for name, short in named.items()])
 
 

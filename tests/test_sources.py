@@ -35,6 +35,13 @@ def test_station_tables(spark, tmp_path):
         read_stations(spark, {1: str(tmp_path / "a.csv")})
 
 
+def final_plan(df):
+    """The plan as it ran."""
+    qe = df._jdf.queryExecution()
+    qe.executedPlan().executeCollect()
+    return qe.executedPlan().toString()
+
+
 def test_triples(spark, tmp_path):
     lines = []
     for p, sex, age in (("p1", "C16576", "40"), ("p2", "C20197", 'fif"ty'), ("p3", None, "7")):
@@ -51,6 +58,8 @@ def test_triples(spark, tmp_path):
     wide = flatten_patients(read_ntriples(spark, str(tmp_path / "t.nt")), ["ncit:C28421", "ncit:C156420"])
     got = {r[0]: (r[1], r[2]) for r in wide.collect()}
     assert got == {"http://d/p1": (NCIT + "C16576", "40"), "http://d/p2": (NCIT + "C20197", 'fif"ty'), "http://d/p3": (None, "7")}
+    ran = final_plan(wide).partition("== Initial Plan ==")[0]
+    assert ran.count("FileScan text") == 1 and "ReusedExchange" in ran
     kept = snapshot(wide, str(tmp_path / "snap"))
     assert kept.count() == 3 and snapshot(wide, str(tmp_path / "snap")).count() == 3
     with pytest.raises(AlgorithmError):
