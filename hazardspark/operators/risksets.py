@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import WIRE_FIGURES
 from ..functions.exact import exact_sums
 from ..functions.rounding import round_figures
+from ..functions.scan import scanned
 
 BLOCK_SUMS = 24  # sums of one aggregation, twice as many columns; more go to further ones, which compiled code still holds
 
@@ -112,7 +113,7 @@ def effective_slots(risk: DataFrame, settings: DataFrame, n_groups: int = 0) ->
     packed = packed.join(F.broadcast(settings.select("site", "risk_change", "risk_size")), "site")
     k, floor = F.col("risk_change"), F.col("risk_size")
     first = F.element_at("all", 1)
-    start = F.struct(F.lit(0).alias("h"), first["n"].alias("n"), first["g"].alias("g"), F.array(F.lit(0)).alias("out"))
+    start = F.struct(F.lit(0).alias("h"), first["n"].alias("n"), first["g"].alias("g"))
 
     def few(lost: Column) -> Column:
         return (lost > 0) & (lost < k)
@@ -128,10 +129,10 @@ def effective_slots(risk: DataFrame, settings: DataFrame, n_groups: int = 0) ->
             hold = hold | F.exists(pairs, lambda p: few(p["was"] - p["now"]) | few(lost - (p["was"] - p["now"])) | low(p["now"]) | low(x["n"] - p["now"]))
         hold = hold & (k > 1)
         own = F.when(hold, state["h"]).otherwise(x["slot"])
-        return F.struct(own.alias("h"), F.when(hold, state["n"]).otherwise(x["n"]).alias("n"), F.when(hold, state["g"]).otherwise(x["g"]).alias("g"), F.concat(state["out"], F.array(own)).alias("out"))
+        return F.struct(own.alias("h"), F.when(hold, state["n"]).otherwise(x["n"]).alias("n"), F.when(hold, state["g"]).otherwise(x["g"]).alias("g")), own
 
     rest = F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0)))
-    walked = packed.select("site", F.aggregate(rest, start, step)["out"].alias("out"))
+    walked = packed.select("site", F.concat(F.array(F.lit(0)), scanned(rest, start, step, "int")["out"]).alias("out"))
     return walked.select("site", F.posexplode("out").alias("slot", "effective"))
 
 

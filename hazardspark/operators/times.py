@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.exact import exact_sums
+from ..functions.scan import scanned
 
 KINDS = {"int": pa.int32(), "float": pa.float64(), "str": pa.string()}
 
@@ -83,27 +84,24 @@ def merge_small(counts: DataFrame, least: Column | int, most: int | None = None)
 
     Times are gathered in ascending order until their events reach ``least``;
     the group is released at its largest time. A rest that stays short joins
-    the group before it, or is released alone if there is none. A fold over one
-    sorted array per site: its length is that of the site's event times, which
-    a caller bounds through the grid's cap: sites of more than ``most`` groups' worth of times have no row.
+    the group before it, or is released alone if there is none. One sorted array
+    per site is scanned: its length is that of the site's event times. Sites of
+    more than ``most`` groups' worth of times have no row.
     """
     least = least if isinstance(least, Column) else F.lit(least)
     counts = counts.withColumn("least", least)
     packed = counts.groupBy("site").agg(F.max("least").alias("least"), F.array_sort(F.collect_list(F.struct("time", "freq"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("groups"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("group"))
 
     def step(state, x):
         held = state["held"] + x["freq"]
         full = held >= F.col("least")
-        return F.struct(
-            F.when(full, F.lit(0).cast("long")).otherwise(held).alias("held"),
-            (state["group"] + full.cast("int")).alias("group"),
-            F.concat(state["groups"], F.array(state["group"])).alias("groups"),
-        )
+        after = F.struct(F.when(full, F.lit(0).cast("long")).otherwise(held).alias("held"), (state["group"] + full.cast("int")).alias("group"))
+        return after, state["group"]
 
     within = F.lit(True) if most is None else F.size("all") <= most * F.col("least")
-    folded = packed.withColumn("fold", F.when(within, F.aggregate("all", start, step)))
-    each = folded.select("site", "fold.held", "fold.group", F.explode(F.when(within, F.arrays_zip("all", F.col("fold.groups").alias("g")))).alias("x"))
+    folded = packed.withColumn("fold", F.when(within, scanned(F.col("all"), start, step, "int")))
+    each = folded.select("site", "fold.state.held", "fold.state.group", F.explode(F.when(within, F.arrays_zip("all", F.col("fold.out").alias("g")))).alias("x"))
     each = each.select("site", F.col("x.all.time").alias("time"), F.col("x.all.freq").alias("freq"), F.col("x.g").alias("g"), "held", "group")
     short = (F.col("g") == F.col("group")) & (F.col("held") > 0) & (F.col("group") > 0)
     each = each.withColumn("into", F.when(short, F.col("g") - 1).otherwise(F.col("g")))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,14 @@ def test_merging_equals_a_loop(spark):
         assert {r.time: r.freq for r in times.suppressed_counts(df, least).collect()} == total
 
 
+def test_merging_a_hundred_thousand_times(spark):
+    rng = np.random.default_rng(31)
+    freq = rng.integers(1, 4, 100_000).tolist()
+    df = spark.createDataFrame(pa.table({"site": pa.array([1] * 100_000, pa.int64()), "time": np.arange(100_000.0), "freq": pa.array(freq, pa.int64())}))
+    got = times.merge_small(df, 5).orderBy("time").toPandas()["merged"].tolist()
+    assert got == merge(np.arange(100_000.0).tolist(), freq, 5)
+
+
 def test_moving_events(spark):
     rng = np.random.default_rng(14)
     when, event = rng.integers(0, 30, 70).tolist(), (rng.random(70) < 0.4).astype(int).tolist()
