@@ -46,6 +46,7 @@ CHOICES = [(h, w) for h in (4, 6, 8) for w in (1.25, 2.5)]  # projections per ta
 SAMPLE, ASKED, RECALL = 10_000, 128, 0.95
 CELL_COST = 16  # a visit to a cell costs as much as so many vectors in it
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+PROBED = 131_072  # probes of one table held at a time
 SEED = 17
 FOUND = "query_id long, vec_id long, score double"
 
@@ -217,8 +218,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, how: tuple[int,
     no candidate. how: projections, width and probes; by default they are fitted.
     """
     found = _usable(vectors, "vec_id")
-    most = F.array_max(F.transform("vector", F.abs))
-    norm = most * F.sqrt(F.aggregate(F.transform("vector", lambda x: x / F.array_max(F.transform("vector", F.abs))), F.lit(0.0), lambda a, x: a + x * x))
+    # scaled by the largest component, which is computed once a vector
+    length = lambda most: most * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    norm = F.get(F.transform(F.array(F.array_max(F.transform("vector", F.abs))), length), 0)
     dims = found.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), "dim").first()
     if dims is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -238,11 +240,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, how: tuple[int,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(known.cells(m)) if len(b) else [], pa.list_(pa.int64()))], ["vec_id", "cells"])
 
     def probe(df: DataFrame, count: int) -> DataFrame:
+        step = max(1, PROBED // count)  # queries at a time
+
         def run(batches):
             known = Tables(dim, top, hashes, width)
-            for b in batches:
-                m = _matrix(b.column(1)) if len(b) else np.zeros((0, dim))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(known.probes(m, count)) if len(b) else [], pa.list_(pa.int64()))], ["query_id", "cells"])
+            for whole in batches:
+                for lo in range(0, len(whole), step):
+                    b = whole.slice(lo, step)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(known.probes(_matrix(b.column(1)), count)), pa.list_(pa.int64()))], ["query_id", "cells"])
 
         return df.mapInArrow(run, "query_id long, cells array<long>").select("query_id", F.explode(F.array_distinct("cells")).alias("cell"))
 
