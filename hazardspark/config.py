@@ -156,3 +156,22 @@ def load_collect_timeout(spark=None) -> float:
     if not seconds > 0:
         raise UserInputError("collect_timeout must be positive")
     return seconds
+
+
+@dataclass(frozen=True)
+class SchemaChoice:
+    """Where the ontology schema lies: a URL (with ``{tag}``) if it is remote, a path otherwise and where that fails."""
+
+    remote: bool = False
+    url: str | None = None
+    tag: str | None = None
+    path: str | None = None
+
+
+def load_schema_choice(spark=None) -> SchemaChoice:
+    """As configured: use_remote_schema (true or false), schema_url, schema_tag, schema_path."""
+    remote = (_lookup(spark, "use_remote_schema") or "false").strip().lower()
+    if remote not in ("true", "false"):
+        raise UserInputError("use_remote_schema must be true or false")
+    url, tag, path = ((_lookup(spark, f"schema_{n}") or "").strip() or None for n in ("url", "tag", "path"))
+    return SchemaChoice(remote == "true", url, tag, path)

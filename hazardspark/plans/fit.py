@@ -17,10 +17,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import HELD_WARNING, MAX_ROUNDS, STABLE_STEP_TOLERANCE, STEP_TOLERANCE, Limits, Settings, load_limits, load_settings
@@ -478,10 +479,16 @@ def _fitted(ready: Prepared, request: FitRequest, limits: Limits, rounds: int, f
         for x in (rows, risk, effective):
             x.unpersist()
     own = {f: {s: ready.settings[s] for s in sites[f]} for f in fits}
-    return {f: _result(request, limits, terms, designs[f], freqs[f], paths[f], own[f], held[f]) for f in fits}
+    sender = provenance(spark)
+    return {f: _result(request, limits, terms, designs[f], freqs[f], paths[f], own[f], held[f], sender) for f in fits}
 
 
-def _result(request: FitRequest, limits: Limits, terms: list[str], design: Design, freq: np.ndarray, path: Path, settings: dict[int, Settings], held: float) -> dict:
+def provenance(spark: SparkSession) -> dict:
+    """Who asks, as far as Spark knows: its user, the organisation that is configured, and the time."""
+    return {"user": spark.sparkContext.sparkUser(), "organization": spark.conf.get("spark.hazard.organization", None), "timestamp": datetime.now(UTC).isoformat(timespec="seconds")}
+
+
+def _result(request: FitRequest, limits: Limits, terms: list[str], design: Design, freq: np.ndarray, path: Path, settings: dict[int, Settings], held: float, sender: dict) -> dict:
     p, centre, scale, grid = len(terms), design.centre, design.scale, design.grid
     summary, warning = guard_summary(settings)
     summary["max_held_event_fraction"] = held
@@ -510,7 +517,7 @@ def _result(request: FitRequest, limits: Limits, terms: list[str], design: Desig
         "covariance": out["covariance"],
         "algorithm_version": VERSION,
         "variables_to_stratify": request.selection,
-        "provenance": {"user": None, "organization": None, "timestamp": None, "input_arguments": request.given},
+        "provenance": {**sender, "input_arguments": request.given},
         "baseline_cumulative_hazard": hazard,
         "survival_curves": curves,
         "curve_time_sig_figs": limits.curve_figures,

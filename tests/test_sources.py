@@ -1,5 +1,6 @@
 """Tables, triples, ontologies."""
 
+import functools
 import http.server
 import json
 import re
@@ -11,12 +12,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardspark.config import OPEN
+from hazardspark.config import OPEN, SchemaChoice, load_schema_choice
 from hazardspark.errors import AlgorithmError, UserInputError
 from hazardspark.plans.fit import cox_fit
 from hazardspark.plans.rdf import cox_fit_triples
 from hazardspark.sources.endpoint import read_endpoint
-from hazardspark.sources.ontology import index_ontology, load_ontology
+from hazardspark.sources.ontology import configured_ontology, index_ontology, load_ontology
 from hazardspark.sources.tables import read_stations, write_partitioned
 from hazardspark.sources.triples import collect_bounded, flatten_patients, read_ntriples, snapshot
 
@@ -224,3 +225,32 @@ def test_ontology_file(spark, tmp_path):
     path.write_text('{"schema": {}}')
     with pytest.raises(AlgorithmError):
         load_ontology(spark, str(path))
+
+
+def test_the_configured_ontology(spark, tmp_path):
+    schema = lambda c: json.dumps({"schema": {"variables": {"x": {"class": f"ncit:{c}", "dataType": "continuous"}}}})
+    (tmp_path / "local.json").write_text(schema("C3"))
+    (tmp_path / "v2.json").write_text(schema("C4"))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/{{tag}}.json"
+    local = str(tmp_path / "local.json")
+    try:
+        assert list(configured_ontology(spark, SchemaChoice(True, url, "v2", local))) == ["ncit:C4"]
+        assert list(configured_ontology(spark, SchemaChoice(True, url, "v9", local))) == ["ncit:C3"] == list(configured_ontology(spark, SchemaChoice(False, url, "v2", local)))
+        for choice in (SchemaChoice(True, url, "v9"), SchemaChoice(True, "file://" + local), SchemaChoice()):
+            with pytest.raises(AlgorithmError) as told:
+                configured_ontology(spark, choice)
+            assert "127.0.0.1" not in str(told.value) and local not in str(told.value)
+    finally:
+        server.shutdown()
+    spark.conf.set("spark.hazard.use_remote_schema", "True")
+    spark.conf.set("spark.hazard.schema_tag", " v2 ")
+    try:
+        assert load_schema_choice(spark) == SchemaChoice(True, None, "v2", None)
+        spark.conf.set("spark.hazard.use_remote_schema", "maybe")
+        with pytest.raises(UserInputError):
+            load_schema_choice(spark)
+    finally:
+        spark.conf.unset("spark.hazard.use_remote_schema")
+        spark.conf.unset("spark.hazard.schema_tag")
