@@ -35,7 +35,9 @@ def as_of(time: Column, grid: Column, points: int) -> Column:
 
 def assign_slots(rows: DataFrame, grid: list[float]) -> DataFrame:
     """``rows`` with slot: the index of the last grid time up to ``time``, -1 before the first."""
-    return rows.withColumn("slot", as_of(F.col("time").cast("double"), F.lit([float(t) for t in grid]) if grid else F.array().cast("array<double>"), len(grid)))
+    # one text, which Spark makes one array of when it plans; a literal per time would have to be analysed and compiled
+    points = F.split(F.lit(",".join(repr(float(t)) for t in grid)), ",") if grid else F.array()
+    return rows.withColumn("slot", as_of(F.col("time").cast("double"), points.cast("array<double>"), len(grid)))
 
 
 def names(terms: int) -> list[str]:
