@@ -74,15 +74,21 @@ def slot_sums(rows: DataFrame, xs: list[Column], weight: Column, groups: list[Co
     p = len(xs)
     products = ["_w", *[f"(_w * _x{i})" for i in range(p)], *[f"(_w * _x{i} * _x{j})" for i in range(p) for j in range(i, p)]]
     named = [(c, e, bounds.of(c)) for c, e in zip(names(p), products)]
-    out = None
-    for lo in range(0, len(named), BLOCK_SUMS):
+    counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(g).alias(f"ng_{k}") for k, g in enumerate(groups)]]
+    kept = ["n", *[f"ng_{k}" for k in range(len(groups))]]
+    sums, joined = exact_sums(named[:BLOCK_SUMS], bounds.n)
+    out = rows.groupBy("site", "slot").agg(*counts, *sums).select("site", "slot", *kept, *joined)
+    if len(named) <= BLOCK_SUMS:
+        return out
+    # further blocks meet as arrays, by a union and not by joins, whose planning grows out of hand with so many columns
+    first = [c for c, *_ in named[:BLOCK_SUMS]]
+    blocks = out.select("site", "slot", *kept, F.lit(0).alias("block"), F.array(*first).alias("part"))
+    for lo in range(BLOCK_SUMS, len(named), BLOCK_SUMS):
         sums, joined = exact_sums(named[lo : lo + BLOCK_SUMS], bounds.n)
-        if out is None:
-            counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(g).alias(f"ng_{k}") for k, g in enumerate(groups)]]
-            out = rows.groupBy("site", "slot").agg(*counts, *sums).select("site", "slot", "n", *[f"ng_{k}" for k in range(len(groups))], *joined)
-        else:
-            out = out.join(rows.groupBy("site", "slot").agg(*sums).select("site", "slot", *joined), ["site", "slot"])
-    return out
+        more = rows.groupBy("site", "slot").agg(*sums).select("site", "slot", F.lit(lo // BLOCK_SUMS).alias("block"), F.array(*joined).alias("part"))
+        blocks = blocks.unionByName(more, allowMissingColumns=True)
+    together = blocks.groupBy("site", "slot").agg(*[F.max(c).alias(c) for c in kept], F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"])).alias("all"))
+    return together.selectExpr("site", "slot", *kept, *[f"get(all, {i}) AS {c}" for i, (c, *_) in enumerate(named)])
 
 
 def at_risk(sums: DataFrame, sites: DataFrame, n_slots: int | None = None, keep: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
