@@ -7,7 +7,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import Limits, Settings
 from ..errors import UserInputError
@@ -41,9 +40,8 @@ def bias_fits(df: DataFrame, time: str, outcome: str, truth: dict[str, float], c
     if any(r is None or r < 0 for r in found):
         raise UserInputError("repetitions are numbered from 0")
     settings = {r * n + i: s for r in found for i, s in enumerate(configs)}
-    each = df.withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("fit", F.col(repetition) * n + F.col("fit"))
     out = []
-    for fit, got in cox_fits(each, "fit", time, outcome, list(truth), settings, limits).items():
+    for fit, got in cox_fits(df, repetition, time, outcome, list(truth), settings, limits, copies=n).items():
         rows = [got["model"][t] for t in truth]
         inside = all(math.log(r["lower_CI"]) <= b <= math.log(r["upper_CI"]) for r, b in zip(rows, truth.values()))
         s = configs[fit % n]

@@ -365,6 +365,12 @@ def cox_fit(
 FIT_SHIFT = 32
 
 
+def copied_sites(copies: int) -> list[Callable]:
+    """For each of so many copies of fit f, what makes its site (in fit f * copies + i) of a site in f; sites as ``cox_fits`` numbers them."""
+    one = 1 << FIT_SHIFT
+    return [lambda s, i=i: s + (s - s % one) * (copies - 1) + i * one for i in range(copies)]
+
+
 def cox_fits(
     df: DataFrame,
     by: str,
@@ -375,21 +381,28 @@ def cox_fits(
     limits: Limits | None = None,
     key: Key | None = None,
     rounds: int = MAX_ROUNDS,
+    copies: int = 1,
 ) -> dict[int, dict]:
     """Many fits of one request in one go: column ``by`` (an integer from 0) says to which fit a row belongs, ``settings`` the guards of each.
 
     Returns the result of each fit, as ``cox_fit`` would give it for its rows alone. A round evaluates all fits in one
     query. A site, in a fit, is of its own; site ids must be from 0 and below 2^32. If one fit is refused, all are.
+
+    copies: rows of number f in ``by`` belong to as many fits, f * copies and those after it. They are cached once before
+    they are copied, and a copy has tasks of its own, so what a task reads does not grow with the copies.
     """
     spark = df.sparkSession
     request = FitRequest.of(time, outcome, covariates)
     limits = limits or load_limits(spark)
     if len(request.covariates.terms) > limits.terms:
         raise UserInputError(f"the model has more than {limits.terms} terms")
+    asked = sorted({f // copies for f in settings})
+    if len(settings) != copies * len(asked):
+        raise UserInputError("each copy of a fit needs settings")
     each = F.shiftleft(F.col(f"`{by}`").cast("long"), FIT_SHIFT) + F.col("site").cast("long")
-    within = (F.col("site") >= 0) & (F.col("site") < 1 << FIT_SHIFT) & F.col(f"`{by}`").isin(list(settings))
+    within = (F.col("site") >= 0) & (F.col("site") < 1 << FIT_SHIFT) & F.col(f"`{by}`").isin(asked)
     df = df.filter(within).withColumn("site", each)
-    with prepare(df, request, lambda site: settings[site >> FIT_SHIFT], None, key, limits.grid) as ready:
+    with prepare(df, request, lambda site: settings[site >> FIT_SHIFT], None, key, limits.grid, copied_sites(copies) if copies > 1 else None) as ready:
         return _fitted(ready, request, limits, rounds, {s: s >> FIT_SHIFT for s in ready.sites})
 
 
@@ -457,7 +470,7 @@ def _fitted(ready: Prepared, request: FitRequest, limits: Limits, rounds: int, f
     def slotted(x: DataFrame) -> DataFrame:
         return x.join(F.broadcast(points), "site").withColumn("slot", risksets.as_of(F.col("time"), F.col("grid"), longest)).drop("grid")
 
-    rows = slotted(ready.moved).persist()
+    rows = slotted(ready.moved).drop("time", "event").persist()
     groups = [F.col(f"k{i}") == 1 for i in range(ready.n_groups)]
     counted = risksets.slot_sums(rows, [], F.lit(1.0), groups, risksets.Bounds(1.0, (), ready.n_rows))
     risk = risksets.at_risk(counted, knobs.select("site", "n_slots")).persist()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -110,6 +111,7 @@ def prepare(
     row_hook: Callable[[DataFrame], DataFrame] | None = None,
     key: Key | None = None,
     grid_cap: int = 1000,
+    copies: list[Callable[[int | Column], int | Column]] | None = None,
 ) -> Iterator[Prepared]:
     """All checks and time guards of a fit; what is cached is given up in the end, whatever happens.
 
@@ -117,6 +119,9 @@ def prepare(
 
     row_hook may only take rows away; it runs before anything is counted, and
     after the columns are checked, so it cannot hide what is wrong with them.
+
+    copies: the analysis takes each row as often, at the site that such a rule makes of its own (a number or a column).
+    Rows are cached and counted once, before; each copy then has partitions of its own, so no task holds several.
     """
     held: list[DataFrame] = []
 
@@ -139,6 +144,10 @@ def prepare(
         if row_hook is not None:
             narrow = keep(_narrow(row_hook(ready.filter("_keep").drop("_keep")), request).withColumn("_keep", F.lit(True)))
             found = counted(narrow)
+        if copies is not None:
+            found = [Row(**r.asDict() | {"site": at(r.site)}) for at in copies for r in found]
+            sites = sorted(at(s) for at in copies for s in sites)
+            narrow = reduce(DataFrame.unionByName, [narrow.withColumn("site", at(F.col("site"))) for at in copies])
         if callable(settings):
             settings = {s: settings(s) for s in sites}
         by = settings if isinstance(settings, dict) else dict.fromkeys(sites, settings)

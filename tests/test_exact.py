@@ -141,3 +141,23 @@ def test_bias_study_on_simulated_rows(spark):
     got = {(r.k, r.binned): r for r in bias_study(df, "time", "event", {"x1": 0.5, "x2": -0.3}, [1, 10], 5.0).collect()}
     assert sorted(got) == [(1, False), (1, True), (10, False), (10, True)] and all(r.repetitions == 2 for r in got.values())
     assert got[1, False].mean_dev_vs_true < 0.15 and got[1, False].max_dev_vs_k1 == 0 < got[10, False].mean_dev_vs_k1 <= got[10, False].max_dev_vs_k1
+
+
+def test_no_task_of_a_study_holds_several_copies(spark, monkeypatch):
+    """Six guards over the same rows: what is cached of them has no larger partitions than they have themselves."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    largest, persist = [], DataFrame.persist
+
+    def told(self, *a, **k):
+        out = persist(self, *a, **k)
+        if "x0" in self.columns:  # rows, not counts
+            largest.append(self.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(DataFrame, "persist", told)
+    rows = [(rep, *r) for rep in range(2) for r in simulated(seed=rep, rows=300)]
+    df = frame(spark, rows, "repetition int, site long, time double, event int, x1 double, x2 double").repartition(2)
+    most = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    got = bias_study(df, "time", "event", {"x1": 0.5, "x2": -0.3}, [1, 5, 10], 5.0)
+    assert got.count() == 6 and most < len(rows) and largest == [most, most]
