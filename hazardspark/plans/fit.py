@@ -365,10 +365,10 @@ def cox_fit(
 FIT_SHIFT = 32
 
 
-def copied_sites(copies: int) -> list[Callable]:
-    """For each of so many copies of fit f, what makes its site (in fit f * copies + i) of a site in f; sites as ``cox_fits`` numbers them."""
+def copied_site(copies: int) -> Callable:
+    """Makes, of a site in fit f, that in fit f * copies + i; sites as ``cox_fits`` numbers them."""
     one = 1 << FIT_SHIFT
-    return [lambda s, i=i: s + (s - s % one) * (copies - 1) + i * one for i in range(copies)]
+    return lambda site, i: site + (site - site % one) * (copies - 1) + i * one
 
 
 def cox_fits(
@@ -402,7 +402,7 @@ def cox_fits(
     each = F.shiftleft(F.col(f"`{by}`").cast("long"), FIT_SHIFT) + F.col("site").cast("long")
     within = (F.col("site") >= 0) & (F.col("site") < 1 << FIT_SHIFT) & F.col(f"`{by}`").isin(asked)
     df = df.filter(within).withColumn("site", each)
-    with prepare(df, request, lambda site: settings[site >> FIT_SHIFT], None, key, limits.grid, copied_sites(copies) if copies > 1 else None) as ready:
+    with prepare(df, request, lambda site: settings[site >> FIT_SHIFT], None, key, limits.grid, copies, copied_site(copies)) as ready:
         return _fitted(ready, request, limits, rounds, {s: s >> FIT_SHIFT for s in ready.sites})
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -85,7 +84,8 @@ class Prepared:
     @property
     def moved(self) -> DataFrame:
         """Rows for risk sets: events stand at the times under which they are released."""
-        return move_events(self.rows, self.merged) if any(s.time_events > 1 for s in self.settings.values()) else self.rows
+        # the cap of the grid bounds what a site has in merged; rows must not move for it
+        return move_events(self.rows, F.broadcast(self.merged)) if any(s.time_events > 1 for s in self.settings.values()) else self.rows
 
     @property
     def released_counts(self) -> DataFrame:
@@ -111,7 +111,8 @@ def prepare(
     row_hook: Callable[[DataFrame], DataFrame] | None = None,
     key: Key | None = None,
     grid_cap: int = 1000,
-    copies: list[Callable[[int | Column], int | Column]] | None = None,
+    copies: int = 1,
+    copied: Callable[[int | Column, int | Column], int | Column] | None = None,
 ) -> Iterator[Prepared]:
     """All checks and time guards of a fit; what is cached is given up in the end, whatever happens.
 
@@ -120,8 +121,9 @@ def prepare(
     row_hook may only take rows away; it runs before anything is counted, and
     after the columns are checked, so it cannot hide what is wrong with them.
 
-    copies: the analysis takes each row as often, at the site that such a rule makes of its own (a number or a column).
-    Rows are cached and counted once, before; each copy then has partitions of its own, so no task holds several.
+    copies: the analysis takes each row as often, at the site that ``copied`` makes of its own and the copy's number
+    (both numbers or columns). Rows are cached and counted once, before; each copy then has partitions of its own, so no
+    task holds several.
     """
     held: list[DataFrame] = []
 
@@ -144,10 +146,12 @@ def prepare(
         if row_hook is not None:
             narrow = keep(_narrow(row_hook(ready.filter("_keep").drop("_keep")), request).withColumn("_keep", F.lit(True)))
             found = counted(narrow)
-        if copies is not None:
-            found = [Row(**r.asDict() | {"site": at(r.site)}) for at in copies for r in found]
-            sites = sorted(at(s) for at in copies for s in sites)
-            narrow = reduce(DataFrame.unionByName, [narrow.withColumn("site", at(F.col("site"))) for at in copies])
+        if copies > 1:
+            found = [Row(**r.asDict() | {"site": copied(r.site, i)}) for i in range(copies) for r in found]
+            sites = sorted(copied(s, i) for i in range(copies) for s in sites)
+            # a product with a partition per copy: neither side moves, and the plan does not grow with the copies
+            each = df.sparkSession.range(0, copies, 1, copies).select(F.col("id").alias("_copy")).hint("shuffle_replicate_nl")
+            narrow = narrow.crossJoin(each).withColumn("site", copied(F.col("site"), F.col("_copy"))).drop("_copy")
         if callable(settings):
             settings = {s: settings(s) for s in sites}
         by = settings if isinstance(settings, dict) else dict.fromkeys(sites, settings)
